@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules
+from . import bpe, kneser_ney, mixing, quality_rules, resampling
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op3_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,8 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op3_distribution_rules": op3_distribution_rules,
+    "op4_kneser_ney": op4_kneser_ney,
+    "op8_importance_resampling": op8_importance_resampling,
     "op9_source_mix": op9_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {}
