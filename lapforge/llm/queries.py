@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser_ney, mixing, quality_rules, resampling
+from . import bpe, kneser_ney, mixing, ngram_join, quality_rules, resampling
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op3_distribution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.distribution_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,6 +39,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_distribution_rules": op3_distribution_rules,
     "op4_kneser_ney": op4_kneser_ney,
     "op8_importance_resampling": op8_importance_resampling,
