@@ -24,17 +24,15 @@ apart by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import find, map_array, put_array
 from .common import shared_dir, staged
 from .wordhash import mix, spans, utf8_parts, words
 
@@ -88,39 +86,6 @@ def _shard(first: np.ndarray, second: np.ndarray, hot: np.ndarray, n: int) -> np
     return out.astype(np.int64)
 
 
-# --- files of the model ------------------------------------------------------------
-
-
-def _local(path: str) -> str | None:
-    scheme = urlparse(path).scheme
-    return urlparse(path).path if scheme == "file" else path if not scheme else None
-
-
-def put_array(path: str, values: np.ndarray) -> None:
-    """Write an array under its final name in one step."""
-    if local := _local(path):
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        values.tofile(part := f"{local}.{uuid.uuid4().hex}")
-        os.replace(part, local)
-        return
-    fs, name = pa.fs.FileSystem.from_uri(path)
-    fs.create_dir(os.path.dirname(name), recursive=True)
-    with fs.open_output_stream(part := f"{name}.{uuid.uuid4().hex}") as f:
-        f.write(values.tobytes())
-    fs.move(part, name)
-
-
-def map_array(path: str, dtype) -> np.ndarray:
-    """Memory-map an array; from a store that is no mounted folder, read it."""
-    if local := _local(path):
-        return np.memmap(local, dtype=dtype, mode="r") if os.path.exists(local) and os.path.getsize(local) else np.zeros(0, dtype)
-    fs, name = pa.fs.FileSystem.from_uri(path)
-    if fs.get_file_info(name).type == pa.fs.FileType.NotFound:
-        return np.zeros(0, dtype)
-    with fs.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
-
-
 # --- counting ----------------------------------------------------------------------
 
 
@@ -268,7 +233,7 @@ class Model:
         for s in np.unique(shard):
             rows = np.flatnonzero(shard == s)
             key = self._array(f"word-{s}.key", U64)
-            at, hit = _find(key, h[rows])
+            at, hit = find(key, h[rows])
             out[rows[hit]] = self._array(f"word-{s}.stats", np.int64).reshape(-1, 6)[at[hit]]
         return out
 
@@ -279,7 +244,7 @@ class Model:
         cut = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
         for s in np.flatnonzero(np.diff(cut)):
             rows = order[cut[s] : cut[s + 1]]
-            at, hit = _find(self._array(f"bigram-{s}.key", U64), key[rows])
+            at, hit = find(self._array(f"bigram-{s}.key", U64), key[rows])
             out[rows[hit]] = self._array(f"bigram-{s}.count", np.uint32)[at[hit]]
         return out
 
@@ -307,14 +272,6 @@ class Model:
         return n, known, base, score
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray):
-    at = np.searchsorted(keys, wanted)
-    inside = at < len(keys)
-    hit = inside.copy()
-    hit[inside] = keys[at[inside]] == wanted[inside]
-    return at, hit
-
-
 def score(df: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row; perplexity is 10 ** (-score / n_tokens)."""
 

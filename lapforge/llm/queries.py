@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser_ney, mixing, ngram_join, quality_rules, resampling
+from . import bpe, kneser_ney, mixing, ngram_join, phrases, quality_rules, resampling
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"), out_col="kept_sha256", digest=True)
+
+
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_distribution_rules": op3_distribution_rules,
     "op4_kneser_ney": op4_kneser_ney,
+    "op7_phrase_automata": op7_phrase_automata,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_source_mix": op9_source_mix,
 }
