@@ -118,11 +118,14 @@ class HashArrays:
             self.mapped[name] = map_array(f"{self.base}/{name}", dtype)
         return self.mapped[name]
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """(hit, columns) of keys in any order; columns are 0 where there is no hit."""
+    def lookup(self, keys: np.ndarray, dealt_by: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(hit, columns) of keys in any order; columns are 0 where there is no hit.
+
+        ``dealt_by``: hashes that the keys were dealt to shards by, if not their own.
+        """
         hit = np.zeros(len(keys), dtype=bool)
         out = {name: np.zeros(len(keys), dtype=kind) for name, kind in self.columns.items()}
-        shard = (keys % U64(self.n_shards)).astype(np.int64)
+        shard = ((keys if dealt_by is None else dealt_by) % U64(self.n_shards)).astype(np.int64)
         order = np.lexsort((keys, shard))  # sorted probes touch each page of a shard once
         cut = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
         for s in np.flatnonzero(np.diff(cut)):

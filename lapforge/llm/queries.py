@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser_ney, mixing, ngram_join, phrases, quality_rules, resampling
+from . import bpe, kneser_ney, mixing, ngram_join, phrases, quality_rules, resampling, suffix_dedup
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), out_col="kept_sha256", digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -49,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_phrase_automata": op7_phrase_automata,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_source_mix": op9_source_mix,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -73,6 +73,21 @@ def spans(offsets: np.ndarray, limit: int):
         start = min(end, n)
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of a byte array, for span_hash."""
+    n = len(data)
+    _Powers.to(n + 1)
+    total = np.empty(n + 1, dtype=U64)
+    total[0] = 0
+    np.multiply(_BYTE_CODE[data], _Powers.up[:n], out=total[1:])
+    return np.cumsum(total, out=total)
+
+
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes in [start, end) whatever their place; mix() before use as a key."""
+    return (total[end] - total[start]) * _Powers.down[start]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     """Word table of consecutive rows.
 
@@ -92,12 +107,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     last[: n - 1] &= ~inside[1:n]
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    _Powers.to(n + 1)
-    total = np.empty(n + 1, dtype=U64)
-    total[0] = 0
-    np.multiply(_BYTE_CODE[data], _Powers.up[:n], out=total[1:])
-    np.cumsum(total, out=total)
-    value = (total[end] - total[start]) * _Powers.down[start]
+    value = span_hash(prefix_hash(data), start, end)
     value = mix(value ^ ((end - start).astype(U64) * U64(_GOLDEN)))
     return value, start, end, np.searchsorted(start, offsets)
 
