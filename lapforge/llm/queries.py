@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, mixing, ngram_join, phrases, quality_rules, resampling, suffix_dedup
+from . import bpe, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, suffix_dedup
 from .common import table
 
 
@@ -29,6 +30,10 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents"), out_col="kept_sha256", digest=True)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_distribution_rules": op3_distribution_rules,
     "op4_kneser_ney": op4_kneser_ney,
+    "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
     "op7_phrase_automata": op7_phrase_automata,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_source_mix": op9_source_mix,
