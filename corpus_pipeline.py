@@ -1,4 +1,66 @@
-STAGES = []
+"""The corpus pipeline: documents to training tokens in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which are the rows
+that the stage before has written. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lapforge.llm import bpe, mixing, ngram_join, resampling, suffix_dedup
+from lapforge.llm.common import staged, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling keeps."""
+    return resampling.select(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every group of linked documents; rows without an id stay."""
+    least = ngram_join.components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    linked = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return linked.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings of earlier ones; n_chars follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup.remove_repeats(docs, carry=tuple(others))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut inside a character leaves bytes that are no UTF-8
+    cut = cut.withColumn("text", text)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source mix takes them, to the nearest whole time (at least once if it takes any word)."""
+    mix = mixing.taken_words(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).alias("times"))
+    times = F.greatest(F.col("times"), F.lit(1)).cast("int")
+    return docs.join(mix, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of the bytes that they decode to."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, outputs=("ids", "n_tokens", "decoded_sha256"), keep=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("ngram_jaccard_join", keep_one_of_group),
+    ("suffix_array_dedup", cut_repeats),
+    ("source_mix", mix_sources),
+    ("bpe_encoding", encode),
+]
+#: SQL cannot express the fitted classifier, the suffix removal or the merges; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, suffix_dedup
+from . import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, suffix_dedup
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_distribution_rules": op3_distribution_rules,
     "op4_kneser_ney": op4_kneser_ney,
+    "op5_html_text": op5_html_text,
     "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
     "op7_phrase_automata": op7_phrase_automata,
     "op8_importance_resampling": op8_importance_resampling,

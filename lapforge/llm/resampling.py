@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,29 +99,45 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out_
     return docs.select(*carried).mapInArrow(score, schema)
 
 
-def gumbel_top_k(scored: DataFrame, k: int, id_col: str = "doc_id", weight_col: str = "log_weight", seed: int = 11) -> DataFrame:
-    """Add ``score`` (log weight plus Gumbel noise) and ``kept`` (among the k largest scores)."""
+def with_noise(scored: DataFrame, id_col: str, weight_col: str, seed: int) -> DataFrame:
+    """Add ``score``: the log weight plus Gumbel noise seeded by the id."""
     uniform = (F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    scored = scored.withColumn("score", F.col(weight_col) - F.log(-F.log(uniform)))
+    return scored.withColumn("score", F.col(weight_col) - F.log(-F.log(uniform)))
+
+
+def top_k_rule(scored: DataFrame, k: int, id_col: str) -> Column:
+    """A condition on (id, score) that holds for the k first by score, then smaller id."""
+    if k <= 0:
+        return F.lit(False)
     cell = F.floor(F.least(F.greatest(F.col("score"), F.lit(-4096.0)), F.lit(4096.0)) * CELL)
     cells = scored.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    edge = cells.withColumn("upto", upto).where(F.col("upto") >= k).orderBy("upto").first() if k > 0 else None
-    if k <= 0:
-        return scored.withColumn("kept", F.lit(False))
+    edge = cells.withColumn("upto", upto).where(F.col("upto") >= k).orderBy("upto").first()
     if edge is None:
-        return scored.withColumn("kept", F.lit(True))
+        return F.lit(True)
     left = k - (edge["upto"] - edge["n"])
     order = Window.orderBy(F.col("score").desc(), F.col(id_col).asc_nulls_last())
     last = scored.where(cell == edge["cell"]).select(id_col, "score", F.row_number().over(order).alias("r")).where(F.col("r") == left).first()
-    tied = F.lit(last[id_col]).isNull() | (F.col(id_col) <= F.lit(last[id_col]))
-    return scored.withColumn("kept", (F.col("score") > last["score"]) | ((F.col("score") == last["score"]) & F.coalesce(tied, F.lit(False))))
+    tied = F.lit(True) if last[id_col] is None else F.coalesce(F.col(id_col) <= F.lit(last[id_col]), F.lit(False))
+    return (F.col("score") > last["score"]) | ((F.col("score") == last["score"]) & tied)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """(id, log_weight, score, kept) of every row."""
-    ratio, share = fit(docs, labels, id_col, text_col, **kw)
-    scored = staged(log_weights(docs, ratio, text_col, keep=[id_col]), "log-weights")
+def choose(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **kw) -> tuple[DataFrame, np.ndarray, Column]:
+    """(scores, log ratios, rule): the scores of all rows, and the condition for those to keep."""
+    ratio, share = fit(docs, labels, id_col, text_col, seed=seed, **kw)
+    scored = staged(with_noise(log_weights(docs, ratio, text_col, keep=[id_col]), id_col, "log_weight", seed), "log-weights")
     likely = F.col("log_weight") + SLACK * F.col(N_GRAMS) >= float(np.log(0.5 / share)) if share else F.lit(True)
-    k = scored.where(likely).count()
-    return gumbel_top_k(scored, k, id_col)
+    return scored, ratio, top_k_rule(scored, scored.where(likely).count(), id_col)
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """(id, n_grams, log_weight, score, kept) of every row."""
+    scored, _, rule = choose(docs, labels, id_col, text_col, **kw)
+    return scored.withColumn("kept", rule)
+
+
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **kw) -> DataFrame:
+    """The rows of ``docs`` that the resampling keeps, with their columns; no join, the rule is a constant."""
+    _, ratio, rule = choose(docs, labels, id_col, text_col, seed, **kw)
+    whole = with_noise(log_weights(docs, ratio, text_col), id_col, "log_weight", seed)
+    return whole.where(rule).select(*docs.columns)

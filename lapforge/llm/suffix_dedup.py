@@ -270,8 +270,11 @@ def covered(block: Block, anchors: HashArrays, segments: HashArrays, masks: Hash
     return np.cumsum(mark[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, out_col: str = "kept", digest: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept bytes or their SHA-256) of every row. ``length`` is at most 64."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, out_col: str = "kept", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept bytes or their SHA-256, columns to carry) of every row.
+
+    ``length`` is at most 64. A carried column must not have the name of a computed one.
+    """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     anchors = _recurring(texts, length)
     segments = _contents(texts, anchors, length)
@@ -295,7 +298,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     text = (text[~gone[ptr[i] : ptr[i + 1]]] if removed[i] else text).tobytes()
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text)
                 cols = [pa.array(np.diff(ptr), pa.int64()), pa.array(removed, pa.int64()), pa.array(begins[ptr[1:]] - begins[ptr[:-1]], pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], names=["id", "n_bytes", "n_removed", "n_spans", "out"])
-
-    out = texts.mapInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, out {'string' if digest else 'binary'}")
-    return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("out").alias(out_col))
+                carried = [batch.column(2 + i).slice(a, b - a) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols, *carried], names=names)
+
+    names = ["id", "n_bytes", "n_removed", "n_spans", "out", *[f"_c{i}" for i in range(len(carry))]]
+    kinds = ["long"] * 4 + ["string" if digest else "binary"] + [df.schema[c].dataType.simpleString() for c in carry]
+    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
+    out = whole.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
+    return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("out").alias(out_col), *back)
