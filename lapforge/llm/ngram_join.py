@@ -14,7 +14,8 @@ n - ceil(t n) + 1 of each. The steps:
    bound on the overlap. First every group meets only the hub (least group) of each of its
    shingles; verified links are closed to components; then only pairs of groups that lie in
    different components are generated. So thousands of near copies cost one pair each.
-4. Group pairs expand to members of distinct sets, which are verified on the full sets.
+4. Group pairs expand to members of distinct sets, which are verified on the full sets,
+   stored once in the shared folder and mapped by the verifying tasks.
    Links between members and pairs within a group go the same two rounds.
 
 All-pairs output is never made: the result is (id, n_shingles, component_id), and
@@ -27,6 +28,7 @@ in linking and gets a null component; ties cannot arise, as orders end in the ha
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .arrays import HashArrays, map_array, pack, packed_schema, put_array, unpack
+from .common import shared_dir, staged
 from .graph import connected_components
 from .wordhash import grams, mix, spans, utf8_parts, words
 
@@ -130,30 +133,108 @@ def _group_pairs(left: DataFrame, right: DataFrame, condition: Column, percent:
     return both.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("ga", "gb")
 
 
+def _recurring(rows: DataFrame) -> HashArrays:
+    """Prefix shingles that occur in two or more blocks or groups; the others pair nothing."""
+    out = HashArrays.named(rows, "prefix-shingles", {})
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, one = np.unique(np.asarray(batch.column(0)), return_index=True)  # a group counts once
+            flat = batch.column(1).take(pa.array(one)).flatten()
+            key, count = np.unique(np.asarray(flat, dtype=np.int64).view(U64), return_counts=True)
+            yield pack(key, [np.minimum(count, 2).astype(np.uint8)], out.n_shards)
+
+    def merge(table: pa.Table):
+        key, count = unpack(table, [U64, np.uint8])
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return (key[start][np.add.reduceat(count, start) > 1] if len(start) else key), {}
+
+    out.fill(rows.select("g", "prefix").mapInArrow(send, packed_schema(2)), merge)
+    return out
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """(g, n, pos, t) of every group and recurring shingle of its prefix."""
+    recurring = _recurring(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = np.asarray(lists.flatten(), dtype=np.int64)
+            size = np.asarray(lists.value_lengths(), dtype=np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            hit, _ = recurring.lookup(flat.view(U64))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[hit]), pa.array(flat[hit])], names=["g", "n", "pos", "t"])
+
+    return staged(rows.select("g", "n", "prefix").mapInArrow(run, "g long, n long, pos long, t long").distinct(), "postings")
+
+
+def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, file, start, size): where the full set of each wanted document lies in the shared folder.
+
+    Tasks write the sets of a block as one array and return its index; a task that is
+    repeated writes another file, and only the index that counts names one. Texts that are
+    not wanted are passed by in place, so no text is shuffled.
+    """
+    keys = HashArrays.named(docs, "wanted", {})
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pack(np.unique(np.asarray(batch.column(0), dtype=np.int64).view(U64)), [], keys.n_shards)
+
+    keys.fill(wanted.select(F.xxhash64("id").alias("h")).mapInArrow(send, packed_schema(1)), lambda table: (np.unique(unpack(table, [U64])[0]), {}))
+    base = f"{shared_dir(docs.sparkSession)}/lapforge/sets-{uuid.uuid4().hex}"
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, _ = keys.lookup(np.asarray(batch.column(1), dtype=np.int64).view(U64))
+            at = np.flatnonzero(hit)
+            if not len(at):
+                continue
+            sets = list(shingle_sets(batch.column(2).take(pa.array(at)), k))
+            size = np.array([len(s) for s in sets])
+            put_array(name := f"{base}/{uuid.uuid4().hex}", np.concatenate(sets))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), pa.array([name] * len(at)), pa.array(np.cumsum(size) - size), pa.array(size)], names=["id", "file", "start", "size"]
+            )
+
+    kind = docs.schema["id"].dataType.simpleString()
+    index = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(store, f"id {kind}, file string, start long, size long")
+    return staged(index.dropDuplicates(["id"]), "sets")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of ids whose full sets link."""
-    pairs = staged(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    pairs = staged(_normal(pairs), "candidates")
     kind = docs.schema["id"].dataType.simpleString()
+    if pairs.isEmpty():
+        return pairs
+    sets = _stored_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[str, np.ndarray] = {}
 
-    sets = staged(docs.join(wanted, "id", "left_semi").select("id", "text").dropDuplicates(["id"]).mapInArrow(full, f"id {kind}, s binary"), "sets")
+        def get(file: str, start: int, size: int) -> np.ndarray:
+            if file not in files:
+                if len(files) > 256:
+                    files.clear()
+                files[file] = map_array(file, U64)
+            return files[file][start : start + size]
 
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * same >= percent * (len(p) + len(q) - same))
+            for fa, sa, na, fb, sb, nb in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
+                same = len(np.intersect1d(get(fa, sa, na), get(fb, sb, nb), assume_unique=True))
+                ok.append(100 * same >= percent * (na + nb - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full_pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return staged(full_pairs.select("a", "b", "sa", "sb").mapInArrow(overlap, f"a {kind}, b {kind}"), "links")
+    side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "start", "size")])
+    placed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("file", "start", "size")])
+    return staged(placed.mapInArrow(overlap, f"a {kind}, b {kind}"), "links")
 
 
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -162,8 +243,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = staged(prefixes(df, id_col, text_col, k, percent), "prefixes")
     real = rows.where("n > 0 and id is not null")
     members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")), "members")
-    groups = real.groupBy("g", "n").agg(F.min_by("prefix", "id").alias("prefix"))
-    posts = staged(groups.select("g", "n", F.posexplode("prefix").alias("pos", "t")), "postings")
+    posts = _postings(real)
 
     # round one: hubs. A shingle's groups are banded by size, as only similar sizes link.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
@@ -190,15 +270,15 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = rest.join(side("ga", "a"), "ga").join(side("gb", "b"), "gb").where("a_comp <> b_comp").select("a", "b")
     mixed = label.join(of_group.where("lo <> hi").select("g"), "g", "left_semi")
     within = mixed.alias("x").join(mixed.alias("y"), F.col("x.g") == F.col("y.g")).where("x.rep < y.rep and x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    done = _verified_pairs(pairs.unionByName(inside))
-    second = _verify(_verified_pairs(rest.unionByName(within)).join(done, ["a", "b"], "left_anti"), docs, k, percent)
+    done = _normal(pairs.unionByName(inside))
+    second = _verify(_normal(rest.unionByName(within)).join(done, ["a", "b"], "left_anti"), docs, k, percent)
     links = first.unionByName(second)
     final = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     comps = members.join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("id", "n", "k1", "k2"), links, comps
 
 
-def _verified_pairs(pairs: DataFrame) -> DataFrame:
+def _normal(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
