@@ -38,7 +38,7 @@ from .wordhash import mix, spans, utf8_parts, words
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 HOT_SHARE = 1000
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
 U64 = np.uint64
 
 
@@ -118,7 +118,7 @@ def _pack_bigrams(hot: np.ndarray, n_shards: int):
         for batch in batches:
             for _, _, token, at in tokens(batch.column(0)):
                 held.append((*_pairs(token, at), None))
-                if sum(len(h[0]) for h in held) > 3_000_000:  # about 16 MB of text: then fold or send
+                if sum(len(h[0]) for h in held) > 1_500_000:  # about 9 MB of text
                     yield pack(*_fold(held))
                     held = []
         if held:

@@ -40,10 +40,12 @@ class _Powers:
 
     @classmethod
     def to(cls, n: int) -> None:
+        n = -(-n // (1 << 18)) * (1 << 18)
         while len(cls.up) < n:
             k = len(cls.up)
-            cls.up = np.concatenate([cls.up, cls.up * U64(pow(_BASE, k, 1 << 64))])
-            cls.down = np.concatenate([cls.down, cls.down * U64(pow(_INV, k, 1 << 64))])
+            more = min(k, n - k)
+            cls.up = np.concatenate([cls.up, cls.up[:more] * U64(pow(_BASE, k, 1 << 64))])
+            cls.down = np.concatenate([cls.down, cls.down[:more] * U64(pow(_INV, k, 1 << 64))])
 
 
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
