@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import HashArrays, minimizers, pack, packed_schema, unpack
-from .wordhash import mix, prefix_hash, span_hash, spans, utf8_parts
+from .arrays import HashArrays, pack, packed_schema, sliding_min, unpack
+from .wordhash import mix, powers_down, prefix_hash, span_hash, spans, utf8_parts
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 1 << 21
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
@@ -50,16 +50,28 @@ class Block:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int):
         self.data, self.offsets, self.ids, self.length = data, offsets, ids, length
         gram = min(GRAM, length)
-        size = np.diff(offsets)
-        count = np.maximum(size - gram + 1, 0)
-        ptr = np.concatenate([[0], np.cumsum(count)])
-        row = np.repeat(np.arange(len(ids)), count)
-        at = np.arange(ptr[-1]) - ptr[row] + offsets[row]
-        self.total = prefix_hash(data)
-        value = mix(span_hash(self.total, at, at + gram))
-        pick = minimizers(value, ptr, length - gram + 1)
-        self.anchor, self.at, self.row = value[pick], at[pick], row[pick]
-        self.reach = length - gram
+        self.total, self.reach = prefix_hash(data), length - gram
+        self.at = self._anchors(gram)
+        self.row = np.searchsorted(offsets, self.at, "right") - 1
+        self.anchor = mix(span_hash(self.total, self.at, self.at + gram))
+
+    def _anchors(self, gram: int) -> np.ndarray:
+        """Starts of grams that are the least of some string of ``length`` bytes inside a row."""
+        n = len(self.data) - gram + 1
+        if n <= self.reach:
+            return np.zeros(0, np.int64)
+        value = self.total[gram:] - self.total[:n]
+        value *= powers_down(n)
+        value ^= value >> U64(32)
+        value *= U64(0xD6E8FEB86659FD93)
+        order = (value >> U64(32)).astype(np.uint32)  # half the width compares twice as fast; ties are all taken
+        order |= np.uint32(1)
+        low = sliding_min(order, self.reach + 1)
+        for o in self.offsets[1:-1]:
+            low[max(0, o - self.length + 1) : o] = 0  # strings across rows pick nothing
+        edge = np.zeros(self.reach, np.uint32)
+        top = ~sliding_min(~np.concatenate([edge, low, edge]), self.reach + 1)
+        return np.flatnonzero(order == top)
 
     def keep(self, chosen: np.ndarray) -> None:
         self.anchor, self.at, self.row = self.anchor[chosen], self.at[chosen], self.row[chosen]
@@ -93,10 +105,9 @@ def _recurring(texts: DataFrame, length: int) -> HashArrays:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *_ in blocks(batch, length):
-                doc = block.ids[block.row]
-                order = np.lexsort((doc, block.anchor))
-                key, doc = block.anchor[order], doc[order]
-                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
+                order = np.argsort(block.anchor, kind="stable")
+                key, row = block.anchor[order], block.row[order]
+                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
                 start = _starts(key)
                 count = _reduce(np.add, fresh.astype(np.int64), start)
                 yield pack(key[start], [np.minimum(count, 2).astype(np.uint8)], anchors.n_shards)

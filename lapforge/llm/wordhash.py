@@ -85,6 +85,12 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return np.cumsum(total, out=total)
 
 
+def powers_down(n: int) -> np.ndarray:
+    """Factors that make the difference of two running sums independent of where it starts."""
+    _Powers.to(n)
+    return _Powers.down[:n]
+
+
 def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes in [start, end) whatever their place; mix() before use as a key."""
     return (total[end] - total[start]) * _Powers.down[start]
