@@ -159,7 +159,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     """(query_id, rank, <id>, score) of the k nearest found of every query row, among all other rows."""
     vectors, dim = clean(df, id_col, vec_col)
     n = vectors.count()
-    queries = vectors.join(df.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    asked = df.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    queries = staged(vectors.join(asked, "id", "left_semi"), "queries")
     one = lambda frame, name: frame.select(F.lit(0).cast("long").alias("key"), F.col("id").alias(name), "v")
     if n <= max(SMALL, k + 1):
         out = _ranked(_meet(one(vectors, "id"), one(queries, "qid"), k), k)

@@ -204,6 +204,7 @@ def merge_bwts(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         source[: len(ends)] = ends  # ends sort by source
         change = np.ones(len(source), np.int32)
         change[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        change[1 : len(ends)] = 0  # and are all the same empty suffix
         interval = np.cumsum(change, dtype=np.int32)
     return source, interval
 
