@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session names none (local tests), a temporary folder is set up as such.
     """
+    bounded_batches(spark)
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="lapforge-")
@@ -20,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep what a Python worker holds at once to some megabytes, however long the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that any executor can reread."""
     path = f"{shared_dir(df.sparkSession)}/lapforge/{label}-{uuid.uuid4().hex}"
@@ -27,5 +35,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage that nothing reads any more, and let Spark drop unreferenced shuffles."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,8 +11,8 @@ n - ceil(t n) + 1 of each. The steps:
 2. One pass stages per document: set size, 128-bit set key, prefix, group key. Documents
    with an identical prefix and size are one group.
 3. Group pairs come from a join on prefix shingles, filtered by size and by the positional
-   bound on the overlap. First every group meets only the hub (least group) of each of its
-   shingles; verified links are closed to components; then only pairs of groups that lie in
+   bound on the overlap. First every group meets only the hub (least group) of its first
+   recurring shingles; verified links are closed to components; then only pairs of groups that lie in
    different components are generated. So thousands of near copies cost one pair each.
 4. Group pairs expand to members of distinct sets, which are verified on the full sets,
    stored once in the shared folder and mapped by the verifying tasks.
@@ -21,13 +21,14 @@ n - ceil(t n) + 1 of each. The steps:
 All-pairs output is never made: the result is (id, n_shingles, component_id), and
 ``representative pairs`` are the verified links between distinct sets.
 
-Edge cases: texts without words (and nulls) have an empty set, link with nothing and are
+Ids are integers. Edge cases: texts without words (and nulls) have an empty set, link with nothing and are
 their own component; equal sets are one class and always linked; a null id takes no part
 in linking and gets a null component; ties cannot arise, as orders end in the hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -37,11 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import HashArrays, map_array, pack, packed_schema, put_array, unpack
-from .common import shared_dir, staged
+from .common import discard, shared_dir, staged
 from .graph import connected_components
 from .wordhash import grams, mix, spans, utf8_parts, words
 
 K = 5
+HUB_SHINGLES = 4
 LOCAL, FREQUENT, MAX_FREQUENT = 4, 24, 1 << 18
 BLOCK_BYTES = 1 << 21
 U64 = np.uint64
@@ -72,7 +74,7 @@ def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             seen, sets = set(), []
             for s in shingle_sets(batch.column(0), k):
-                if (mark := s.tobytes()) not in seen:  # copies count once
+                if (mark := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in seen:  # copies count once
                     seen.add(mark)
                     sets.append(s)
             h, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_counts=True)
@@ -133,16 +135,49 @@ def _group_pairs(left: DataFrame, right: DataFrame, condition: Column, percent:
     return both.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("ga", "gb")
 
 
-def _recurring(rows: DataFrame) -> HashArrays:
-    """Prefix shingles that occur in two or more blocks or groups; the others pair nothing."""
-    out = HashArrays.named(rows, "prefix-shingles", {})
+def _first_rows(rows: DataFrame) -> HashArrays:
+    """The smallest id of every group: one row that stands for it."""
+    out = HashArrays.named(rows, "groups", {"id": "int64"})
+
+    def least(key: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        return key[first], ids[first]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, one = np.unique(np.asarray(batch.column(0)), return_index=True)  # a group counts once
-            flat = batch.column(1).take(pa.array(one)).flatten()
-            key, count = np.unique(np.asarray(flat, dtype=np.int64).view(U64), return_counts=True)
-            yield pack(key, [np.minimum(count, 2).astype(np.uint8)], out.n_shards)
+            key, ids = least(np.asarray(batch.column(0), np.int64).view(U64), np.asarray(batch.column(1), np.int64))
+            yield pack(key, [ids], out.n_shards)
+
+    def merge(table: pa.Table):
+        key, ids = least(*unpack(table, [U64, np.int64]))
+        return key, {"id": ids}
+
+    out.fill(rows.select("g", F.col("id").cast("long")).mapInArrow(send, packed_schema(2)), merge)
+    return out
+
+
+def _standing(batch: pa.RecordBatch, groups: HashArrays) -> pa.RecordBatch:
+    """The rows (g, id, ...) of a batch that stand for their group."""
+    _, got = groups.lookup(np.asarray(batch.column(0), np.int64).view(U64))
+    return batch.filter(pa.array(got["id"] == np.asarray(batch.column(1), np.int64)))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """(g, n, pos, t, nth) of every group and prefix shingle that another group's prefix has too.
+
+    nth numbers the recurring shingles of a group from 0 in prefix order.
+    """
+    groups = _first_rows(rows)
+    wide = rows.select("g", F.col("id").cast("long").alias("id"), "n", "prefix")
+    recurring = HashArrays.named(rows, "prefix-shingles", {})
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(_standing(batch, groups).column(3).flatten(), np.int64)
+            key, count = np.unique(flat.view(U64), return_counts=True)
+            yield pack(key, [np.minimum(count, 2).astype(np.uint8)], recurring.n_shards)
 
     def merge(table: pa.Table):
         key, count = unpack(table, [U64, np.uint8])
@@ -151,30 +186,71 @@ def _recurring(rows: DataFrame) -> HashArrays:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         return (key[start][np.add.reduceat(count, start) > 1] if len(start) else key), {}
 
-    out.fill(rows.select("g", "prefix").mapInArrow(send, packed_schema(2)), merge)
+    recurring.fill(wide.mapInArrow(send, packed_schema(2)), merge)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _standing(batch, groups)
+            lists = batch.column(3)
+            flat, size = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64)
+            row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            hit, _ = recurring.lookup(flat.view(U64))
+            seen = np.concatenate([[0], np.cumsum(hit)])
+            pos, nth = np.arange(len(flat)) - start[row], seen[:-1] - seen[start][row] if len(flat) else seen[:0]
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(pos[hit]), pa.array(flat[hit]), pa.array(nth[hit])], names=["g", "n", "pos", "t", "nth"])
+
+    out = staged(wide.mapInArrow(post, "g long, n long, pos long, t long, nth long").distinct(), "postings")
+    discard(rows.sparkSession, recurring.base)
     return out
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """(g, n, pos, t) of every group and recurring shingle of its prefix."""
-    recurring = _recurring(rows)
+def _spread(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """The postings of shingles that join groups of different components, with the groups' least and largest component."""
+    comps = HashArrays.named(posts, "group-components", {"lo": "int64", "hi": "int64"})
+    split = HashArrays.named(posts, "spread-shingles", {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(key, lo, hi):
+        order = np.argsort(key, kind="stable")
+        key, lo, hi = key[order], lo[order], hi[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return (key[start], np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start)) if len(start) else (key, lo, hi)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            flat = np.asarray(lists.flatten(), dtype=np.int64)
-            size = np.asarray(lists.value_lengths(), dtype=np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            hit, _ = recurring.lookup(flat.view(U64))
-            at = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[hit]), pa.array(flat[hit])], names=["g", "n", "pos", "t"])
+            key, lo, hi = fold(np.asarray(batch.column(0), np.int64).view(U64), *(np.asarray(batch.column(1), np.int64),) * 2)
+            yield pack(key, [lo, hi], comps.n_shards)
 
-    return staged(rows.select("g", "n", "prefix").mapInArrow(run, "g long, n long, pos long, t long").distinct(), "postings")
+    def merge(table: pa.Table):
+        key, lo, hi = fold(*unpack(table, [U64, np.int64, np.int64]))
+        return key, {"lo": lo, "hi": hi}
 
+    comps.fill(label.select("g", F.col("comp").cast("long")).mapInArrow(send, packed_schema(3)), merge)
 
-def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, file, start, size): where the full set of each wanted document lies in the shared folder.
+    def send_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, got = comps.lookup(np.asarray(batch.column(0), np.int64).view(U64))
+            key, lo, hi = fold(np.asarray(batch.column(3), np.int64).view(U64), got["lo"], got["hi"])
+            yield pack(key, [lo, hi], split.n_shards)
+
+    def keep_split(table: pa.Table):
+        key, lo, hi = fold(*unpack(table, [U64, np.int64, np.int64]))
+        return key[lo != hi], {}
+
+    split.fill(posts.mapInArrow(send_lists, packed_schema(3)), keep_split)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, _ = split.lookup(np.asarray(batch.column(3), np.int64).view(U64))
+            batch = batch.filter(pa.array(hit))
+            _, got = comps.lookup(np.asarray(batch.column(0), np.int64).view(U64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(got["lo"]), pa.array(got["hi"])], names=["g", "n", "pos", "t", "lo", "hi"])
+
+    return staged(posts.mapInArrow(mark, "g long, n long, pos long, t long, lo long, hi long"), "spread")
+
+
+def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, str]:
+    """(id, file, start, size): where the full set of each wanted document lies, and the folder of all.
 
     Tasks write the sets of a block as one array and return its index; a task that is
     repeated writes another file, and only the index that counts names one. Texts that are
@@ -204,7 +280,7 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     index = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(store, f"id {kind}, file string, start long, size long")
-    return staged(index.dropDuplicates(["id"]), "sets")
+    return staged(index.dropDuplicates(["id"]), "sets"), base
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -213,7 +289,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     kind = docs.schema["id"].dataType.simpleString()
     if pairs.isEmpty():
         return pairs
-    sets = _stored_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
+    sets, folder = _stored_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[str, np.ndarray] = {}
@@ -234,7 +310,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
     side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "start", "size")])
     placed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("file", "start", "size")])
-    return staged(placed.mapInArrow(overlap, f"a {kind}, b {kind}"), "links")
+    out = staged(placed.mapInArrow(overlap, f"a {kind}, b {kind}"), "links")
+    discard(docs.sparkSession, folder)
+    return out
 
 
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -245,11 +323,12 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")), "members")
     posts = _postings(real)
 
-    # round one: hubs. A shingle's groups are banded by size, as only similar sizes link.
+    # round one: hubs of the first few recurring shingles of each group. Bands of size keep hubs comparable.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    lists = posts.groupBy("t", band.alias("band")).agg(F.min(F.struct("g", "n", "pos")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    early = posts.where(F.col("nth") < HUB_SHINGLES)
+    lists = early.groupBy("t", band.alias("band")).agg(F.min(F.struct("g", "n", "pos")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     hubs = lists.select("t", "hub.*")
-    star = _group_pairs(posts, hubs, F.col("a.g") != F.col("b.g"), percent)
+    star = _group_pairs(early, hubs, F.col("a.g") != F.col("b.g"), percent)
     least = members.groupBy("g").agg(F.min("rep").alias("head"), F.count("*").alias("m"))
     heads = least.select("g", "head")
     pairs = star.join(heads.select(F.col("g").alias("ga"), F.col("head").alias("a")), "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
@@ -261,9 +340,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = members.join(labels, F.col("rep") == F.col("node"), "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("comp"))
     label = staged(label, "labels")
     of_group = label.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    marked = posts.join(of_group, "g")
-    spread = marked.groupBy("t").agg(F.min("lo").alias("tl"), F.max("hi").alias("th"), F.count("*").alias("m")).where("m > 1 and tl <> th").select("t")
-    marked = marked.join(spread, "t", "left_semi")
+    marked = _spread(posts, label)
     apart = (F.col("a.g") < F.col("b.g")) & ((F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi")))
     rest = _group_pairs(marked, marked, apart, percent)
     side = lambda g, x: label.select(F.col("g").alias(g), F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp"))
