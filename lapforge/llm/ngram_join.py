@@ -11,8 +11,8 @@ n - ceil(t n) + 1 of each. The steps:
 2. One pass stages per document: set size, 128-bit set key, prefix, group key. Documents
    with an identical prefix and size are one group.
 3. Group pairs come from a join on prefix shingles, filtered by size and by the positional
-   bound on the overlap. First every group meets only the hub (least group) of its first
-   recurring shingles; verified links are closed to components; then only pairs of groups that lie in
+   bound on the overlap. First every group meets two hubs of each of its first
+   recurring shingles (the group with the fewest shingles of its own, and a random one); verified links are closed to components; then only pairs of groups that lie in
    different components are generated. So thousands of near copies cost one pair each.
 4. Group pairs expand to members of distinct sets, which are verified on the full sets,
    stored once in the shared folder and mapped by the verifying tasks.
@@ -43,7 +43,7 @@ from .graph import connected_components
 from .wordhash import grams, mix, spans, utf8_parts, words
 
 K = 5
-HUB_SHINGLES = 4
+HUB_SHINGLES = 12
 LOCAL, FREQUENT, MAX_FREQUENT = 4, 24, 1 << 18
 BLOCK_BYTES = 1 << 21
 U64 = np.uint64
@@ -127,10 +127,16 @@ def _needed(x: Column, y: Column, percent: int) -> Column:
 def _group_pairs(left: DataFrame, right: DataFrame, condition: Column, percent: int) -> DataFrame:
     """Distinct pairs (ga, gb) of groups sharing a prefix shingle that size and position allow."""
     a, b = left.alias("a"), right.alias("b")
-    both = a.join(b, F.col("a.t") == F.col("b.t")).where(condition & _similar_sizes(F.col("a.n"), F.col("b.n"), percent))
-    both = both.groupBy(F.col("a.g").alias("ga"), F.col("b.g").alias("gb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(
-        F.count("*").alias("c"), F.max("a.pos").alias("pa"), F.max("b.pos").alias("pb")
-    )
+    # what comes before a shared shingle can only be shared where it recurs too
+    most = F.least("a.nth", "b.nth") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
+    fits = _similar_sizes(F.col("a.n"), F.col("b.n"), percent) & (most >= _needed(F.col("a.n"), F.col("b.n"), percent))
+    both = a.join(b, F.col("a.t") == F.col("b.t")).where(condition & fits)
+    flip = F.col("a.g") > F.col("b.g")  # a pair counts under one name, whichever side a list has it on
+    low = lambda c: F.when(flip, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
+    high = lambda c: F.when(flip, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+    names = (("g", "ga", "gb"), ("n", "na", "nb"), ("pos", "pa", "pb"))
+    both = both.select("a.t", *[x for c, a_, b_ in names for x in (low(c).alias(a_), high(c).alias(b_))])
+    both = both.groupBy("ga", "gb", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     most = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     return both.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("ga", "gb")
 
@@ -206,9 +212,13 @@ def _postings(rows: DataFrame) -> DataFrame:
 
 
 def _spread(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """The postings of shingles that join groups of different components, with the groups' least and largest component."""
+    """The postings of shingles that join groups of different components, with the groups' least and largest component.
+
+    ``main``: whether all of the group is in the least component of the shingle's list; in a
+    list of many near copies, most are.
+    """
     comps = HashArrays.named(posts, "group-components", {"lo": "int64", "hi": "int64"})
-    split = HashArrays.named(posts, "spread-shingles", {})
+    split = HashArrays.named(posts, "spread-shingles", {"lo": "int64"})
 
     def fold(key, lo, hi):
         order = np.argsort(key, kind="stable")
@@ -235,18 +245,19 @@ def _spread(posts: DataFrame, label: DataFrame) -> DataFrame:
 
     def keep_split(table: pa.Table):
         key, lo, hi = fold(*unpack(table, [U64, np.int64, np.int64]))
-        return key[lo != hi], {}
+        return key[lo != hi], {"lo": lo[lo != hi]}
 
     split.fill(posts.mapInArrow(send_lists, packed_schema(3)), keep_split)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, _ = split.lookup(np.asarray(batch.column(3), np.int64).view(U64))
+            hit, of_list = split.lookup(np.asarray(batch.column(3), np.int64).view(U64))
             batch = batch.filter(pa.array(hit))
             _, got = comps.lookup(np.asarray(batch.column(0), np.int64).view(U64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(got["lo"]), pa.array(got["hi"])], names=["g", "n", "pos", "t", "lo", "hi"])
+            main = (got["lo"] == of_list["lo"][hit]) & (got["hi"] == got["lo"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(got["lo"]), pa.array(got["hi"]), pa.array(main)], names=["g", "n", "pos", "t", "nth", "lo", "hi", "main"])
 
-    return staged(posts.mapInArrow(mark, "g long, n long, pos long, t long, lo long, hi long"), "spread")
+    return staged(posts.mapInArrow(mark, "g long, n long, pos long, t long, nth long, lo long, hi long, main boolean"), "spread")
 
 
 def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, str]:
@@ -323,11 +334,14 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")), "members")
     posts = _postings(real)
 
-    # round one: hubs of the first few recurring shingles of each group. Bands of size keep hubs comparable.
+    # round one: hubs of the first few recurring shingles of each group. Bands of size keep hubs comparable. One hub
+    # has the fewest shingles of its own before, so of many edited copies it is the one nearest to what they were made
+    # from; the other is a random one, so that copies which the first misses meet many others.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
     early = posts.where(F.col("nth") < HUB_SHINGLES)
-    lists = early.groupBy("t", band.alias("band")).agg(F.min(F.struct("g", "n", "pos")).alias("hub"), F.count("*").alias("m")).where("m > 1")
-    hubs = lists.select("t", "hub.*")
+    near, any_ = (F.min(F.struct(by.alias("by"), "g", "n", "pos", "nth")) for by in (F.col("pos") - F.col("nth"), F.xxhash64("g", "t")))
+    lists = early.groupBy("t", band.alias("band")).agg(F.array(near, any_).alias("hubs"), F.count("*").alias("m")).where("m > 1")
+    hubs = lists.select("t", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("by")))).alias("hub")).select("t", "hub.*")
     star = _group_pairs(early, hubs, F.col("a.g") != F.col("b.g"), percent)
     least = members.groupBy("g").agg(F.min("rep").alias("head"), F.count("*").alias("m"))
     heads = least.select("g", "head")
@@ -341,7 +355,8 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = staged(label, "labels")
     of_group = label.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     marked = _spread(posts, label)
-    apart = (F.col("a.g") < F.col("b.g")) & ((F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi")))
+    # two groups of a list's main component need no look, so the main ones are on one side of the join alone
+    apart = ~F.col("a.main") & (F.col("b.main") | (F.col("a.g") < F.col("b.g"))) & ((F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi")))
     rest = _group_pairs(marked, marked, apart, percent)
     side = lambda g, x: label.select(F.col("g").alias(g), F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp"))
     rest = rest.join(side("ga", "a"), "ga").join(side("gb", "b"), "gb").where("a_comp <> b_comp").select("a", "b")
