@@ -1,20 +1,21 @@
-"""Main text of web pages: markup rules, then a suffix array per host for what they leave open.
+"""Main text of web pages: markup rules, and a suffix array per host over all pages.
 
-1. Each page is cut into blocks. Markup decides what it can: scripts, styles, navigation,
-   headers and footers of the page, asides, forms, and elements whose class or id names a
-   menu, advert, notice, sidebar or comment are dropped with all they hold. If the page
-   marks its article (``article``, else ``main``), the text inside is the main text, whole.
-2. Pages that mark no article are open: the token streams of their remaining blocks are
+1. Each page is cut into blocks. Scripts, styles, navigation, headers and footers of the
+   page, asides, forms, and elements whose class or id names a menu, advert, notice,
+   sidebar or comment are dropped with all they hold. Blocks inside the marked article of
+   the page (``article``, else ``main``) are noted as such.
+2. The token streams of the blocks of every page, with an article or without, are
    concatenated by host and put in a suffix array (by prefix doubling up to ``run`` tokens).
    Runs of at least ``run`` tokens found on ``min_pages`` distinct pages of the host are
-   boilerplate; blocks that they cover wholly are removed and the unique runs stay.
+   boilerplate.
+3. A block goes by the share of its tokens that lie in such runs, and markup only weighs
+   it: a block of a page that marks no article goes from ``OPEN_SHARE`` on, a block of an
+   article from ``ARTICLE_SHARE`` on; a block beside the article stays if it has ``run``
+   tokens and none is repeated. Where more than half of an article is repeated, the page is
+   a copy of others and its article stays whole: copies are no boilerplate.
 
-The article of a page is never tested for repeats: what a site quotes often inside its
-articles is still their text, and nothing but boilerplate may be dropped.
-
-Scale: parsing is one pass without a shuffle. Only open pages are shuffled, and a host is
-cut into parts of about ``PART_PAGES`` pages by a hash of the page, so a host with a third
-of all pages is many tasks; boilerplate of a host shows in every part.
+Scale: a host is cut into parts of about ``PART_PAGES`` pages by a hash of the page, so a
+host with a third of all pages is many tasks; pages of a run are counted within a part.
 
 Edge cases: a null or empty html gives the empty text; unclosed and stray tags are
 tolerated (an end tag closes the nearest open element of its name, else nothing); a null
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 RUN, MIN_PAGES, PART_PAGES = 8, 3, 2048
+OPEN_SHARE, ARTICLE_SHARE = 0.5, 0.8
 
 # Element names of HTML, and words that name boilerplate in class and id.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
@@ -62,8 +64,8 @@ def _is_boilerplate(name: str, attrs: str) -> bool:
     return any(word in BOILERPLATE for m in _NAMES.finditer(attrs) for word in _SPLIT.split(m[1].lower()))
 
 
-def blocks(page: str | None) -> tuple[list[str], bool]:
-    """(text blocks in page order, whether the page's markup decided them)."""
+def blocks(page: str | None) -> list[tuple[str, bool]]:
+    """(text, whether inside the marked article) of the blocks in page order."""
     out: list[tuple[str, bool, bool]] = []  # text, inside article, inside main
     stack: list[tuple[str, bool]] = []  # open block elements, and whether they are boilerplate
     counts = {"article": 0, "main": 0}
@@ -121,22 +123,20 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     if not dropped and at < len(page):
         buffer.append(page[at:])
     flush()
-    if seen["article"]:
-        return [t for t, a, _ in out if a], True
-    if seen["main"]:
-        return [t for t, _, b in out if b], True
-    return [t for t, _, _ in out], not out
+    by = 1 if seen["article"] else 2
+    return [(block[0], block[by]) for block in out]
 
 
-def repeated_tokens(token: np.ndarray, page: np.ndarray, run: int, min_pages: int) -> np.ndarray:
-    """Whether each token lies in a run of ``run`` tokens found on ``min_pages`` distinct pages.
+def host_runs(token: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of all runs of ``run`` tokens, equal ones together; number of each; distinct pages of each number).
 
     ``token`` concatenates the streams of all pages (numbers from 1 on), ``page`` numbers
     them. The suffix array is built by doubling until suffixes are sorted by ``run`` tokens.
     """
     n = len(token)
+    none = np.zeros(0, np.int64)
     if n < run:
-        return np.zeros(n, bool)
+        return none, none, none
     rank, width = token.astype(np.int64), 1
     while width < run:
         step = min(width, run - width)
@@ -148,36 +148,68 @@ def repeated_tokens(token: np.ndarray, page: np.ndarray, run: int, min_pages: in
         rank[order] = np.cumsum(change)
         width += step
     whole = np.flatnonzero(page[: n - run + 1] == page[run - 1 :])
+    if not len(whole):
+        return none, none, none
     suffix = whole[np.lexsort((page[whole], rank[whole]))]
-    new_rank = np.concatenate([[True], rank[suffix][1:] != rank[suffix][:-1]]) if len(suffix) else np.zeros(0, bool)
-    new_page = new_rank | np.concatenate([[True], page[suffix][1:] != page[suffix][:-1]]) if len(suffix) else new_rank
-    pages = np.bincount(np.cumsum(new_rank) - 1, weights=new_page) if len(suffix) else np.zeros(0)
-    hit = suffix[pages[np.cumsum(new_rank) - 1] >= min_pages] if len(suffix) else suffix
+    new_rank = np.concatenate([[True], rank[suffix][1:] != rank[suffix][:-1]])
+    new_page = new_rank | np.concatenate([[True], page[suffix][1:] != page[suffix][:-1]])
+    number = np.cumsum(new_rank) - 1
+    return suffix, number, np.bincount(number, weights=new_page).astype(np.int64)
+
+
+def covered(n: int, starts: np.ndarray, run: int) -> np.ndarray:
+    """Whether each of n tokens lies in a run from one of the starts."""
     mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, hit, 1)
-    np.add.at(mark, hit + run, -1)
+    np.add.at(mark, starts, 1)
+    np.add.at(mark, starts + run, -1)
     return np.cumsum(mark[:-1]) > 0
 
 
+def repeated_tokens(token: np.ndarray, page: np.ndarray, run: int, min_pages: int) -> np.ndarray:
+    """Whether each token lies in a run of ``run`` tokens found on ``min_pages`` distinct pages."""
+    starts, number, pages = host_runs(token, page, run)
+    return covered(len(token), starts[pages[number] >= min_pages], run)
+
+
+class _Streams:
+    """The token streams of the pages of a part."""
+
+    def __init__(self, rows: pa.Table):
+        self.lists, self.inside = rows.column("blocks").to_pylist(), rows.column("inside").to_pylist()
+        self.number: dict[str, int] = {}
+        streams = [[self.number.setdefault(w, len(self.number) + 1) for w in text.split()] for each in self.lists for text in each]
+        self.token = np.array([w for s in streams for w in s], np.int64)
+        self.sizes = [len(s) for s in streams]
+        self.page = np.repeat([p for p, each in enumerate(self.lists) for _ in each], self.sizes).astype(np.int64)
+
+    def text(self, gone: np.ndarray, run: int) -> list[str]:
+        """Text of each page, given the repeated tokens."""
+        end = np.cumsum(self.sizes).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(gone)])
+        hits, at, out = (total[end] - total[end - self.sizes]).tolist() if len(end) else [], 0, []
+        for texts, inside in zip(self.lists, self.inside):
+            sizes, hit = self.sizes[at : at + len(texts)], hits[at : at + len(texts)]
+            at += len(texts)
+            marked = any(inside)
+            copy = 2 * sum(h for h, i in zip(hit, inside) if i) > sum(n for n, i in zip(sizes, inside) if i)
+            kept = []
+            for text, i, n, h in zip(texts, inside, sizes, hit):
+                if (copy or h < ARTICLE_SHARE * n) if i else (n >= run and not h) if marked else h < OPEN_SHARE * n:
+                    kept.append(text)
+            out.append("\n".join(kept))
+        return out
+
+
+def _with_text(rows: pa.Table, text: list[str]) -> pa.Table:
+    return rows.select(["page_id", "url"]).append_column("text", pa.array(text, pa.string()))
+
+
 def _strip_host(run: int, min_pages: int):
+    """Text of the pages of a part of a host."""
+
     def strip(rows: pa.Table) -> pa.Table:
-        lists = rows.column("blocks").to_pylist()
-        number: dict[str, int] = {}
-        streams, pages, places = [], [], []
-        for p, each in enumerate(lists):
-            for b, text in enumerate(each):
-                words = [number.setdefault(w, len(number) + 1) for w in text.split()]
-                streams.append(words)
-                pages.append(np.full(len(words), p))
-                places.append((p, b))
-        token = np.array([w for s in streams for w in s], np.int64)
-        gone = repeated_tokens(token, np.concatenate(pages) if pages else np.zeros(0, np.int64), run, min_pages)
-        end = np.cumsum([len(s) for s in streams])
-        kept: list[list[str]] = [[] for _ in lists]
-        for (p, b), s, e in zip(places, streams, end):
-            if not gone[e - len(s) : e].all():
-                kept[p].append(lists[p][b])
-        return rows.select(["page_id", "url"]).append_column("text", pa.array(["\n".join(k) for k in kept], pa.string()))
+        s = _Streams(rows)
+        return _with_text(rows, s.text(repeated_tokens(s.token, s.page, run, min_pages), run))
 
     return strip
 
@@ -189,16 +221,15 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [blocks(p) for p in batch.column(2).to_pylist()]
-            text = pa.array(["\n".join(t) if done else None for t, done in got], pa.string())
-            left = pa.array([None if done else t for t, done in got], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, left], names=["page_id", "url", "text", "blocks"])
+            text = pa.array([[t for t, _ in page] for page in got], pa.list_(pa.string()))
+            inside = pa.array([[i for _, i in page] for page in got], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, inside], names=["page_id", "url", "blocks", "inside"])
 
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, text string, blocks array<string>"), "pages")
+    parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, blocks array<string>, inside array<boolean>"), "pages")
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]+)", 1), F.lit(""))
-    left = parsed.where("text is null").withColumn("host", host)
-    parts = left.groupBy("host").agg(F.ceil(F.count("*") / PART_PAGES).alias("n"))
-    left = left.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
-    rest = left.groupBy("host", "part").applyInArrow(_strip_host(run, min_pages), f"page_id {kind}, url string, text string")
-    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(rest)
-    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    parsed = parsed.withColumn("host", host)
+    parts = parsed.groupBy("host").agg(F.ceil(F.count("*") / PART_PAGES).alias("n"))
+    parts = parsed.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
+    text = parts.groupBy("host", "part").applyInArrow(_strip_host(run, min_pages), f"page_id {kind}, url string, text string")
+    return text.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -182,6 +182,21 @@ def test_html(spark):
     assert all(got[10 + i][0] == f"unique words number {i} live on page {i} only here" for i in range(5))
 
 
+def test_html_repeats_inside_and_beside_articles(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(n))
+    notice, beside, copy, want, pages = say(12), say(10), [say(15), say(15)], {}, []
+    for i in range(6):  # a notice in the article and a line beside it, both of no listed class
+        own = [say(20), say(9)]
+        pages.append((i, "http://a.org/%d" % i, f"<div>{beside}</div><article><p>{own[0]}</p><div>{notice} u{i}</div><p>{own[1]}</p></article>"))
+        want[i] = "\n".join(own)
+    for i in range(6, 10):  # copies of one article keep it
+        pages.append((i, "http://a.org/%d" % i, f"<div>{beside}</div><main><p>{copy[0]}</p><p>{copy[1]}</p></main>"))
+        want[i] = "\n".join(copy)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == want
+
+
 def test_host_suffix_array_against_counting():
     rng = random.Random(1)
     token, page = [], []
