@@ -15,7 +15,10 @@
    a copy of others and its article stays whole: copies are no boilerplate.
 
 Scale: a host is cut into parts of about ``PART_PAGES`` pages by a hash of the page, so a
-host with a third of all pages is many tasks; pages of a run are counted within a part.
+host with a third of all pages is many tasks. Pages of a run are counted over the whole
+host, however it is cut: each part emits its distinct runs (64-bit hashes, counted by its
+suffix array), the counts are added by (host, bucket of the hash), and each part gets back
+those of its runs that reach ``min_pages``. Hosts of one part need no such round.
 
 Edge cases: a null or empty html gives the empty text; unclosed and stray tags are
 tolerated (an end tag closes the nearest open element of its name, else nothing); a null
@@ -24,6 +27,7 @@ url counts as one host; repeated rows stay rows; text in no block element is a b
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -37,6 +41,7 @@ from .common import staged
 
 RUN, MIN_PAGES, PART_PAGES = 8, 3, 2048
 OPEN_SHARE, ARTICLE_SHARE = 0.5, 0.8
+MAX_BUCKETS = 1024
 
 # Element names of HTML, and words that name boilerplate in class and id.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
@@ -182,6 +187,15 @@ class _Streams:
         self.sizes = [len(s) for s in streams]
         self.page = np.repeat([p for p, each in enumerate(self.lists) for _ in each], self.sizes).astype(np.int64)
 
+    def run_hashes(self, starts: np.ndarray, run: int) -> np.ndarray:
+        """64-bit hash of the words of the run from each start, the same in every part."""
+        words = np.array([0, *(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in self.number)], np.uint64)
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(run):
+            out = (out ^ words[self.token[starts + k]]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
     def text(self, gone: np.ndarray, run: int) -> list[str]:
         """Text of each page, given the repeated tokens."""
         end = np.cumsum(self.sizes).astype(np.int64)
@@ -205,7 +219,7 @@ def _with_text(rows: pa.Table, text: list[str]) -> pa.Table:
 
 
 def _strip_host(run: int, min_pages: int):
-    """Text of the pages of a part of a host."""
+    """Text of the pages of a host of one part."""
 
     def strip(rows: pa.Table) -> pa.Table:
         s = _Streams(rows)
@@ -214,7 +228,56 @@ def _strip_host(run: int, min_pages: int):
     return strip
 
 
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
+def _part_runs(run: int, min_pages: int):
+    """Distinct runs of a part by bucket of their hash, each with its pages (no more than ``min_pages``)."""
+
+    def runs(rows: pa.Table) -> pa.Table:
+        s = _Streams(rows)
+        starts, number, pages = host_runs(s.token, s.page, run)
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        hashes, pages = s.run_hashes(starts[first], run), np.minimum(pages, min_pages).astype(np.uint32)
+        n = min(rows.column("n")[0].as_py(), MAX_BUCKETS)
+        bucket = (hashes % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((hashes, bucket))
+        cut = np.searchsorted(bucket[order], np.arange(n + 1))
+        each = [order[a:b] for a, b in zip(cut, cut[1:])]
+        return pa.table({
+            "host": pa.array([rows.column("host")[0].as_py()] * n, pa.string()), "bucket": pa.array(range(n), pa.int64()),
+            "part": pa.array([rows.column("part")[0].as_py()] * n, pa.int64()),
+            "hashes": pa.array([hashes[o].tobytes() for o in each], pa.binary()), "pages": pa.array([pages[o].tobytes() for o in each], pa.binary()),
+        })
+
+    return runs
+
+
+def _add_pages(min_pages: int):
+    """Of a bucket of a host, the runs of each part that reach ``min_pages`` pages over all parts."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(b, np.uint64) for b in rows.column("hashes").to_pylist()]
+        pages = np.concatenate([np.frombuffer(b, np.uint32) for b in rows.column("pages").to_pylist()])
+        every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        hit = np.bincount(at, weights=pages, minlength=len(every))[at] >= min_pages
+        cut = np.cumsum([len(h) for h in hashes])
+        got = [h[hit[e - len(h) : e]].tobytes() for h, e in zip(hashes, cut)]
+        return rows.select(["host", "part"]).append_column("hashes", pa.array(got, pa.binary()))
+
+    return add
+
+
+def _strip_part(run: int):
+    """Text of the pages of a part, given its runs that are boilerplate of the host."""
+
+    def strip(rows: pa.Table, found: pa.Table) -> pa.Table:
+        s = _Streams(rows)
+        whole = np.flatnonzero(s.page[: max(len(s.page) - run + 1, 0)] == s.page[run - 1 :])
+        hits = np.frombuffer(b"".join(found.column("hashes").to_pylist()), np.uint64)
+        return _with_text(rows, s.text(covered(len(s.token), whole[np.isin(s.run_hashes(whole, run), hits)], run), run))
+
+    return strip
+
+
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = MIN_PAGES, part_pages: int = PART_PAGES) -> DataFrame:
     """(page id, url, text, n_chars) of every page."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -229,7 +292,14 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, blocks array<string>, inside array<boolean>"), "pages")
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]+)", 1), F.lit(""))
     parsed = parsed.withColumn("host", host)
-    parts = parsed.groupBy("host").agg(F.ceil(F.count("*") / PART_PAGES).alias("n"))
-    parts = parsed.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("n")))
-    text = parts.groupBy("host", "part").applyInArrow(_strip_host(run, min_pages), f"page_id {kind}, url string, text string")
+    # hosts of more than one part: no more than pages / part_pages rows
+    large = parsed.groupBy("host").agg(F.ceil(F.count("*") / part_pages).alias("n")).where("n > 1")
+    large = staged(large, "hosts")
+    out = f"page_id {kind}, url string, text string"
+    small = parsed.join(F.broadcast(large), "host", "left_anti").groupBy("host").applyInArrow(_strip_host(run, min_pages), out)
+    parts = parsed.join(F.broadcast(large), "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.col("n")))
+    runs = parts.groupBy("host", "part").applyInArrow(_part_runs(run, min_pages), "host string, bucket long, part long, hashes binary, pages binary")
+    found = runs.groupBy("host", "bucket").applyInArrow(_add_pages(min_pages), "host string, part long, hashes binary")
+    split = parts.groupBy("host", "part").cogroup(found.groupBy("host", "part")).applyInArrow(_strip_part(run), out)
+    text = small.unionByName(split)
     return text.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

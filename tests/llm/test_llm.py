@@ -197,6 +197,20 @@ def test_html_repeats_inside_and_beside_articles(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == want
 
 
+def test_html_pages_of_a_run_are_counted_over_all_parts(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(9999)) for _ in range(n))
+    notices, pages, want = {n: say(12) for n in (2, 3, 5)}, [], {}
+    on = {i: n for n, at in ((2, (3, 31)), (3, (0, 17, 39)), (5, (1, 9, 20, 28, 36))) for i in at}
+    for i in range(40):
+        own, notice = say(20), notices.get(on.get(i))
+        pages.append((i, "http://b.org/%d" % i, f"<p>{own}</p>" + (f"<p>{notice}</p>" if notice else "")))
+        want[i] = own + (f"\n{notice}" if on.get(i) == 2 else "")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for part_pages in (3, 10, 2048):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(df, part_pages=part_pages).collect()} == want
+
+
 def test_host_suffix_array_against_counting():
     rng = random.Random(1)
     token, page = [], []
