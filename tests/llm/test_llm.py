@@ -125,6 +125,44 @@ def test_quality_verdict_on_labels(spark):
     assert good == 1.0
 
 
+def test_quality_rejects_labelled_junk_by_words(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality_rules.distribution_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    junk = got.where("quality = 0 and not base_failed").collect()
+    assert sum(r["kept"] for r in junk) <= 0.1 * len(junk) and len(junk) > 20
+    assert all(r["word_distance"] > 0.3 for r in junk if r["main_lang"] is None)
+    assert any(not r["kept"] and r["char_distance"] <= quality_rules.MAX_CHAR_DISTANCE for r in junk)
+
+
+def test_quality_distances_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    texts |= {-1: " ".join(f"zz{i}" for i in range(60)), -2: " ".join(f"zz{i}" for i in range(40)), -3: "the of and " + " ".join(f"zz{i}" for i in range(120)), -4: ""}
+    got = {r["doc_id"]: r for r in quality_rules.distribution_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    lists, lang, share = quality_rules.COMMON_WORDS, {}, {}
+    for i, t in texts.items():
+        low = [w.lower() for w in words(t)]
+        hits = {k: sum(w in ws for w in low) for k, ws in lists.items()}
+        lang[i] = max(hits, key=hits.get) if any(hits.values()) else None
+        if lang[i] and len(low) >= quality_rules.MIN_WORDS:
+            counts = [low.count(w) for w in lists[lang[i]]]
+            share[i] = np.array([*counts, len(low) - sum(counts)]) / len(low)
+    refs = {k: np.mean([share[i] for i in share if lang[i] == k and not got[i]["base_failed"]], axis=0) for k in lists if any(lang[i] == k and not got[i]["base_failed"] for i in share)}
+
+    def distance(p, q):
+        half = lambda a: sum(x * math.log2(x / m) for x, m in zip(a, (p + q) / 2) if x > 0) / 2
+        return math.sqrt(max(half(p) + half(q), 0))
+
+    none = min(distance(np.eye(len(q))[-1], q) for q in refs.values())
+    for i, t in texts.items():
+        want = distance(share[i], refs[lang[i]]) if i in share and lang[i] in refs else none if lang[i] is None and len(words(t)) >= 50 else None
+        r = got[i]
+        assert r["main_lang"] == lang[i] and (r["word_distance"] is None) == (want is None), i
+        assert want is None or math.isclose(r["word_distance"], want, abs_tol=1e-7), i
+        far = (want or 0) > quality_rules.MAX_WORD_DISTANCE or (r["char_distance"] or 0) > quality_rules.MAX_CHAR_DISTANCE
+        assert r["kept"] == (not r["base_failed"] and not far)
+    assert not got[-1]["kept"] and not got[-3]["kept"]
+
+
 def test_kneser_ney(spark, docs, rows, empty):
     out = {r["doc_id"]: r for r in kneser_ney.score_documents(docs).collect()}
     train = [(t or "") for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 10 != 0]
