@@ -36,10 +36,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them, to the nearest whole time (at least once if it takes any word)."""
-    mix = mixing.taken_words(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).alias("times"))
+    """Documents as often as the source mix takes them, to the nearest whole time (at least once if it takes any word).
+
+    A row without an id is taken by its own count: it is mixed under a number of its own.
+    """
+    own = F.concat(F.lit("row without id "), F.monotonically_increasing_id().cast("string"))
+    nameless = staged(docs.where("doc_id is null").withColumn("_row", own), "mix-nameless")  # staged, so that the numbers stay
+    docs_by_row = docs.where("doc_id is not null").withColumn("_row", F.col("doc_id").cast("string")).unionByName(nameless)
+    mix = mixing.taken_words(docs_by_row, id_col="_row").where("taken > 0").groupBy("_row").agg(F.max(F.round(F.col("taken") / F.col("size"))).alias("times"))
     times = F.greatest(F.col("times"), F.lit(1)).cast("int")
-    return docs.join(mix, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return docs_by_row.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -392,3 +392,24 @@ def test_pipeline(spark):
             assert out.join(docs, docs.columns, "left_anti").count() == 0
         docs = spark.createDataFrame(out.toPandas(), out.schema) if name != "bpe_encoding" else out
     assert docs.where("n_tokens <> size(ids)").count() == 0 and docs.count() > 0
+
+
+def test_pipeline_mix_keeps_rows_without_id(spark):
+    import corpus_pipeline
+
+    # source a is far below its share, so the cap takes each of its rows three times; b and c share the rest 2 to 1
+    rows = [(None if i % 2 else i, f"a{i} " + "x " * (3 + i), "en", "a", 1) for i in range(8)]
+    rows += [(None if i % 3 else i, f"{s}{i} " + "y " * (20 + i % 7), "en", s, 1) for s, k in (("b", 100), ("c", 200)) for i in range(k, k + 60)]
+    got = Counter(tuple(r) for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert set(got) <= set(rows)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(words(r[1]))
+    rest = sum(size.values()) - 3 * size["a"]
+    passes = {"a": 3.0, "b": rest * 2 / 3 / size["b"], "c": rest / 3 / size["c"]}
+    assert passes["b"] < 3
+    for r in rows:
+        assert math.floor(passes[r[3]]) <= got[r] <= math.ceil(passes[r[3]]), r
+    for s in "abc":
+        taken = sum(n * len(words(r[1])) for r, n in got.items() if r[3] == s)
+        assert abs(taken - passes[s] * size[s]) <= 27  # no more than the one document that is cut
