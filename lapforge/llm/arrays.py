@@ -44,12 +44,10 @@ def put_array(path: str, values: np.ndarray) -> None:
 
 
 def map_array(path: str, dtype) -> np.ndarray:
-    """Memory-map an array; from a store that is no mounted folder, read it. Empty if absent."""
+    """Memory-map an array; from a store that is no mounted folder, read it. A missing file is an error."""
     if local := _local(path):
-        return np.memmap(local, dtype=dtype, mode="r") if os.path.exists(local) and os.path.getsize(local) else np.zeros(0, dtype)
+        return np.memmap(local, dtype=dtype, mode="r") if os.path.getsize(local) else np.zeros(0, dtype)
     fs, name = pa.fs.FileSystem.from_uri(path)
-    if fs.get_file_info(name).type == pa.fs.FileType.NotFound:
-        return np.zeros(0, dtype)
     with fs.open_input_file(name) as f:
         return np.frombuffer(f.read(), dtype=dtype)
 
@@ -85,18 +83,23 @@ def unpack(table: pa.Table, dtypes: list) -> list[np.ndarray]:
 
 
 class HashArrays:
-    """A map from 64-bit hashes to columns, kept as one sorted array a shard."""
+    """A map from 64-bit hashes to columns, kept as one sorted array a shard.
+
+    ``sizes`` names the shards that were written and their number of keys; a shard that a
+    worker cannot find, or finds shorter, raises instead of looking empty.
+    """
 
     def __init__(self, base: str, n_shards: int, columns: dict[str, str]):
         self.base, self.n_shards, self.columns = base, n_shards, columns
+        self.sizes: dict[int, int] = {}
         self.mapped: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "mapped": {}}
 
     @staticmethod
-    def named(df: DataFrame, label: str, columns: dict[str, str]) -> HashArrays:
-        n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    def named(df: DataFrame, label: str, columns: dict[str, str], n_shards: int | None = None) -> HashArrays:
+        n = n_shards or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         return HashArrays(f"{shared_dir(df.sparkSession)}/lapforge/{label}-{uuid.uuid4().hex}", n, columns)
 
     def fill(self, packed: DataFrame, merge: Callable[[pa.Table], tuple[np.ndarray, dict[str, np.ndarray]]]) -> int:
@@ -109,14 +112,20 @@ class HashArrays:
             put_array(f"{self.base}/{shard}.key", keys[order])
             for name, kind in self.columns.items():
                 put_array(f"{self.base}/{shard}.{name}", cols[name][order].astype(kind))
-            return pa.table({"n": pa.array([len(keys)], pa.int64())})
+            return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
-        return packed.groupBy("shard").applyInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # one row a shard, so no more rows than tasks
+        self.sizes = {r["shard"]: r["n"] for r in packed.groupBy("shard").applyInArrow(run, "shard int, n long").collect()}
+        return sum(self.sizes.values())
 
-    def _array(self, name: str, dtype) -> np.ndarray:
-        if name not in self.mapped:
-            self.mapped[name] = map_array(f"{self.base}/{name}", dtype)
-        return self.mapped[name]
+    def _array(self, shard: int, name: str, dtype) -> np.ndarray:
+        at = (shard, name)
+        if at not in self.mapped:
+            size = self.sizes.get(shard, 0)
+            self.mapped[at] = map_array(f"{self.base}/{shard}.{name}", dtype) if size else np.zeros(0, dtype)
+            if len(self.mapped[at]) != size:
+                raise OSError(f"{self.base}/{shard}.{name} holds {len(self.mapped[at])} of {size} values")
+        return self.mapped[at]
 
     def lookup(self, keys: np.ndarray, dealt_by: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(hit, columns) of keys in any order; columns are 0 where there is no hit.
@@ -128,12 +137,12 @@ class HashArrays:
         shard = ((keys if dealt_by is None else dealt_by) % U64(self.n_shards)).astype(np.int64)
         order = np.lexsort((keys, shard))  # sorted probes touch each page of a shard once
         cut = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
-        for s in np.flatnonzero(np.diff(cut)):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             rows = order[cut[s] : cut[s + 1]]
-            at, ok = find(self._array(f"{s}.key", U64), keys[rows])
+            at, ok = find(self._array(s, "key", U64), keys[rows])
             hit[rows] = ok
             for name, kind in self.columns.items():
-                out[name][rows[ok]] = self._array(f"{s}.{name}", kind)[at[ok]]
+                out[name][rows[ok]] = self._array(s, name, kind)[at[ok]]
         return hit, out
 
 

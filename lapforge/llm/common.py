@@ -7,16 +7,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (local tests), a temporary folder is set up as such.
+    Where a local session names none (tests), a temporary folder is set up as such; on a
+    cluster that would split driver from executors, so there it is an error.
     """
     bounded_batches(spark)
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lapforge-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,6 +48,12 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm.System.gc()
 
 
+def shards_for(texts: DataFrame, text_col: str, bytes_each: int) -> int:
+    """Number of shards of about ``bytes_each`` bytes of text, and no fewer than the session's shuffle partitions."""
+    total = texts.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+    return max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,28 +1,32 @@
 """Suffix-array dedup: removal of byte strings that an earlier document holds too.
 
-A string of ``length`` bytes always holds the least (by hash) of its ``GRAM``-byte grams,
-its anchor, so equal strings share an anchor. Around each anchor lies the segment of all
-strings that can hold it (up to 2 * length - GRAM bytes).
+A string of ``length`` bytes has one anchor, the leftmost of its least (by hash)
+``GRAM``-byte grams, so equal strings have equal anchors. Consecutive strings with the same
+anchor make one unit, and every string lies in exactly one.
 
 1. Anchors found in two or more documents are recurring (one pass, hashes only).
-2. Segments of recurring anchors are reduced to distinct contents with their smallest
-   document. An occurrence in a later document repeats its whole segment.
-3. Only anchors with several contents need their bytes. Each block of documents sends every
-   such content once, from its smallest document; a shard builds the Burrows-Wheeler
-   transform of each block's strings on its own and merges all of them by interleave
-   refinement: a stable pass by symbol over the interleave sorts it by one more symbol.
-   Blocks of equal prefixes are carried along, so after ``length`` passes they are the
-   repeated intervals; nothing is sorted again. In an interval, strings of documents after
-   the smallest are repeats: one bit for each start in the segment.
-4. A last pass over the texts looks segments up and removes the covered bytes.
-
-The tables are sorted hash arrays mapped by the workers. No text is shuffled but the
-contents of step 3, and no group is larger than a shard of hashes.
+2. Every unit of a recurring anchor is sent with its bytes to the shard of its anchor; equal
+   units of a block are sent once. An anchor of over ``HOT`` documents is no shard key: its
+   strings are units of their own, dealt by their whole content.
+3. A shard folds equal units (least and last document), builds the Burrows-Wheeler transform
+   of each source of about ``SOURCE_BYTES`` bytes on its own, and merges the transforms by
+   interleave refinement: each round prepends one symbol to every live rank, through the
+   last-to-first map of its source, and a stable pass by symbol splits the intervals. Equal
+   strings have their anchor at the same place, which gives the first intervals. An interval
+   that is down to one unit is settled; after ``length`` rounds what is left are the
+   intervals of strings found in several units. Nothing is sorted again.
+   Every interval says which of its strings start in a smaller document; the shard writes
+   that, and nothing is removed without it.
+4. A last pass over the texts looks units up and removes the covered bytes.
+
+The tables are sorted hash arrays mapped by the workers; a unit is found by a 64-bit hash of
+its bytes together with the 64-bit hash of its anchor. Shards are as many as the text's bytes ask for.
 
 Ids are integers. Edge cases: a null or empty text keeps nothing and loses nothing; texts
 shorter than ``length`` lose nothing; rows that repeat an id are the same document, so they
-don't erase one another; a null id is the last document. Bytes that removal leaves need not
-be whole UTF-8 characters.
+don't erase one another, whether their texts are equal or not; a null id is the last
+document. Columns to carry may have any name; those of computed columns are replaced. Bytes
+that removal leaves need not be whole UTF-8 characters. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,52 +40,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import HashArrays, pack, packed_schema, sliding_min, unpack
+from .common import shards_for
 from .wordhash import mix, powers_down, prefix_hash, span_hash, spans, utf8_parts
 
-LENGTH, GRAM = 50, 20
-BLOCK_BYTES = 1 << 21
+LENGTH, GRAM, HOT = 50, 20, 4096
+BLOCK_BYTES, SOURCE_BYTES, SHARD_BYTES = 1 << 21, 1 << 21, 24 << 20
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
 
 
 class Block:
-    """Anchors and segments of consecutive rows of one batch."""
+    """Anchors and units of consecutive rows of one batch."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int):
         self.data, self.offsets, self.ids, self.length = data, offsets, ids, length
         gram = min(GRAM, length)
-        self.total, self.reach = prefix_hash(data), length - gram
-        self.at = self._anchors(gram)
+        self.total = prefix_hash(data)
+        self.low = self.high = self.at = np.zeros(0, np.int64)  # a unit is all strings that start in [low, high)
+        if len(data) >= length:
+            self._cut(gram)
         self.row = np.searchsorted(offsets, self.at, "right") - 1
+        self.doc = ids[self.row]
         self.anchor = mix(span_hash(self.total, self.at, self.at + gram))
 
-    def _anchors(self, gram: int) -> np.ndarray:
-        """Starts of grams that are the least of some string of ``length`` bytes inside a row."""
-        n = len(self.data) - gram + 1
-        if n <= self.reach:
-            return np.zeros(0, np.int64)
+    def _cut(self, gram: int) -> None:
+        n, width = len(self.data) - gram + 1, self.length - gram + 1
         value = self.total[gram:] - self.total[:n]
         value *= powers_down(n)
         value ^= value >> U64(32)
         value *= U64(0xD6E8FEB86659FD93)
-        order = (value >> U64(32)).astype(np.uint32)  # half the width compares twice as fast; ties are all taken
+        order = (value >> U64(32)).astype(np.uint32)  # half the width compares twice as fast
         order |= np.uint32(1)
-        low = sliding_min(order, self.reach + 1)
+        low = sliding_min(order, width)
         for o in self.offsets[1:-1]:
-            low[max(0, o - self.length + 1) : o] = 0  # strings across rows pick nothing
-        edge = np.zeros(self.reach, np.uint32)
-        top = ~sliding_min(~np.concatenate([edge, low, edge]), self.reach + 1)
-        return np.flatnonzero(order == top)
-
-    def keep(self, chosen: np.ndarray) -> None:
-        self.anchor, self.at, self.row = self.anchor[chosen], self.at[chosen], self.row[chosen]
-
-    def segments(self) -> None:
-        self.low = np.maximum(self.at - self.reach, self.offsets[self.row])
-        self.high = np.minimum(self.at + self.length, self.offsets[self.row + 1])
-        shape = (self.at - self.low).astype(U64) * U64(4096) + (self.high - self.low).astype(U64)
-        self.segment = mix(span_hash(self.total, self.low, self.high) ^ mix(shape))
-        self.doc = self.ids[self.row]
+            low[max(0, o - self.length + 1) : o] = 0  # strings across rows are none
+        edge = np.zeros(width - 1, np.uint32)
+        top = ~sliding_min(~np.concatenate([edge, low, edge]), width)
+        at = np.flatnonzero(order == top)
+        if not len(at):
+            return
+        # the anchor of each start: the first pick from there on that holds the least value
+        start = np.flatnonzero(low)
+        pick = np.zeros(n + 1, np.int32)
+        pick[at + 1] = 1
+        which = np.cumsum(pick)[start]
+        value, low = order[at], low[start]
+        behind = np.flatnonzero(value[which] != low)
+        while len(behind):
+            which[behind] += 1
+            behind = behind[value[which[behind]] != low[behind]]
+        first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)]))
+        self.at, self.low, self.high = at[which[first]], start[first], start[np.append(first[1:], len(start)) - 1] + 1
+
+    def recur(self, anchors: HashArrays) -> None:
+        """Keep the units of recurring anchors; those of hot anchors fall into single strings."""
+        hit, got = anchors.lookup(self.anchor)
+        hot = got["hot"] > 0
+        parts = [(self.low[x], self.high[x], self.at[x], self.anchor[x], self.doc[x]) for x in (hit & ~hot,)]
+        many = np.flatnonzero(hit & hot)
+        if len(many):
+            size = self.high[many] - self.low[many]
+            each = np.repeat(many, size)
+            start = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size) + self.low[each]
+            parts.append((start, start + 1, self.at[each], self.anchor[each], self.doc[each]))
+        self.low, self.high, self.at, self.anchor, self.doc = (np.concatenate(x) for x in zip(*parts))
+        alone = np.arange(len(self.low)) >= len(self.low) - (len(parts[-1][0]) if len(many) else 0)
+        size = self.high - self.low + self.length - 1
+        shape = (self.at - self.low).astype(U64) * U64(4096) + size.astype(U64)
+        self.size, self.key = size, mix(span_hash(self.total, self.low, self.low + size) ^ mix(shape))
+        self.deal = np.where(alone, mix(self.key), self.anchor)
 
 
 def blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[Block, int, int]]:
@@ -91,211 +118,228 @@ def blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[Block, int, int
         yield Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], length), a, b
 
 
-def _starts(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    change = np.ones(len(keys[0]), bool)
+    change[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(change)
 
 
 def _reduce(ufunc, values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ufunc.reduceat(values, start) if len(start) else values[:0]
 
 
-def _recurring(texts: DataFrame, length: int) -> HashArrays:
-    anchors = HashArrays.named(texts, "anchors", {})
+def _gather(data: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several spans, one after the other."""
+    step = np.repeat(low - (np.cumsum(size) - size), size)
+    return data[step + np.arange(len(step))]
+
+
+def _recurring(texts: DataFrame, length: int, n_shards: int) -> HashArrays:
+    anchors = HashArrays.named(texts, "anchors", {"hot": "uint8"}, n_shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *_ in blocks(batch, length):
                 order = np.argsort(block.anchor, kind="stable")
                 key, row = block.anchor[order], block.row[order]
-                fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
-                start = _starts(key)
-                count = _reduce(np.add, fresh.astype(np.int64), start)
-                yield pack(key[start], [np.minimum(count, 2).astype(np.uint8)], anchors.n_shards)
+                one = _starts(key, row)
+                start = _starts(key[one])
+                count = np.diff(np.append(start, len(one)))
+                yield pack(key[one][start], [np.minimum(count, HOT + 1).astype(np.uint16)], n_shards)
 
     def merge(rows: pa.Table):
-        key, count = unpack(rows, [U64, np.uint8])
+        key, count = unpack(rows, [U64, np.uint16])
         order = np.argsort(key, kind="stable")
-        key, start = key[order], _starts(key[order])
-        return key[start][_reduce(np.add, count[order].astype(np.int64), start) > 1], {}
+        start = _starts(key[order])
+        count = _reduce(np.add, count[order].astype(np.int64), start)
+        return key[order][start][count > 1], {"hot": count[count > 1] > HOT}
 
     anchors.fill(texts.mapInArrow(send, packed_schema(2)), merge)
     return anchors
 
 
-def _contents(texts: DataFrame, anchors: HashArrays, length: int) -> HashArrays:
-    """Distinct segments with their smallest document, and whether their anchor has several (``fine``)."""
-    segments = HashArrays.named(texts, "segments", {"doc": "int64", "fine": "uint8"})
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, *_ in blocks(batch, length):
-                block.keep(anchors.lookup(block.anchor)[0])
-                block.segments()
-                order = np.lexsort((block.doc, block.segment))
-                one = order[_starts(block.segment[order])]
-                shard = (block.anchor[one] % U64(segments.n_shards)).astype(np.int64)
-                yield pack(block.segment[one], [block.anchor[one], block.doc[one]], segments.n_shards, shard)
-
-    def merge(rows: pa.Table):
-        segment, anchor, doc = unpack(rows, [U64, U64, np.int64])
-        order = np.lexsort((doc, segment))
-        one = order[_starts(segment[order])]
-        segment, anchor, doc = segment[one], anchor[one], doc[one]
-        by = np.argsort(anchor, kind="stable")
-        start = _starts(anchor[by])
-        size = np.diff(np.append(start, len(by)))
-        fine = np.zeros(len(by), np.uint8)
-        fine[by] = np.repeat(size > 1, size)
-        return segment, {"doc": doc, "fine": fine}
-
-    segments.fill(texts.mapInArrow(send, packed_schema(3)), merge)
-    return segments
-
+def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a set of strings: (symbols, last-to-first map, string, offset), in suffix order.
 
-def shard_bwt(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a set of strings: (symbols, string, offset), in suffix order.
-
-    Symbols are bytes plus 1; 0 ends a string, and ends sort by string.
+    Each string ends in a mark that sorts before all bytes. Suffixes are sorted by ``depth``
+    symbols at least, equal ones by string. The symbol of a whole string is 0; its map is its own rank.
     """
-    n, width = len(size), int(size.max()) + 1
-    grid = np.arange(width)
-    text = np.zeros((n, width + 8), np.uint64)
-    inside = grid[None, :] < size[:, None]
-    text[:, :width][inside] = data.astype(np.uint64) + U64(1)
-    held = grid[None, :] <= size[:, None]
-    key = np.zeros((n, width), np.uint64)
-    for i in range(7):  # seven symbols of nine bits
-        key = (key << U64(9)) | text[:, i : i + width]
-    string, offset = np.nonzero(held)
-    rank = np.zeros((n, 2 * width), np.int64)
-    step, key = 7, key[held]
-    while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        level = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
-        value = np.empty(len(key), np.int64)
-        value[order] = level
-        if step >= width:
+    n = len(data) + len(size)
+    ends = np.cumsum(size + 1) - 1
+    text = np.zeros(n, np.uint64)
+    inside = np.ones(n, bool)
+    inside[ends] = False
+    text[inside] = data.astype(np.uint64) + U64(1)
+    string = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    offset = (np.arange(n) - np.repeat(ends - size, size + 1)).astype(np.int32)
+    left = np.repeat(size, size + 1) - offset
+    key, width = text.copy(), 1
+    while width < 7:  # seven symbols of nine bits
+        key[:-1] = np.where(inside[:-1], (text[:-1] << U64(9 * width)) | key[1:], U64(0))
+        key[-1] = 0
+        width += 1
+    order = np.argsort(key, kind="stable")
+    start = _starts(key[order])
+    rank = np.empty(n, np.int64)
+    count = np.diff(np.append(start, n))
+    rank[order] = np.repeat(start, count)
+    tied = order[np.repeat(count > 1, count)]
+    while width < depth:
+        tied = tied[left[tied] >= width]  # shorter ones that tie are equal
+        if not len(tied):
+            break
+        tie = (rank[tied].astype(U64) << U64(32)) | rank[tied + width].astype(U64)
+        by = np.argsort(tie, kind="stable")
+        tied, tie = tied[by], tie[by]
+        group, start = _starts(rank[tied]), _starts(tie)
+        nth = np.arange(len(tied)) - np.repeat(group, np.diff(np.append(group, len(tied))))
+        order[rank[tied] + nth] = tied
+        fresh = rank[tied] + nth
+        count = np.diff(np.append(start, len(tied)))
+        rank[tied] = np.repeat(fresh[start], count)
+        tied = tied[np.repeat(count > 1, count)]
+        width *= 2
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    before = np.where(offset[order] > 0, order - 1, order)
+    symbol = np.where(offset[order] > 0, text[before] - U64(1), U64(0)).astype(np.uint8)
+    return symbol, place[before].astype(np.int32), string[order], offset[order]
+
+
+def merge_bwts(symbol: np.ndarray, back: np.ndarray, rank: np.ndarray, interval: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Refine the interleave of several transforms by ``depth`` symbols.
+
+    ``symbol`` and ``back`` hold the transforms one after the other. ``rank`` are the places
+    of the suffixes that end each string to compare, ordered by their first ``interval``. A
+    round prepends one symbol to all live ranks and so splits their intervals.
+
+    Returns (ranks, intervals) of the strings found more than once, and (ranks, symbols still
+    to prepend) of those whose interval came down to themselves.
+    """
+    alone, steps = [], []
+    for i in range(depth + 1):
+        start = _starts(interval)
+        count = np.diff(np.append(start, len(interval)))
+        live = np.repeat(count > 1, count)
+        alone.append(rank[~live])
+        steps.append(np.full(len(alone[-1]), depth - i, np.int64))
+        rank = rank[live]
+        interval = np.repeat(np.arange(len(start), dtype=np.int32), count)[live]
+        if i == depth or not len(rank):
             break
-        rank[string, offset] = value
-        key = (value.astype(U64) << U64(32)) | rank[string, np.minimum(offset + step, 2 * width - 1)].astype(U64)
-        step *= 2
-    before = np.where(offset[order] > 0, text[string[order], np.maximum(offset[order] - 1, 0)], U64(0))
-    return before.astype(np.uint16), string[order], offset[order]
+        first = symbol[rank]
+        order = np.argsort(first, kind="stable")
+        first, rank, interval = first[order], back[rank[order]], interval[order]
+        start = _starts(first, interval)
+        interval = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(rank))))
+    return rank, interval, np.concatenate(alone), np.concatenate(steps)
 
 
-def merge_bwts(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of several transforms sorted by ``depth`` symbols, and its intervals.
-
-    Returns (source of each rank, interval number of each rank); ranks of one source keep
-    their order, and suffixes with the same first ``depth`` symbols share an interval.
-    """
-    source = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(p) for p in parts])
-    interval = np.zeros(len(source), np.int32)
-    ends = np.repeat(np.arange(len(parts), dtype=np.uint16), [int((p == 0).sum()) for p in parts])
-    flat = np.concatenate(parts)
-    base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]
-    for _ in range(depth):
-        by_source = np.argsort(source, kind="stable")
-        symbol = np.empty(len(source), np.uint16)
-        symbol[by_source] = flat  # every source hands out its symbols in its own order
-        order = np.argsort(symbol, kind="stable")
-        source, symbol, interval = source[order], symbol[order], interval[order]
-        source[: len(ends)] = ends  # ends sort by source
-        change = np.ones(len(source), np.int32)
-        change[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        change[1 : len(ends)] = 0  # and are all the same empty suffix
-        interval = np.cumsum(change, dtype=np.int32)
-    return source, interval
-
-
-def _repeats(texts: DataFrame, anchors: HashArrays, segments: HashArrays, length: int) -> HashArrays:
-    """For each distinct content: a bit for every start that a smaller document holds too."""
-    masks = HashArrays.named(texts, "masks", {"mask": "uint64"})
+def _repeats(texts: DataFrame, anchors: HashArrays, length: int, n_shards: int) -> HashArrays:
+    """For each unit with a string found in two documents: its least document, and a bit for each string
+    that a smaller one than this holds (``mask``), or than any later one that holds the unit (``again``)."""
+    units = HashArrays.named(texts, "units", {"anchor": "uint64", "doc": "int64", "again": "uint64", "mask": "uint64"}, n_shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *_ in blocks(batch, length):
-                block.keep(anchors.lookup(block.anchor)[0])
-                block.segments()
-                hit, got = segments.lookup(block.segment, block.anchor)
-                wanted = np.flatnonzero(hit & (got["fine"] > 0) & (got["doc"] == block.doc))
-                _, one = np.unique(block.segment[wanted], return_index=True)
-                one = wanted[one]
-                shard = (block.anchor[one] % U64(masks.n_shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                one, shard = one[order], shard[order]
-                cut = np.searchsorted(shard, np.arange(masks.n_shards + 1))
+                block.recur(anchors)
+                shard = (block.deal % U64(n_shards)).astype(np.int64)
+                order = np.lexsort((block.doc, block.key, block.anchor, shard))
+                start = _starts(block.key[order], block.anchor[order], shard[order])
+                one, last = order[start], order[np.append(start[1:], len(order)) - 1] if len(start) else order
+                shard = shard[one]
+                cut = np.searchsorted(shard, np.arange(n_shards + 1))
                 used = np.flatnonzero(np.diff(cut))
-                rows = [[], [], [], []]
-                for s in used:
-                    part = one[cut[s] : cut[s + 1]]
-                    rows[0].append(block.segment[part].tobytes())
-                    rows[1].append(block.doc[part].tobytes())
-                    rows[2].append((block.high[part] - block.low[part]).astype(np.uint16).tobytes())
-                    rows[3].append(b"".join(block.data[a:b].tobytes() for a, b in zip(block.low[part], block.high[part])))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [pa.array(r, pa.binary()) for r in rows], names=["shard", "b0", "b1", "b2", "b3"])
+                cols = (block.key[one], block.anchor[one], block.doc[one], block.doc[last], block.size[one].astype(np.uint16), (block.at - block.low)[one].astype(np.uint8))
+                rows = [[c[cut[s] : cut[s + 1]].tobytes() for s in used] for c in cols]
+                rows.append([_gather(block.data, block.low[one[cut[s] : cut[s + 1]]], block.size[one[cut[s] : cut[s + 1]]]).tobytes() for s in used])
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [pa.array(r, pa.binary()) for r in rows], names=["shard", *[f"b{i}" for i in range(7)]])
 
     def merge(rows: pa.Table):
-        segment, doc = unpack(rows, [U64, np.int64])
-        parts, strings, offsets, sizes, before = [], [], [], [], 0
-        for size, data in zip(rows.column("b2").to_pylist(), rows.column("b3").to_pylist()):
-            size = np.frombuffer(size, np.uint16).astype(np.int64)
-            symbol, string, offset = shard_bwt(np.frombuffer(data, np.uint8), size)
-            parts.append(symbol)
-            strings.append(string + before)
-            offsets.append(offset)
-            sizes.append(size)
-            before += len(size)
-        source, interval = merge_bwts(parts, length)
-        place = np.argsort(source, kind="stable")
-        string, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-        string[place], offset[place] = np.concatenate(strings), np.concatenate(offsets)
-        whole = offset + length <= np.concatenate(sizes)[string]
-        string, offset, interval = string[whole], offset[whole], interval[whole]
-        start = _starts(interval)
-        least = np.repeat(_reduce(np.minimum, doc[string], start), np.diff(np.append(start, len(interval))))
-        later = doc[string] > least
-        mask = np.zeros(len(segment), U64)
-        np.bitwise_or.at(mask, string[later], U64(1) << offset[later].astype(U64))
-        return segment, {"mask": mask}
-
-    masks.fill(texts.mapInArrow(send, packed_schema(4)), merge)
-    return masks
-
-
-def covered(block: Block, anchors: HashArrays, segments: HashArrays, masks: HashArrays) -> np.ndarray:
+        kinds = [U64, U64, np.int64, np.int64, np.uint16, np.uint8, np.uint8]
+        key, anchor, doc, last, size, reach, data = unpack(rows, kinds)
+        size = size.astype(np.int64)
+        low = np.cumsum(size) - size
+        order = np.lexsort((doc, key, anchor))
+        start = _starts(key[order], anchor[order])
+        one = np.sort(order[start])  # in the order of arrival: each source is some blocks of the input
+        doc[order[start]], last[order[start]] = _reduce(np.minimum, doc[order], start), _reduce(np.maximum, last[order], start)
+        key, anchor, doc, last, size, reach, low = (x[one] for x in (key, anchor, doc, last, size, reach, low))
+        parts, base = [[], [], [], []], 0
+        where = np.zeros(int((size + 1).sum()), np.int32)  # rank of each suffix, by unit and offset
+        first = np.cumsum(size + 1) - size - 1
+        for a, b in spans(np.concatenate([[0], np.cumsum(size)]), SOURCE_BYTES):
+            symbol, back, string, offset = shard_bwt(_gather(data, low[a:b], size[a:b]), size[a:b], length)
+            for part, x in zip(parts, (symbol, back + np.int32(base), string + np.int32(a), offset.astype(np.uint8 if size.max() < 256 else np.uint16))):
+                part.append(x)
+            where[first[string + a] + offset] = np.arange(base, base + len(symbol))
+            base += len(symbol)
+        symbol, back, string, offset = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+        n = size - length + 1
+        unit = np.repeat(np.arange(len(n)), n)
+        start = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+        place = reach[unit].astype(np.int64) - start  # of the anchor in the string
+        order = np.lexsort((place, anchor[unit]))
+        unit, start, place = unit[order], start[order], place[order]
+        seed = np.cumsum(np.bincount(_starts(anchor[unit], place), minlength=len(unit)))[: len(unit)]
+        rank, interval, alone, steps = merge_bwts(symbol, back, where[first[unit] + start + length], seed, length)
+        ptr = np.cumsum(n) - n
+        again, later = np.zeros(len(unit), bool), np.zeros(len(unit), bool)  # of every string
+        of = string[alone]
+        again[ptr[of] + offset[alone] - steps] = last[of] > doc[of]
+        begin = _starts(interval)
+        count = np.diff(np.append(begin, len(rank)))
+        of = string[rank]
+        least = np.repeat(_reduce(np.minimum, doc[of], begin), count)
+        again[ptr[of] + offset[rank]] = last[of] > least
+        later[ptr[of] + offset[rank]] = doc[of] > least
+        bit = U64(1) << (np.arange(len(unit)) - np.repeat(ptr, n)).astype(U64)
+        again, mask = (_reduce(np.add, np.where(x, bit, U64(0)), ptr) for x in (again, later))
+        found = (again | mask) > 0
+        return key[found], {"anchor": anchor[found], "doc": doc[found], "again": again[found], "mask": mask[found]}
+
+    units.fill(texts.mapInArrow(send, packed_schema(7)), merge)
+    return units
+
+
+def covered(block: Block, anchors: HashArrays, units: HashArrays) -> np.ndarray:
     """Whether each byte of the block lies in a string that a smaller document holds."""
-    block.keep(anchors.lookup(block.anchor)[0])
-    block.segments()
-    hit, got = segments.lookup(block.segment, block.anchor)
-    mark = np.zeros(len(block.data) + 1, np.int32)
-    whole = hit & (got["doc"] < block.doc) & (block.high - block.low >= block.length)
-    np.add.at(mark, block.low[whole], 1)
-    np.add.at(mark, block.high[whole], -1)
-    own = np.flatnonzero(hit & (got["doc"] == block.doc) & (got["fine"] > 0))
-    bits = masks.lookup(block.segment[own], block.anchor[own])[1]["mask"]
-    for t in range(block.reach + 1):
-        start = block.low[own[(bits >> U64(t)) & U64(1) > 0]] + t
-        np.add.at(mark, start, 1)
-        np.add.at(mark, start + block.length, -1)
-    return np.cumsum(mark[:-1]) > 0
+    block.recur(anchors)
+    hit, got = units.lookup(block.key, block.deal)
+    hit &= got["anchor"] == block.anchor
+    bits = np.where(hit, np.where(got["doc"] < block.doc, got["again"], got["mask"]), U64(0))
+    begins = np.zeros(len(block.data) + 1, np.int32)
+    n = block.high - block.low
+    whole = (n > 0) & (bits == (U64(1) << n.astype(U64)) - U64(1))
+    begins[block.low[whole]] += 1
+    begins[block.high[whole]] -= 1
+    begins = np.cumsum(begins)
+    some = np.flatnonzero((bits > 0) & ~whole)
+    for t in range(int(n[some].max(initial=0))):
+        begins[block.low[some[(bits[some] >> U64(t)) & U64(1) > 0]] + t] = 1
+    total = np.concatenate([np.zeros(block.length, np.int64), np.cumsum(begins[:-1])])
+    return total[block.length :] > total[: -block.length]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, out_col: str = "kept", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept bytes or their SHA-256, columns to carry) of every row.
 
-    ``length`` is at most 64. A carried column must not have the name of a computed one.
+    ``length`` is at most 64. A carried column of the name of a computed one is left out.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    anchors = _recurring(texts, length)
-    segments = _contents(texts, anchors, length)
-    masks = _repeats(texts, anchors, segments, length)
+    n_shards = shards_for(texts, "text", SHARD_BYTES)
+    anchors = _recurring(texts, length, n_shards)
+    units = _repeats(texts, anchors, length, n_shards)
+    carry = [c for c in carry if c not in (id_col, "n_bytes", "n_removed", "n_spans", out_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a, b in blocks(batch, length):
-                gone = covered(block, anchors, segments, masks)
+                gone = covered(block, anchors, units)
                 ptr = block.offsets
                 total = np.concatenate([[0], np.cumsum(gone)])
                 begin = gone.copy()
@@ -315,7 +359,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "out", *[f"_c{i}" for i in range(len(carry))]]
     kinds = ["long"] * 4 + ["string" if digest else "binary"] + [df.schema[c].dataType.simpleString() for c in carry]
-    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
+    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     out = whole.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
     back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("out").alias(out_col), *back)

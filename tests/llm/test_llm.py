@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -319,20 +320,92 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_merged_transforms_equal_one_sort():
+def _parts(strings, per, depth):
+    """Transforms of groups of strings one after the other, and the rank of each suffix."""
+    symbols, backs, where, base = [], [], {}, 0
+    for k in range(0, len(strings), per):
+        group = strings[k : k + per]
+        symbol, back, string, offset = suffix_dedup.shard_bwt(np.frombuffer(b"".join(group), np.uint8), np.array([len(s) for s in group]), depth)
+        suffixes = [group[s][o:] for s, o in zip(string, offset)]
+        assert [x[:depth] for x in suffixes] == sorted(x[:depth] for x in suffixes)
+        assert all(o == 0 or group[s][o - 1] == c for s, o, c in zip(string, offset, symbol))
+        assert all(o == 0 or (string[b], offset[b]) == (s, o - 1) for s, o, b in zip(string, offset, back))
+        where |= {(k + s, o): base + i for i, (s, o) in enumerate(zip(string.tolist(), offset.tolist()))}
+        symbols.append(symbol)
+        backs.append(back + base)
+        base += len(symbol)
+    return np.concatenate(symbols), np.concatenate(backs), where
+
+
+@pytest.mark.parametrize("per", [1, 7, 40])
+def test_merged_transforms_find_every_repeated_string(per):
     rng = random.Random(9)
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 20))) for _ in range(30)]
-    parts, place = [], []
-    for k in range(0, 30, 10):
-        group = strings[k : k + 10]
-        symbol, string, offset = suffix_dedup.shard_bwt(np.frombuffer(b"".join(group), np.uint8), np.array([len(s) for s in group]))
-        parts.append(symbol)
-        place.append([strings[k + s][o:] for s, o in zip(string, offset)])
-    source, interval = suffix_dedup.merge_bwts(parts, 6)
-    at = [iter(p) for p in place]
-    merged = [next(at[s])[:6] for s in source]
-    assert merged == sorted(merged)
-    assert all((a == b) == (x == y) for a, b, x, y in zip(merged, merged[1:], interval, interval[1:]))
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 20))) for _ in range(40)]
+    depth = 6
+    symbol, back, where = _parts(strings, per, 20)
+    starts = [(s, o) for s, x in enumerate(strings) for o in range(len(x) - depth + 1)]
+    rank = np.array([where[s, o + depth] for s, o in starts])
+    place = {r: k for k, r in where.items()}
+    got, interval, alone, steps = suffix_dedup.merge_bwts(symbol, back, rank, np.zeros(len(rank), np.int64), depth)
+    groups = {}
+    for r, i in zip(got.tolist(), interval.tolist()):
+        groups.setdefault(i, []).append(place[r])
+    want = {}
+    for s, o in starts:
+        want.setdefault(strings[s][o : o + depth], []).append((s, o))
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    single = sorted((place[r][0], place[r][1] - k) for r, k in zip(alone.tolist(), steps.tolist()))
+    assert single == sorted(v[0] for v in want.values() if len(v) == 1)
+
+
+def test_more_sources_than_sixteen_bits():
+    strings = [b"%06d" % i for i in range(70_000)]  # one transform a string, 7 ranks each
+    n = len(strings)
+    data = np.frombuffer(b"".join(strings), np.uint8).reshape(n, 6)
+    symbols = np.concatenate([np.zeros((n, 1), np.uint8), data], axis=1)[:, ::-1].ravel()  # of ranks ordered from the end
+    base = np.arange(n)[:, None] * 7
+    backs = (base + np.minimum(np.arange(7) + 1, 6)).ravel()
+    got, interval, alone, _ = suffix_dedup.merge_bwts(symbols, backs, (base[:, 0]), np.zeros(n, np.int64), 6)
+    assert len(got) == 0 and sorted((alone // 7).tolist()) == list(range(n))
+
+
+def test_suffix_dedup_removes_nothing_without_the_transforms(docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "shards_for", lambda *_: 2)
+    full = suffix_dedup.remove_repeats(docs).agg(F.sum("n_removed")).first()[0]
+    whole = suffix_dedup._repeats
+
+    def blind(texts, anchors, length, n_shards):
+        units = whole(texts, anchors, length, n_shards)
+        for s, n in units.sizes.items():
+            for name in ("again", "mask"):
+                np.zeros(n, np.uint64).tofile(os.path.join(units.base.removeprefix("file:"), f"{s}.{name}"))
+        return units
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", blind)
+    assert full > 0 and suffix_dedup.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_suffix_dedup_repeated_ids_hot_anchors_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)  # most anchors of this table are hot
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line, other = say(120), say(90)
+    rows = [(5, line + say(40)), (5, other), (5, line), (6, say(30) + line + other), (7, other[:70] + say(9)), (None, line), (None, None), (9, ""), (9, "x" * 400), (10, "x" * 60)]
+    rows += [(20 + i, say(25) + line + say(25)) for i in range(12)]
+    df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_bytes int, id string").repartition(3)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"]), r["id"]) for r in suffix_dedup.remove_repeats(df, carry=("n_bytes", "id")).collect())
+    by_id, want = {}, Counter()
+    for i, t in rows:
+        by_id.setdefault(i, set()).update({(t or "").encode()[k : k + 50] for k in range(len((t or "").encode()) - 49)})
+    rank = lambda i: (i is None, i or 0)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - 49):
+            if any(b[k : k + 50] in s for j, s in by_id.items() if rank(j) < rank(i)):
+                gone[k : k + 50] = [True] * 50
+        want[i, len(b), sum(gone), bytes(x for x, g in zip(b, gone) if not g), "c"] += 1
+    assert got == want
 
 
 def test_resampling(spark, docs, empty):
