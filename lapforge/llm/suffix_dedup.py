@@ -79,18 +79,26 @@ class Block:
         at = np.flatnonzero(order == top)
         if not len(at):
             return
-        # the anchor of each start: the first pick from there on that holds the least value
-        start = np.flatnonzero(low)
-        pick = np.zeros(n + 1, np.int32)
-        pick[at + 1] = 1
-        which = np.cumsum(pick)[start]
-        value, low = order[at], low[start]
-        behind = np.flatnonzero(value[which] != low)
-        while len(behind):
-            which[behind] += 1
-            behind = behind[value[which[behind]] != low[behind]]
-        first = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)]))
-        self.at, self.low, self.high = at[which[first]], start[first], start[np.append(first[1:], len(start)) - 1] + 1
+        # a pick holds the starts from which no earlier pick is as small, up to those that reach a smaller one; both bounds are picks
+        value, row = order[at], np.searchsorted(self.offsets, at, "right") - 1
+        first = np.maximum(at - width + 1, self.offsets[row])
+        last = np.minimum(at, self.offsets[row + 1] - self.length)
+        open_, lag = np.arange(len(at)), 1
+        while len(open_):
+            open_ = open_[open_ >= lag]
+            open_ = open_[at[open_ - lag] >= first[open_]]
+            found = value[open_ - lag] <= value[open_]
+            first[open_[found]] = at[open_[found] - lag] + 1
+            open_, lag = open_[~found], lag + 1
+        open_, lag = np.arange(len(at)), 1
+        while len(open_):
+            open_ = open_[open_ + lag < len(at)]
+            open_ = open_[at[open_ + lag] - width < last[open_]]
+            found = value[open_ + lag] < value[open_]
+            last[open_[found]] = at[open_[found] + lag] - width
+            open_, lag = open_[~found], lag + 1
+        used = first <= last
+        self.at, self.low, self.high = at[used], first[used], last[used] + 1
 
     def recur(self, anchors: HashArrays) -> None:
         """Keep the units of recurring anchors; those of hot anchors fall into single strings."""
@@ -168,22 +176,22 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
     symbols at least, equal ones by string. The symbol of a whole string is 0; its map is its own rank.
     """
     n = len(data) + len(size)
-    ends = np.cumsum(size + 1) - 1
-    text = np.zeros(n, np.uint64)
-    inside = np.ones(n, bool)
-    inside[ends] = False
-    text[inside] = data.astype(np.uint64) + U64(1)
     string = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    offset = (np.arange(n) - np.repeat(ends - size, size + 1)).astype(np.int32)
+    offset = (np.arange(n) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)).astype(np.int32)
     left = np.repeat(size, size + 1) - offset
-    key, width = text.copy(), 1
-    while width < 7:  # seven symbols of nine bits
-        key[:-1] = np.where(inside[:-1], (text[:-1] << U64(9 * width)) | key[1:], U64(0))
-        key[-1] = 0
-        width += 1
+    inside = left > 0
+    padded = np.zeros(n + 6 * len(size) + 6, np.uint64)  # seven end marks a string, so that no key reaches into the next
+    at = np.arange(n) + np.int64(6) * string
+    padded[at[inside]] = data
+    padded[at[inside]] += U64(1)
+    key = padded[: len(padded) - 6].copy()
+    for i in range(1, 7):  # seven symbols of nine bits
+        key <<= U64(9)
+        key |= padded[i : len(padded) - 6 + i]
+    key, text, width = key[at], padded[at].astype(np.int16), 7
     order = np.argsort(key, kind="stable")
     start = _starts(key[order])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     count = np.diff(np.append(start, n))
     rank[order] = np.repeat(start, count)
     tied = order[np.repeat(count > 1, count)]
@@ -202,11 +210,12 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
         rank[tied] = np.repeat(fresh[start], count)
         tied = tied[np.repeat(count > 1, count)]
         width *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.where(offset[order] > 0, order - 1, order)
-    symbol = np.where(offset[order] > 0, text[before] - U64(1), U64(0)).astype(np.uint8)
-    return symbol, place[before].astype(np.int32), string[order], offset[order]
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    offset = offset[order]
+    before = order - (offset > 0)
+    symbol = np.where(offset > 0, text[before] - 1, 0).astype(np.uint8)
+    return symbol, place[before], string[order], offset
 
 
 def merge_bwts(symbol: np.ndarray, back: np.ndarray, rank: np.ndarray, interval: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
