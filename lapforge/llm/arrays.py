@@ -173,3 +173,59 @@ def minimizers(gram: np.ndarray, ptr: np.ndarray, w: int) -> np.ndarray:
     padded = np.concatenate([np.zeros(w - 1, U64), low, np.zeros(w - 1, U64)])
     top = ~sliding_min(~padded, w)
     return np.flatnonzero((gram == top) & (top > 0))
+
+
+def held_starts(value: np.ndarray, at: np.ndarray, width: int, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the runs of ``width`` values whose leftmost least value is each pick.
+
+    ``at`` are the sorted places that hold the least value of some run (ties included),
+    ``floor`` and ``ceiling`` the first and last start in the row of each. Where last is
+    before first, the pick is the leftmost of no run. A pick holds the starts from which no
+    earlier value is as small, up to those that reach a smaller one; both bounds are picks.
+    """
+    low = value[at]
+    first, last = np.maximum(at - width + 1, floor), np.minimum(at, ceiling)
+    open_, lag = np.arange(len(at)), 1
+    while len(open_):
+        open_ = open_[open_ >= lag]
+        open_ = open_[at[open_ - lag] >= first[open_]]
+        found = low[open_ - lag] <= low[open_]
+        first[open_[found]] = at[open_[found] - lag] + 1
+        open_, lag = open_[~found], lag + 1
+    open_, lag = np.arange(len(at)), 1
+    while len(open_):
+        open_ = open_[open_ + lag < len(at)]
+        open_ = open_[at[open_ + lag] - width < last[open_]]
+        found = low[open_ + lag] < low[open_]
+        last[open_[found]] = at[open_[found] + lag] - width
+        open_, lag = open_[~found], lag + 1
+    return first, last
+
+
+def units(value: np.ndarray, ptr: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pick, first start, last start) of the units of rows value[ptr[i]:ptr[i+1]]: every run of ``width`` values lies in one."""
+    at = minimizers(value, ptr, width)
+    row = np.searchsorted(ptr, at, "right") - 1
+    first, last = held_starts(value, at, width, ptr[row], ptr[row + 1] - width)
+    used = first <= last
+    return at[used], first[used], last[used]
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i] .. start[i] + count[i] - 1, one after the other."""
+    step = np.repeat(start - (np.cumsum(count) - count), count)
+    return step + np.arange(len(step))
+
+
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    change = np.ones(len(keys[0]), bool)
+    change[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(change)
+
+
+def reduced(ufunc, values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """ufunc.reduceat that knows the empty array."""
+    return ufunc.reduceat(values, start) if len(start) else values[:0]

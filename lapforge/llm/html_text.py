@@ -1,33 +1,35 @@
-"""Main text of web pages: markup rules, and a suffix array per host over all pages.
-
-1. Each page is cut into blocks. Scripts, styles, navigation, headers and footers of the
-   page, asides, forms, and elements whose class or id names a menu, advert, notice,
-   sidebar or comment are dropped with all they hold. Blocks inside the marked article of
-   the page (``article``, else ``main``) are noted as such.
-2. The token streams of the blocks of every page, with an article or without, are
-   concatenated by host and put in a suffix array (by prefix doubling up to ``run`` tokens).
-   Runs of at least ``run`` tokens found on ``min_pages`` distinct pages of the host are
-   boilerplate.
-3. A block goes by the share of its tokens that lie in such runs, and markup only weighs
-   it: a block of a page that marks no article goes from ``OPEN_SHARE`` on, a block of an
-   article from ``ARTICLE_SHARE`` on; a block beside the article stays if it has ``run``
-   tokens and none is repeated. Where more than half of an article is repeated, the page is
-   a copy of others and its article stays whole: copies are no boilerplate.
-
-Scale: a host is cut into parts of about ``PART_PAGES`` pages by a hash of the page, so a
-host with a third of all pages is many tasks. Pages of a run are counted over the whole
-host, however it is cut: each part emits its distinct runs (64-bit hashes, counted by its
-suffix array), the counts are added by (host, bucket of the hash), and each part gets back
-those of its runs that reach ``min_pages``. Hosts of one part need no such round.
-
-Edge cases: a null or empty html gives the empty text; unclosed and stray tags are
-tolerated (an end tag closes the nearest open element of its name, else nothing); a null
-url counts as one host; repeated rows stay rows; text in no block element is a block.
+"""Main text of web pages: markup, and a suffix array of each host's token streams.
+
+1. Each page is cut into blocks by one linear scan. Elements that never hold main text
+   (scripts, navigation, asides, forms, footers, the page's header, articles inside an
+   article, which are reader comments) and elements whose class, id or role is made of
+   boilerplate words alone (``cookie-notice``, but not ``ad-hoc``) are dropped with all they
+   hold, if they are closed: one that is left open to the end of its parent takes nothing
+   along. Blocks inside ``main``, else inside ``article``, are noted as marked.
+2. The blocks of a page are one token stream. Runs of ``run`` tokens found on ``min_pages``
+   distinct pages of a host are boilerplate. Equal runs have equal least phrases (by hash),
+   so a host's suffix array is built in pieces by that phrase: phrases on fewer pages are
+   left out in a first pass, the stretches of the others are concatenated by shard (equal
+   ones once, with their pages), their suffix array is sorted by ``run`` tokens, and each of
+   its intervals adds up the distinct pages of its stretches.
+3. A block goes by the share of its tokens that lie in such runs; markup only weighs it: a
+   block of a page that marks nothing goes from ``OPEN_SHARE`` on, a marked block from
+   ``ARTICLE_SHARE`` on; a block beside the marked ones stays if it has ``run`` tokens and
+   none is repeated. Where more than half of the marked text is repeated, the page is a copy
+   of others and its marked text stays whole: copies are no boilerplate.
+
+Scale: no host, page or text is shuffled, only hashes and the stretches of recurring phrases;
+shards follow the size of the texts, however pages spread over hosts. The parsed blocks are
+staged once.
+
+Edge cases: a null or empty html gives the empty text; stray end tags are ignored; a null
+url counts as one host; repeated rows of a page id are one page of its host (pages without
+an id are told apart by their html) and stay rows; text in no block element is a block; an
+empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -37,113 +39,161 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .arrays import HashArrays, pack, packed_schema, ranges, reduced, run_starts, units, unpack
+from .common import shards_for, staged
+from .wordhash import grams, mix, utf8_parts, words
 
-RUN, MIN_PAGES, PART_PAGES = 8, 3, 2048
+RUN, PHRASE, MIN_PAGES = 8, 4, 3
 OPEN_SHARE, ARTICLE_SHARE = 0.5, 0.8
-MAX_BUCKETS = 1024
+SHARD_BYTES = 48 << 20
+U64 = np.uint64
 
-# Element names of HTML, and words that name boilerplate in class and id.
+# Element names of HTML, and words that name boilerplate in class, id and role, or only place it.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+OPTIONAL_END = frozenset("p li dd dt option optgroup tr td th thead tbody tfoot".split())
 DROPPED = frozenset("nav aside footer form button select option fieldset dialog svg canvas object audio video map head menu".split())
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices alert gdpr "
+    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist disqus "
-    "reply replies related recommended share sharing social newsletter subscribe signup login search pagination pager popup modal overlay widget".split()
+    "reply replies related recommended share sharing social newsletter subscribe signup login search pagination pager popup modal overlay "
+    "complementary contentinfo".split()
 )
+PLACES = frozenset("site page main top bottom left right side upper lower box bar block wrapper wrap container section list item items area inner outer widget links buttons icons form post reader user global header".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]).*?(?:>|\Z)", re.S | re.I) for name in RAW}
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/><]*))")
+_ATTRS = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_boilerplate(name: str, attrs: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
-    return any(word in BOILERPLATE for m in _NAMES.finditer(attrs) for word in _SPLIT.split(m[1].lower()))
+def _named_boilerplate(attrs: str) -> bool:
+    """Whether a class, id or role consists of words for boilerplate and for its place, one of the former at least."""
+    for m in _NAMES.finditer(attrs):
+        for name in m[1].strip("\"'").lower().split():
+            parts = [p for p in _SPLIT.split(name) if p]
+            if any(p in BOILERPLATE for p in parts) and all(p in BOILERPLATE or p in PLACES for p in parts):
+                return True
+    return False
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of every tag; comments and the like have no name. One pass, whatever is left open."""
+    at, quoted, end_mark = 0, True, {"-->": True, "]]>": True}
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if m[1] or m[2]:
+            mark = "-->" if m[1] else "]]>"
+            end = page.find(mark, m.end()) if end_mark[mark] else -1
+            end_mark[mark] = end >= 0
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        closed = _ATTRS.match(page, m.end()) if quoted and m[5] else None
+        if closed is None:
+            quoted = quoted and not m[5]  # a quote is left open: from here on, quotes hide no tag's end
+            end = page.find(">", m.end())
+            if end < 0:
+                return  # what looks like a tag and never ends is text, and so is all after it
+            at = end + 1
+        else:
+            at = closed.end()
+        back = yield start, at, m[4] or "", (m[5] or "").lower(), page[m.end() : at - 1] if m[5] else ""
+        if back is not None:
+            at = back
 
 
 def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, whether inside the marked article) of the blocks in page order."""
-    out: list[tuple[str, bool, bool]] = []  # text, inside article, inside main
-    stack: list[tuple[str, bool]] = []  # open block elements, and whether they are boilerplate
-    counts = {"article": 0, "main": 0}
-    dropped, seen, buffer, at, page = 0, {"article": False, "main": False}, [], 0, page or ""
+    """(text, whether marked as main text) of the blocks in page order."""
+    page, out, buffer = page or "", [], []  # out: text, inside article, inside main, innermost element to drop around it
+    stack: list[tuple[str, int]] = []  # open elements and, for those to drop, their number (else 0)
+    place: dict[str, list[int]] = {}  # of each name in the stack
+    around, parent, closed = [0], [0], set()  # elements to drop: open ones, the one around each, those closed
+    missing, at = set(), 0
 
     def flush() -> None:
         if buffer:
-            text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
-            if text:
-                out.append((text, counts["article"] > 0, counts["main"] > 0))
+            if text := _SPACE.sub(" ", html.unescape("".join(buffer))).strip():
+                out.append((text, bool(place.get("article")), bool(place.get("main")), around[-1]))
             buffer.clear()
 
     def close(depth: int) -> None:
-        nonlocal dropped
+        """Close what is open from ``depth`` on; what is left open inside was to have an end tag, or not."""
         while len(stack) > depth:
-            name, bad = stack.pop()
-            dropped -= bad
-            if name in counts:
-                counts[name] -= 1
-
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside a raw element
-        if not dropped and m.start() > at:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            name, number = stack.pop()
+            place[name].pop()
+            if number:
+                around.pop()
+                if len(stack) == depth or name in OPTIONAL_END:
+                    closed.add(number)
+
+    tags, jump = _tags(page), None
+    while True:
+        try:
+            start, end, slash, name, attrs = tags.send(jump) if jump is not None else next(tags)
+        except StopIteration:
+            break
+        jump = None
+        if start > at:
+            buffer.append(page[at:start])
+        at = end
+        if not name:
+            continue
+        inline = name in INLINE
+        if slash:
+            if place.get(name):
+                flush()
+                close(place[name][-1])
+            elif not inline:
+                flush()
             continue
-        name = m[2].lower()
-        if name in INLINE and not (m[1] == "" and _is_boilerplate(name, m[3])):
-            if name == "br" and not dropped:
+        bad = name in DROPPED or (name == "header" and not (place.get("article") or place.get("main"))) or (name == "article" and bool(place.get("article")))
+        bad = bad or (name not in ("html", "body", "main") and bool(attrs) and _named_boilerplate(attrs))
+        if inline and not bad:
+            if name == "br":
                 buffer.append(" ")
-            if m[1] and any(n == name for n, _ in stack):  # the end of a boilerplate inline element
-                close(max(i for i, (n, _) in enumerate(stack) if n == name))
             continue
-        if not dropped:
-            flush()
-        if m[1]:
-            open_at = [i for i, (n, _) in enumerate(stack) if n == name]
-            if open_at:
-                close(open_at[-1])
-        elif name in RAW:
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].endswith("/"):
-            if name == "p" and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)  # a new paragraph ends an open one
-            inside = counts["article"] or counts["main"]
-            bad = _is_boilerplate(name, m[3]) or (name == "header" and not inside)
-            stack.append((name, bad))
-            dropped += bad
-            if name in counts:
-                counts[name] += 1
-                seen[name] = seen[name] or not dropped
-    if not dropped and at < len(page):
+        flush()
+        if name in RAW and name not in missing:
+            if ended := _RAW_END[name].search(page, at):
+                at = jump = ended.end()
+            elif name in ("script", "style"):
+                at = jump = len(page)
+            else:
+                missing.add(name)
+        elif name not in VOID and name not in RAW and not attrs.endswith("/"):
+            if name in ("p", "li") and stack and stack[-1][0] == name:
+                close(len(stack) - 1)  # a new paragraph or item ends an open one
+            stack.append((name, len(parent) if bad else 0))
+            place.setdefault(name, []).append(len(stack) - 1)
+            if bad:
+                parent.append(around[-1])
+                around.append(len(parent) - 1)
+    if at < len(page):
         buffer.append(page[at:])
     flush()
-    by = 1 if seen["article"] else 2
-    return [(block[0], block[by]) for block in out]
+    closed.update(number for name, number in stack if name in OPTIONAL_END)
+    gone = [False]
+    for number in range(1, len(parent)):
+        gone.append(number in closed or gone[parent[number]])
+    kept = [b for b in out if not gone[b[3]]]
+    by = 2 if any(b[2] for b in kept) else 1
+    return [(b[0], b[by]) for b in kept]
 
 
-def host_runs(token: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of all runs of ``run`` tokens, equal ones together; number of each; distinct pages of each number).
+def host_runs(token: np.ndarray, stretch: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all runs of ``run`` tokens in suffix-array order, the interval of equal runs of each).
 
-    ``token`` concatenates the streams of all pages (numbers from 1 on), ``page`` numbers
-    them. The suffix array is built by doubling until suffixes are sorted by ``run`` tokens.
+    ``token`` concatenates streams of numbers from 1 on, ``stretch`` numbers them. The
+    suffix array is built by doubling until suffixes are sorted by ``run`` tokens.
     """
     n = len(token)
-    none = np.zeros(0, np.int64)
-    if n < run:
-        return none, none, none
+    whole = np.flatnonzero(stretch[: n - run + 1] == stretch[run - 1 :]) if n >= run else np.zeros(0, np.int64)
     rank, width = token.astype(np.int64), 1
-    while width < run:
+    while width < run and len(whole):
         step = min(width, run - width)
         after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
         order = np.lexsort((after, rank))
@@ -152,154 +202,176 @@ def host_runs(token: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(change)
         width += step
-    whole = np.flatnonzero(page[: n - run + 1] == page[run - 1 :])
-    if not len(whole):
-        return none, none, none
-    suffix = whole[np.lexsort((page[whole], rank[whole]))]
-    new_rank = np.concatenate([[True], rank[suffix][1:] != rank[suffix][:-1]])
-    new_page = new_rank | np.concatenate([[True], page[suffix][1:] != page[suffix][:-1]])
-    number = np.cumsum(new_rank) - 1
-    return suffix, number, np.bincount(number, weights=new_page).astype(np.int64)
-
-
-def covered(n: int, starts: np.ndarray, run: int) -> np.ndarray:
-    """Whether each of n tokens lies in a run from one of the starts."""
-    mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + run, -1)
-    return np.cumsum(mark[:-1]) > 0
-
-
-def repeated_tokens(token: np.ndarray, page: np.ndarray, run: int, min_pages: int) -> np.ndarray:
-    """Whether each token lies in a run of ``run`` tokens found on ``min_pages`` distinct pages."""
-    starts, number, pages = host_runs(token, page, run)
-    return covered(len(token), starts[pages[number] >= min_pages], run)
-
-
-class _Streams:
-    """The token streams of the pages of a part."""
-
-    def __init__(self, rows: pa.Table):
-        self.lists, self.inside = rows.column("blocks").to_pylist(), rows.column("inside").to_pylist()
-        self.number: dict[str, int] = {}
-        streams = [[self.number.setdefault(w, len(self.number) + 1) for w in text.split()] for each in self.lists for text in each]
-        self.token = np.array([w for s in streams for w in s], np.int64)
-        self.sizes = [len(s) for s in streams]
-        self.page = np.repeat([p for p, each in enumerate(self.lists) for _ in each], self.sizes).astype(np.int64)
-
-    def run_hashes(self, starts: np.ndarray, run: int) -> np.ndarray:
-        """64-bit hash of the words of the run from each start, the same in every part."""
-        words = np.array([0, *(int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in self.number)], np.uint64)
-        out = np.zeros(len(starts), np.uint64)
-        for k in range(run):
-            out = (out ^ words[self.token[starts + k]]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
-
-    def text(self, gone: np.ndarray, run: int) -> list[str]:
-        """Text of each page, given the repeated tokens."""
-        end = np.cumsum(self.sizes).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        hits, at, out = (total[end] - total[end - self.sizes]).tolist() if len(end) else [], 0, []
-        for texts, inside in zip(self.lists, self.inside):
-            sizes, hit = self.sizes[at : at + len(texts)], hits[at : at + len(texts)]
-            at += len(texts)
-            marked = any(inside)
-            copy = 2 * sum(h for h, i in zip(hit, inside) if i) > sum(n for n, i in zip(sizes, inside) if i)
-            kept = []
-            for text, i, n, h in zip(texts, inside, sizes, hit):
-                if (copy or h < ARTICLE_SHARE * n) if i else (n >= run and not h) if marked else h < OPEN_SHARE * n:
-                    kept.append(text)
-            out.append("\n".join(kept))
-        return out
-
-
-def _with_text(rows: pa.Table, text: list[str]) -> pa.Table:
-    return rows.select(["page_id", "url"]).append_column("text", pa.array(text, pa.string()))
-
-
-def _strip_host(run: int, min_pages: int):
-    """Text of the pages of a host of one part."""
-
-    def strip(rows: pa.Table) -> pa.Table:
-        s = _Streams(rows)
-        return _with_text(rows, s.text(repeated_tokens(s.token, s.page, run, min_pages), run))
-
-    return strip
-
-
-def _part_runs(run: int, min_pages: int):
-    """Distinct runs of a part by bucket of their hash, each with its pages (no more than ``min_pages``)."""
-
-    def runs(rows: pa.Table) -> pa.Table:
-        s = _Streams(rows)
-        starts, number, pages = host_runs(s.token, s.page, run)
-        first = np.flatnonzero(np.diff(number, prepend=-1))
-        hashes, pages = s.run_hashes(starts[first], run), np.minimum(pages, min_pages).astype(np.uint32)
-        n = min(rows.column("n")[0].as_py(), MAX_BUCKETS)
-        bucket = (hashes % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(n + 1))
-        each = [order[a:b] for a, b in zip(cut, cut[1:])]
-        return pa.table({
-            "host": pa.array([rows.column("host")[0].as_py()] * n, pa.string()), "bucket": pa.array(range(n), pa.int64()),
-            "part": pa.array([rows.column("part")[0].as_py()] * n, pa.int64()),
-            "hashes": pa.array([hashes[o].tobytes() for o in each], pa.binary()), "pages": pa.array([pages[o].tobytes() for o in each], pa.binary()),
-        })
-
+    suffix = whole[np.argsort(rank[whole], kind="stable")]
+    begin = run_starts(rank[suffix])
+    return suffix, np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(suffix))))
+
+
+class Streams:
+    """Token streams of the pages of a batch (host, page, blocks)."""
+
+    def __init__(self, batch: pa.RecordBatch, run: int):
+        host, self.page = (np.asarray(batch.column(i), np.int64).view(U64) for i in (0, 1))
+        lists = batch.column(2)
+        data, offsets = utf8_parts(lists.flatten())
+        word, _, _, self.block_ptr = words(data, offsets)
+        at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))])
+        self.ptr, self.blocks_of = self.block_ptr[at], at
+        self.token = mix(word ^ np.repeat(mix(host), np.diff(self.ptr)))  # tokens of different hosts differ
+        self.phrase, self.first_word, phrase_ptr = grams(self.token, self.ptr, min(PHRASE, run))
+        self.at, self.low, self.high = units(self.phrase, phrase_ptr, run - min(PHRASE, run) + 1)
+        self.row = np.searchsorted(phrase_ptr, self.at, "right") - 1
+        self.run = run
+
+    def keep(self, recurring: HashArrays) -> None:
+        key = self.phrase[self.at]
+        hit, _ = recurring.lookup(key >> U64(32), key)
+        self.at, self.low, self.high, self.row = self.at[hit], self.low[hit], self.high[hit], self.row[hit]
+
+    def run_hash(self, start: np.ndarray) -> np.ndarray:
+        """Hash of the run from each start word."""
+        return run_hash(self.token, start, self.run)
+
+
+def run_hash(token: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
+    out = np.zeros(len(start), U64)
+    for k in range(run):
+        out = (out ^ token[start + k]) * U64(0x9E3779B97F4A7C15)
+        out ^= out >> U64(29)
+    return out
+
+
+def _recurring(pages: DataFrame, run: int, min_pages: int, n_shards: int) -> HashArrays:
+    """Least phrases (by the upper half of their hash, enough for a first sieve) on ``min_pages`` pages of a host."""
+    phrases = HashArrays.named(pages, "html-phrases", {}, n_shards)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Streams(batch, run)
+            key, page = s.phrase[s.at], s.page[s.row]
+            order = np.lexsort((page, key))
+            one = order[run_starts(key[order], page[order])]
+            start = run_starts(key[one])
+            count = np.minimum(np.diff(np.append(start, len(one))), min_pages).astype(np.uint8)
+            key = key[one][start]
+            yield pack((key >> U64(32)).astype(np.uint32), [count], n_shards, (key % U64(n_shards)).astype(np.int64))
+
+    def merge(rows: pa.Table):
+        key, count = unpack(rows, [np.uint32, np.uint8])
+        order = np.argsort(key, kind="stable")
+        start = run_starts(key[order])
+        return key[order][start][reduced(np.add, count[order].astype(np.int64), start) >= min_pages].astype(U64), {}
+
+    phrases.fill(pages.mapInArrow(send, packed_schema(2)), merge)
+    return phrases
+
+
+def _boilerplate(pages: DataFrame, phrases: HashArrays, run: int, min_pages: int, n_shards: int) -> HashArrays:
+    """Hashes of the runs on ``min_pages`` distinct pages of a host, from the suffix arrays of the shards."""
+    runs = HashArrays.named(pages, "html-runs", {}, n_shards)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Streams(batch, run)
+            s.keep(phrases)
+            first, last = s.first_word[s.low], s.first_word[s.high]
+            size, page = last - first + run, s.page[s.row]
+            key = mix(s.run_hash(first) * U64(3) + mix(s.run_hash(last)) + size.astype(U64))  # the two runs overlap: all words count
+            shard = (s.phrase[s.at] % U64(n_shards)).astype(np.int64)
+            order = np.lexsort((page, key, shard))
+            one = order[run_starts(key[order], page[order])]
+            start = run_starts(key[one])  # of the rows of one stretch: a row a page, the first min_pages of them
+            nth = np.arange(len(one)) - np.repeat(start, np.diff(np.append(start, len(one))))
+            one, lead = one[nth < min_pages], (nth == 0)[nth < min_pages]
+            cut = np.searchsorted(shard[one], np.arange(n_shards + 1))
+            used = np.flatnonzero(np.diff(cut))
+            rows = [[], [], [], []]
+            for s_ in used:
+                part, leads = one[cut[s_] : cut[s_ + 1]], lead[cut[s_] : cut[s_ + 1]]
+                rows[0].append(key[part].tobytes())
+                rows[1].append(page[part].tobytes())
+                rows[2].append(np.where(leads, size[part], 0).astype(np.uint8).tobytes())  # 0: the words came with the row before
+                rows[3].append(s.token[ranges(first[part[leads]], size[part[leads]])].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [pa.array(r, pa.binary()) for r in rows], names=["shard", "b0", "b1", "b2", "b3"])
+
+    def merge(rows: pa.Table):
+        key, page, size, token = unpack(rows, [U64, U64, np.uint8, U64])
+        size = size.astype(np.int64)
+        low = np.cumsum(size) - size
+        order = np.lexsort((size == 0, key))  # a row with words first
+        start = run_starts(key[order])
+        lead = order[start]
+        stream = token[ranges(low[lead], size[lead])]
+        _, number = np.unique(stream, return_inverse=True)
+        suffix, interval = host_runs(number + 1, np.repeat(np.arange(len(lead)), size[lead]), run)
+        of = np.repeat(np.arange(len(lead)), size[lead])[suffix] if len(suffix) else suffix
+        # distinct pages of each interval: those of all its stretches
+        page, by = page[order], np.append(start, len(order))
+        many = np.diff(by)[of] if len(of) else of
+        pair_interval, pair_page = np.repeat(interval, many), page[ranges(by[of], many)]
+        sort = np.lexsort((pair_page, pair_interval))
+        one = run_starts(pair_interval[sort], pair_page[sort])
+        pages_of = np.bincount(pair_interval[sort][one], minlength=int(interval.max(initial=-1)) + 1)
+        first = suffix[run_starts(interval)]
+        return run_hash(stream, first[pages_of >= min_pages], run), {}
+
+    runs.fill(pages.mapInArrow(send, packed_schema(4)), merge)
     return runs
 
 
-def _add_pages(min_pages: int):
-    """Of a bucket of a host, the runs of each part that reach ``min_pages`` pages over all parts."""
-
-    def add(rows: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(b, np.uint64) for b in rows.column("hashes").to_pylist()]
-        pages = np.concatenate([np.frombuffer(b, np.uint32) for b in rows.column("pages").to_pylist()])
-        every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        hit = np.bincount(at, weights=pages, minlength=len(every))[at] >= min_pages
-        cut = np.cumsum([len(h) for h in hashes])
-        got = [h[hit[e - len(h) : e]].tobytes() for h, e in zip(hashes, cut)]
-        return rows.select(["host", "part"]).append_column("hashes", pa.array(got, pa.binary()))
-
-    return add
-
-
-def _strip_part(run: int):
-    """Text of the pages of a part, given its runs that are boilerplate of the host."""
-
-    def strip(rows: pa.Table, found: pa.Table) -> pa.Table:
-        s = _Streams(rows)
-        whole = np.flatnonzero(s.page[: max(len(s.page) - run + 1, 0)] == s.page[run - 1 :])
-        hits = np.frombuffer(b"".join(found.column("hashes").to_pylist()), np.uint64)
-        return _with_text(rows, s.text(covered(len(s.token), whole[np.isin(s.run_hashes(whole, run), hits)], run), run))
-
-    return strip
-
-
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = MIN_PAGES, part_pages: int = PART_PAGES) -> DataFrame:
+def covered(s: Streams, phrases: HashArrays, runs: HashArrays) -> np.ndarray:
+    """Whether each token of the batch lies in a run that is boilerplate of its host."""
+    s.keep(phrases)
+    count = s.high - s.low + 1
+    start = s.first_word[ranges(s.low, count)]
+    hit, _ = runs.lookup(s.run_hash(start), np.repeat(s.phrase[s.at], count))
+    begins = np.zeros(len(s.token), np.int64)
+    begins[start[hit]] = 1
+    total = np.concatenate([np.zeros(s.run, np.int64), np.cumsum(begins)])
+    return total[s.run :] > total[: -s.run]
+
+
+def _texts(s: Streams, gone: np.ndarray, lists: list, marks: list) -> list[str]:
+    """Text of each page, given the repeated tokens."""
+    total = np.concatenate([[0], np.cumsum(gone)])
+    hits, sizes, out = np.diff(total[s.block_ptr]).tolist(), np.diff(s.block_ptr).tolist(), []
+    for at, texts, inside in zip(s.blocks_of.tolist(), lists, marks):
+        size, hit = sizes[at : at + len(texts)], hits[at : at + len(texts)]
+        marked = any(inside)
+        copy = 2 * sum(h for h, i in zip(hit, inside) if i) > sum(n for n, i in zip(size, inside) if i)
+        kept = []
+        for text, i, n, h in zip(texts, inside, size, hit):
+            if (copy or h < ARTICLE_SHARE * n or not h) if i else (n >= s.run and not h) if marked else (h < OPEN_SHARE * n or not h):
+                kept.append(text)
+        out.append("\n".join(kept))
+    return out
+
+
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page id, url, text, n_chars) of every page."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [blocks(p) for p in batch.column(2).to_pylist()]
+            got = [blocks(p) for p in batch.column(4).to_pylist()]
             text = pa.array([[t for t, _ in page] for page in got], pa.list_(pa.string()))
             inside = pa.array([[i for _, i in page] for page in got], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, inside], names=["page_id", "url", "blocks", "inside"])
-
-    pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, blocks array<string>, inside array<boolean>"), "pages")
-    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]+)", 1), F.lit(""))
-    parsed = parsed.withColumn("host", host)
-    # hosts of more than one part: no more than pages / part_pages rows
-    large = parsed.groupBy("host").agg(F.ceil(F.count("*") / part_pages).alias("n")).where("n > 1")
-    large = staged(large, "hosts")
-    out = f"page_id {kind}, url string, text string"
-    small = parsed.join(F.broadcast(large), "host", "left_anti").groupBy("host").applyInArrow(_strip_host(run, min_pages), out)
-    parts = parsed.join(F.broadcast(large), "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.col("n")))
-    runs = parts.groupBy("host", "part").applyInArrow(_part_runs(run, min_pages), "host string, bucket long, part long, hashes binary, pages binary")
-    found = runs.groupBy("host", "bucket").applyInArrow(_add_pages(min_pages), "host string, part long, hashes binary")
-    split = parts.groupBy("host", "part").cogroup(found.groupBy("host", "part")).applyInArrow(_strip_part(run), out)
-    text = small.unionByName(split)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), text, inside], names=["page_id", "url", "host", "page", "blocks", "inside"])
+
+    host = F.xxhash64(F.coalesce(F.regexp_extract(F.lower(F.col(url_col).cast("string")), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]+)", 1), F.lit("")))
+    page = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(html_col))
+    pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), page.alias("page"), F.col(html_col).alias("html"))
+    n_shards = shards_for(pages, "html", SHARD_BYTES)
+    parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, host long, page long, blocks array<string>, inside array<boolean>"), "pages")
+    streams = parsed.select("host", "page", "blocks")
+    phrases = _recurring(streams, run, min_pages, n_shards)
+    runs = _boilerplate(streams, phrases, run, min_pages, n_shards)
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = Streams(batch, run)
+            text = _texts(s, covered(s, phrases, runs), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    text = parsed.select("host", "page", "blocks", "inside", "page_id", "url").mapInArrow(strip, f"page_id {kind}, url string, text string")
     return text.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

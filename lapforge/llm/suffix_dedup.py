@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import HashArrays, pack, packed_schema, sliding_min, unpack
+from .arrays import HashArrays, held_starts, pack, packed_schema, ranges, reduced, run_starts, sliding_min, unpack
 from .common import shards_for
 from .wordhash import mix, powers_down, prefix_hash, span_hash, spans, utf8_parts
 
@@ -79,24 +79,8 @@ class Block:
         at = np.flatnonzero(order == top)
         if not len(at):
             return
-        # a pick holds the starts from which no earlier pick is as small, up to those that reach a smaller one; both bounds are picks
-        value, row = order[at], np.searchsorted(self.offsets, at, "right") - 1
-        first = np.maximum(at - width + 1, self.offsets[row])
-        last = np.minimum(at, self.offsets[row + 1] - self.length)
-        open_, lag = np.arange(len(at)), 1
-        while len(open_):
-            open_ = open_[open_ >= lag]
-            open_ = open_[at[open_ - lag] >= first[open_]]
-            found = value[open_ - lag] <= value[open_]
-            first[open_[found]] = at[open_[found] - lag] + 1
-            open_, lag = open_[~found], lag + 1
-        open_, lag = np.arange(len(at)), 1
-        while len(open_):
-            open_ = open_[open_ + lag < len(at)]
-            open_ = open_[at[open_ + lag] - width < last[open_]]
-            found = value[open_ + lag] < value[open_]
-            last[open_[found]] = at[open_[found] + lag] - width
-            open_, lag = open_[~found], lag + 1
+        row = np.searchsorted(self.offsets, at, "right") - 1
+        first, last = held_starts(order, at, width, self.offsets[row], self.offsets[row + 1] - self.length)
         used = first <= last
         self.at, self.low, self.high = at[used], first[used], last[used] + 1
 
@@ -108,8 +92,7 @@ class Block:
         many = np.flatnonzero(hit & hot)
         if len(many):
             size = self.high[many] - self.low[many]
-            each = np.repeat(many, size)
-            start = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size) + self.low[each]
+            each, start = np.repeat(many, size), ranges(self.low[many], size)
             parts.append((start, start + 1, self.at[each], self.anchor[each], self.doc[each]))
         self.low, self.high, self.at, self.anchor, self.doc = (np.concatenate(x) for x in zip(*parts))
         alone = np.arange(len(self.low)) >= len(self.low) - (len(parts[-1][0]) if len(many) else 0)
@@ -126,25 +109,6 @@ def blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[Block, int, int
         yield Block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], length), a, b
 
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys start."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    change = np.ones(len(keys[0]), bool)
-    change[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(change)
-
-
-def _reduce(ufunc, values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return ufunc.reduceat(values, start) if len(start) else values[:0]
-
-
-def _gather(data: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of several spans, one after the other."""
-    step = np.repeat(low - (np.cumsum(size) - size), size)
-    return data[step + np.arange(len(step))]
-
-
 def _recurring(texts: DataFrame, length: int, n_shards: int) -> HashArrays:
     anchors = HashArrays.named(texts, "anchors", {"hot": "uint8"}, n_shards)
 
@@ -153,16 +117,16 @@ def _recurring(texts: DataFrame, length: int, n_shards: int) -> HashArrays:
             for block, *_ in blocks(batch, length):
                 order = np.argsort(block.anchor, kind="stable")
                 key, row = block.anchor[order], block.row[order]
-                one = _starts(key, row)
-                start = _starts(key[one])
+                one = run_starts(key, row)
+                start = run_starts(key[one])
                 count = np.diff(np.append(start, len(one)))
                 yield pack(key[one][start], [np.minimum(count, HOT + 1).astype(np.uint16)], n_shards)
 
     def merge(rows: pa.Table):
         key, count = unpack(rows, [U64, np.uint16])
         order = np.argsort(key, kind="stable")
-        start = _starts(key[order])
-        count = _reduce(np.add, count[order].astype(np.int64), start)
+        start = run_starts(key[order])
+        count = reduced(np.add, count[order].astype(np.int64), start)
         return key[order][start][count > 1], {"hot": count[count > 1] > HOT}
 
     anchors.fill(texts.mapInArrow(send, packed_schema(2)), merge)
@@ -190,7 +154,7 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
         key |= padded[i : len(padded) - 6 + i]
     key, text, width = key[at], padded[at].astype(np.int16), 7
     order = np.argsort(key, kind="stable")
-    start = _starts(key[order])
+    start = run_starts(key[order])
     rank = np.empty(n, np.int32)
     count = np.diff(np.append(start, n))
     rank[order] = np.repeat(start, count)
@@ -202,7 +166,7 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
         tie = (rank[tied].astype(U64) << U64(32)) | rank[tied + width].astype(U64)
         by = np.argsort(tie, kind="stable")
         tied, tie = tied[by], tie[by]
-        group, start = _starts(rank[tied]), _starts(tie)
+        group, start = run_starts(rank[tied]), run_starts(tie)
         nth = np.arange(len(tied)) - np.repeat(group, np.diff(np.append(group, len(tied))))
         order[rank[tied] + nth] = tied
         fresh = rank[tied] + nth
@@ -230,7 +194,7 @@ def merge_bwts(symbol: np.ndarray, back: np.ndarray, rank: np.ndarray, interval:
     """
     alone, steps = [], []
     for i in range(depth + 1):
-        start = _starts(interval)
+        start = run_starts(interval)
         count = np.diff(np.append(start, len(interval)))
         live = np.repeat(count > 1, count)
         alone.append(rank[~live])
@@ -242,7 +206,7 @@ def merge_bwts(symbol: np.ndarray, back: np.ndarray, rank: np.ndarray, interval:
         first = symbol[rank]
         order = np.argsort(first, kind="stable")
         first, rank, interval = first[order], back[rank[order]], interval[order]
-        start = _starts(first, interval)
+        start = run_starts(first, interval)
         interval = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, len(rank))))
     return rank, interval, np.concatenate(alone), np.concatenate(steps)
 
@@ -258,14 +222,14 @@ def _repeats(texts: DataFrame, anchors: HashArrays, length: int, n_shards: int)
                 block.recur(anchors)
                 shard = (block.deal % U64(n_shards)).astype(np.int64)
                 order = np.lexsort((block.doc, block.key, block.anchor, shard))
-                start = _starts(block.key[order], block.anchor[order], shard[order])
+                start = run_starts(block.key[order], block.anchor[order], shard[order])
                 one, last = order[start], order[np.append(start[1:], len(order)) - 1] if len(start) else order
                 shard = shard[one]
                 cut = np.searchsorted(shard, np.arange(n_shards + 1))
                 used = np.flatnonzero(np.diff(cut))
                 cols = (block.key[one], block.anchor[one], block.doc[one], block.doc[last], block.size[one].astype(np.uint16), (block.at - block.low)[one].astype(np.uint8))
                 rows = [[c[cut[s] : cut[s + 1]].tobytes() for s in used] for c in cols]
-                rows.append([_gather(block.data, block.low[one[cut[s] : cut[s + 1]]], block.size[one[cut[s] : cut[s + 1]]]).tobytes() for s in used])
+                rows.append([block.data[ranges(block.low[one[cut[s] : cut[s + 1]]], block.size[one[cut[s] : cut[s + 1]]])].tobytes() for s in used])
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [pa.array(r, pa.binary()) for r in rows], names=["shard", *[f"b{i}" for i in range(7)]])
 
     def merge(rows: pa.Table):
@@ -274,15 +238,15 @@ def _repeats(texts: DataFrame, anchors: HashArrays, length: int, n_shards: int)
         size = size.astype(np.int64)
         low = np.cumsum(size) - size
         order = np.lexsort((doc, key, anchor))
-        start = _starts(key[order], anchor[order])
+        start = run_starts(key[order], anchor[order])
         one = np.sort(order[start])  # in the order of arrival: each source is some blocks of the input
-        doc[order[start]], last[order[start]] = _reduce(np.minimum, doc[order], start), _reduce(np.maximum, last[order], start)
+        doc[order[start]], last[order[start]] = reduced(np.minimum, doc[order], start), reduced(np.maximum, last[order], start)
         key, anchor, doc, last, size, reach, low = (x[one] for x in (key, anchor, doc, last, size, reach, low))
         parts, base = [[], [], [], []], 0
         where = np.zeros(int((size + 1).sum()), np.int32)  # rank of each suffix, by unit and offset
         first = np.cumsum(size + 1) - size - 1
         for a, b in spans(np.concatenate([[0], np.cumsum(size)]), SOURCE_BYTES):
-            symbol, back, string, offset = shard_bwt(_gather(data, low[a:b], size[a:b]), size[a:b], length)
+            symbol, back, string, offset = shard_bwt(data[ranges(low[a:b], size[a:b])], size[a:b], length)
             for part, x in zip(parts, (symbol, back + np.int32(base), string + np.int32(a), offset.astype(np.uint8 if size.max() < 256 else np.uint16))):
                 part.append(x)
             where[first[string + a] + offset] = np.arange(base, base + len(symbol))
@@ -294,20 +258,20 @@ def _repeats(texts: DataFrame, anchors: HashArrays, length: int, n_shards: int)
         place = reach[unit].astype(np.int64) - start  # of the anchor in the string
         order = np.lexsort((place, anchor[unit]))
         unit, start, place = unit[order], start[order], place[order]
-        seed = np.cumsum(np.bincount(_starts(anchor[unit], place), minlength=len(unit)))[: len(unit)]
+        seed = np.cumsum(np.bincount(run_starts(anchor[unit], place), minlength=len(unit)))[: len(unit)]
         rank, interval, alone, steps = merge_bwts(symbol, back, where[first[unit] + start + length], seed, length)
         ptr = np.cumsum(n) - n
         again, later = np.zeros(len(unit), bool), np.zeros(len(unit), bool)  # of every string
         of = string[alone]
         again[ptr[of] + offset[alone] - steps] = last[of] > doc[of]
-        begin = _starts(interval)
+        begin = run_starts(interval)
         count = np.diff(np.append(begin, len(rank)))
         of = string[rank]
-        least = np.repeat(_reduce(np.minimum, doc[of], begin), count)
+        least = np.repeat(reduced(np.minimum, doc[of], begin), count)
         again[ptr[of] + offset[rank]] = last[of] > least
         later[ptr[of] + offset[rank]] = doc[of] > least
         bit = U64(1) << (np.arange(len(unit)) - np.repeat(ptr, n)).astype(U64)
-        again, mask = (_reduce(np.add, np.where(x, bit, U64(0)), ptr) for x in (again, later))
+        again, mask = (reduced(np.add, np.where(x, bit, U64(0)), ptr) for x in (again, later))
         found = (again | mask) > 0
         return key[found], {"anchor": anchor[found], "doc": doc[found], "again": again[found], "mask": mask[found]}
 

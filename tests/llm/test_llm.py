@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -236,7 +237,7 @@ def test_html_repeats_inside_and_beside_articles(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(df).collect()} == want
 
 
-def test_html_pages_of_a_run_are_counted_over_all_parts(spark):
+def test_html_pages_of_a_run_are_counted_over_all_partitions(spark):
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(9999)) for _ in range(n))
     notices, pages, want = {n: say(12) for n in (2, 3, 5)}, [], {}
@@ -246,8 +247,8 @@ def test_html_pages_of_a_run_are_counted_over_all_parts(spark):
         pages.append((i, "http://b.org/%d" % i, f"<p>{own}</p>" + (f"<p>{notice}</p>" if notice else "")))
         want[i] = own + (f"\n{notice}" if on.get(i) == 2 else "")
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    for part_pages in (3, 10, 2048):
-        assert {r["page_id"]: r["text"] for r in html_text.extract(df, part_pages=part_pages).collect()} == want
+    for parts in (1, 3, 40):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(df.repartition(parts)).collect()} == want
 
 
 def test_host_suffix_array_against_counting():
@@ -257,16 +258,83 @@ def test_host_suffix_array_against_counting():
         s = [rng.randint(1, 3) for _ in range(80)]
         token += s
         page += [p] * len(s)
-    got = html_text.repeated_tokens(np.array(token), np.array(page), 6, 3)
-    seen = {}
+    suffix, interval = html_text.host_runs(np.array(token), np.array(page), 6)
+    runs = {}
+    for i, k in zip(suffix.tolist(), interval.tolist()):
+        runs.setdefault(k, []).append(i)
+    want = {}
     for i in range(len(token) - 5):
         if page[i] == page[i + 5]:
-            seen.setdefault(tuple(token[i : i + 6]), set()).add(page[i])
-    want = np.zeros(len(token), bool)
-    for i in range(len(token) - 5):
-        if page[i] == page[i + 5] and len(seen[tuple(token[i : i + 6])]) >= 3:
-            want[i : i + 6] = True
-    assert (got == want).all() and want.any() and not want.all()
+            want.setdefault(tuple(token[i : i + 6]), []).append(i)
+    assert sorted(map(sorted, runs.values())) == sorted(want.values())
+    assert [token[suffix[0] :][:6], *[token[i:][:6] for i in suffix]] == sorted([token[suffix[0] :][:6], *[token[i:][:6] for i in suffix]])
+
+
+def test_html_repeated_runs_against_brute_force(spark):
+    """Pages without any markup but paragraphs: a paragraph goes from half of repeated words on."""
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(40)]
+    phrases_ = [[rng.choice(vocab) for _ in range(rng.randint(6, 14))] for _ in range(30)]
+    rows = []
+    for i in range(90):
+        paragraphs = [sum((rng.choice(phrases_) if rng.random() < 0.4 else [rng.choice(vocab) for _ in range(rng.randint(1, 12))] for _ in range(2)), []) for _ in range(rng.randint(0, 6))]
+        rows.append((None if i % 30 == 7 else i, "https://%s.net/x" % "abc"[i % 3] if i % 9 else None, "".join(f"<p>{' '.join(p)}</p>" for p in paragraphs), "x"))
+    rows += rows[:4] + [(500, "http://a.net", "<p>" + " ".join(rng.choice(vocab) for _ in range(30_000)) + "</p>", "x"), (501, "http://a.net", None, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(7)
+    host = lambda u: (u or "//").split("/")[2] if u else ""
+    seen = {}
+    streams = [[re.findall(r"<p>(.*?)</p>", h or ""), host(u), (p, h if p is None else None)] for p, u, h, _ in rows]
+    for ps, h, page in streams:
+        w = " ".join(ps).split()
+        for k in range(len(w) - 7):
+            seen.setdefault((h, *w[k : k + 8]), set()).add(page)
+    want, dropped = Counter(), 0
+    for (p, u, _, _), (ps, h, _) in zip(rows, streams):
+        w = " ".join(ps).split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 7):
+            if len(seen[(h, *w[k : k + 8])]) >= 3:
+                gone[k : k + 8] = [True] * 8
+        at, kept = 0, []
+        for x in ps:
+            n = len(x.split())
+            hit = sum(gone[at : at + n])
+            at += n
+            if x and (2 * hit < n):
+                kept.append(x)
+            dropped += bool(hit)
+        want[p, u, "\n".join(kept), len("\n".join(kept))] += 1
+    assert Counter(tuple(r) for r in html_text.extract(df).collect()) == want and dropped > 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>real</p><article class='comment'><p>me too</p></article></article>", "real"),
+        ("<article><p>real</p></article><article class='comment'>me too</article>", "real"),
+        ("<article><p>one</p></article><article><p>two</p></article>", "one\ntwo"),
+        ("<main><p>real text</p><article>teaser</article></main>", "real text\nteaser"),
+        ("<article><p id='share-price'>a</p><p class='ad-hoc'>b</p><div class='share-buttons'>c</div></article>", "a\nb"),
+        ("<body><nav><a>Home</a><article><p>text</p></article></body>", "text"),
+        ("<ul><li class=comment>x<li class=comment>y</ul><p>z", "z"),
+        ("<title>t<p>after</p>", "t\nafter"),
+        ("<p>a < b & c &lt; d</p><!-- no", "a < b & c < d"),
+        ("<p title='x>y'>in</p><p title='>out</p>", "in\nout"),
+        ("<p>a\u00a0 \n b</p>\n<pre>c</pre>", "a b\nc"),
+        (None, ""), ("", ""), ("plain", "plain"), ("</p></nav>x", "x"),
+    ],
+)
+def test_html_blocks(page, text):
+    got = html_text.blocks(page)
+    marked = [t for t, i in got if i]
+    assert "\n".join(marked or [t for t, _ in got]) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a<", "<!--", '<a "', "<title>", "<div>", "<p class='", "</div>", "<b></i>", "&amp;", "<nav>x"])
+def test_html_scan_is_linear(piece):
+    began = time.process_time()
+    html_text.blocks(piece * (2_000_000 // len(piece)))
+    assert time.process_time() - began < 20
 
 
 @pytest.mark.parametrize("n", [40, 1500])
