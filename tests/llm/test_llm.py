@@ -373,6 +373,41 @@ def test_phrase_automata(docs, rows, empty):
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_phrase_automata_decide(docs, monkeypatch):
+    """Without matches nothing is marked but copies inside one task; small automata and one task give the same."""
+    mark = lambda: phrases.remove_repeats(docs).agg(F.sum("n_removed"), F.sum(F.xxhash64("doc_id", "kept_text") % 1000003)).first()
+    full = mark()
+    monkeypatch.setattr(phrases, "marks", lambda t, a, w, n, whole=phrases.marks: whole(t, a, w, 3, patterns=5))
+    assert mark() == full and full[0] > 0
+    monkeypatch.setattr(phrases, "_marks", lambda *_: [np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int64)])
+    assert phrases.remove_repeats(docs.repartition(60)).agg(F.sum("n_removed")).first()[0] < 0.5 * full[0]
+
+
+def test_phrase_repeated_ids_nulls_and_places_in_one_text(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(n))
+    p, q = say(30), say(22)
+    rows = [(4, f"{p} x {p} {q}"), (4, f"{p} y"), (4, p), (1, f"y {p} 1"), (3, f"z {q}"), (None, f"{p} {q}"), (None, None), (8, ""), (9, f"{p}\n{p}\t{p}"), (9, say(4000) + " " + q)]
+    rows += [(100 - i, say(5) + " " + p) for i in range(9)] + [(9, f"{p}\n{p}\t{p}")]
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 19):
+            x, at = tuple(w[k : k + 20]), (i is None, i or 0, k)
+            first[x] = min(first.get(x, at), at)
+    want = Counter()
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if first[tuple(w[k : k + 20])] < (i is None, i or 0, k):
+                gone[k : k + 20] = [True] * 20
+        want[i, len(w), sum(gone), " ".join(a for a, g in zip(w, gone) if not g)] += 1
+    for parts in (1, 6):
+        df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, row string").repartition(parts)
+        assert Counter(tuple(r) for r in phrases.remove_repeats(df).collect()) == want
+
+
 def test_suffix_dedup(docs, rows, empty):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
     seen = set()
