@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -266,7 +267,7 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.cumsum(out, out=out)
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def _codec(shared) -> Codec:
@@ -282,7 +283,7 @@ class _Shared:
 
     def __init__(self, df: DataFrame, ranks: dict[bytes, int], pattern: str):
         self.held = df.sparkSession.sparkContext.broadcast((ranks, pattern))
-        self.id = id(self)
+        self.id = uuid.uuid4().hex  # a number of the driver's would come back for another vocabulary
 
     @property
     def value(self):

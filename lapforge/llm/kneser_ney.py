@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import find, map_array, put_array
-from .common import shared_dir, staged
+from .common import shards_for, shared_dir, staged
 from .wordhash import mix, spans, utf8_parts, words
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-HOT_SHARE = 1000
-BLOCK_BYTES = 1 << 21
+HOT_SHARE, LEAST_DISCOUNT = 1000, 0.05
+BLOCK_BYTES, SHARD_BYTES = 1 << 21, 24 << 20
 U64 = np.uint64
 
 
@@ -151,7 +151,7 @@ def _merge_shard(base: str):
         first, second, count = _fold(held)
         key = pair_key(first, second)  # _fold leaves them in order of the key
         put_array(f"{base}/bigram-{shard}.key", key)
-        put_array(f"{base}/bigram-{shard}.count", count.astype(np.uint32))
+        put_array(f"{base}/bigram-{shard}.count", count.astype(np.int64))
         order = np.argsort(first, kind="stable")
         f, c = first[order], count[order]
         start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
@@ -162,7 +162,8 @@ def _merge_shard(base: str):
         cols = [np.concatenate([f[start], w]).view(np.int64), np.concatenate([zero_n, a])] + [np.concatenate([p, zero_m]) for p in parts]
         coc = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         cols += [np.concatenate([[x], np.zeros(n + m - 1, np.int64)]) for x in coc]
-        return pa.Table.from_arrays([pa.array(x) for x in cols], names=["h", "a", "s", "n1", "n2", "n3", "k1", "k2", "k3", "k4"])
+        cols.append(np.full(n + m, shard, np.int64))
+        return pa.Table.from_arrays([pa.array(x) for x in cols], names=["h", "a", "s", "n1", "n2", "n3", "k1", "k2", "k3", "k4", "shard"])
 
     return run
 
@@ -181,34 +182,40 @@ def _write_words(base: str):
 
 
 def _discounts(n1, n2, n3, n4) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
+    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more.
+
+    Where counts of counts are missing or out of order (many texts in the same number of
+    copies), an estimate may be 0 or less, which would leave nothing to unseen words; then it is 0.5.
+    """
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [0.0, 1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 0.5, 3 - 4 * y * n4 / n3 if n3 and n4 else 0.5]
-    return np.array([min(max(x, 0.0), i) for i, x in enumerate(d)])
+    return np.array([0.0] + [x if LEAST_DISCOUNT <= x <= i else 0.5 for i, x in enumerate(d) if i])
 
 
 def fit(train: DataFrame, text_col: str = "text", n_shards: int | None = None) -> dict:
     """Count a model over all rows; returns its description (paths and a few scalars)."""
     spark = train.sparkSession
-    n_shards = n_shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = f"{shared_dir(spark)}/lapforge/kn-{uuid.uuid4().hex}"
     texts = train.select(F.col(text_col).alias("text"))
+    n_shards = n_shards or shards_for(texts, "text", SHARD_BYTES)
     uni = staged(texts.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "kn-unigrams")
     total, vocabulary = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = uni.where(F.col("c") * HOT_SHARE > total).select("h").toPandas()["h"].to_numpy(np.int64).view(U64)  # at most HOT_SHARE rows
     hot = np.sort(np.append(frequent, BEGIN))
     packed = texts.mapInArrow(_pack_bigrams(hot, n_shards), "shard int, first binary, runs binary, second binary, counts binary")
-    stats = "h long, a long, s long, n1 long, n2 long, n3 long, k1 long, k2 long, k3 long, k4 long"
+    stats = "h long, a long, s long, n1 long, n2 long, n3 long, k1 long, k2 long, k3 long, k4 long, shard long"
     merged = staged(packed.groupBy("shard").applyInArrow(_merge_shard(base), stats), "kn-stats")
     k = merged.agg(*[F.coalesce(F.sum(f"k{i}"), F.lit(0)) for i in (1, 2, 3, 4)]).first()
     sums = ["a", "s", "n1", "n2", "n3"]
     table = merged.select("h", F.lit(0).cast("long").alias("c"), *sums).unionByName(uni.select("h", "c", *[F.lit(0).cast("long").alias(x) for x in sums]))
     table = staged(table.groupBy("h").agg(*[F.sum(x).alias(x) for x in ["c", *sums]]), "kn-words")
     m = table.agg(F.coalesce(F.sum("a"), F.lit(0)), *[F.coalesce(F.sum(F.when(F.col("a") == i, 1)), F.lit(0)) for i in (1, 2, 3, 4)], F.coalesce(F.sum((F.col("a") >= 3).cast("long")), F.lit(0))).first()
-    table.withColumn("shard", F.pmod("h", F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(_write_words(base), "shard int, n long").agg(F.sum("n")).first()
+    written = table.withColumn("shard", F.pmod("h", F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(_write_words(base), "shard int, n long")
+    words_in = {r["shard"] for r in written.collect()}  # one row a shard
+    shards = {r[0] for r in merged.select("shard").distinct().collect()}  # one row a shard
     low = _discounts(*m[1:5])
     gamma = (low[1] * m[1] + low[2] * m[2] + low[3] * m[5]) / m[0] if m[0] else 1.0
-    return {"base": base, "n_shards": n_shards, "hot": hot, "total": total, "vocabulary": vocabulary, "high": _discounts(*k), "low": low, "types": m[0], "uniform": gamma / (vocabulary + 1)}
+    return {"base": base, "n_shards": n_shards, "bigram_shards": shards, "word_shards": words_in, "hot": hot, "total": total, "vocabulary": vocabulary, "high": _discounts(*k), "low": low, "types": m[0], "uniform": gamma / (vocabulary + 1)}
 
 
 # --- scoring -----------------------------------------------------------------------
@@ -229,8 +236,12 @@ class Model:
     def word_stats(self, h: np.ndarray) -> np.ndarray:
         """Rows (c, a, s, n1, n2, n3) of sorted distinct words; zeros if unseen."""
         out = np.zeros((len(h), 6), np.int64)
+        if not self.total:
+            return out
         shard = np.mod(h.view(np.int64), self.n_shards)  # as pmod on signed values
-        for s in np.unique(shard):
+        for s in np.unique(shard).tolist():
+            if s not in self.word_shards:
+                continue
             rows = np.flatnonzero(shard == s)
             key = self._array(f"word-{s}.key", U64)
             at, hit = find(key, h[rows])
@@ -242,10 +253,12 @@ class Model:
         out = np.zeros(len(key), np.int64)
         order = np.lexsort((key, shard))
         cut = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
-        for s in np.flatnonzero(np.diff(cut)):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            if s not in self.bigram_shards:
+                continue
             rows = order[cut[s] : cut[s + 1]]
             at, hit = find(self._array(f"bigram-{s}.key", U64), key[rows])
-            out[rows[hit]] = self._array(f"bigram-{s}.count", np.uint32)[at[hit]]
+            out[rows[hit]] = self._array(f"bigram-{s}.count", np.int64)[at[hit]]
         return out
 
     def score(self, column: pa.Array):

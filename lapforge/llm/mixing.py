@@ -17,8 +17,8 @@ rank), with about ``block_words`` words a key. Only the one-row-a-source table g
 through single-task windows.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times; a null source is a
-source; an empty table gives an empty result; equal documents are told apart by id and,
-for repeated ids, split their shared place in the order (rows stay apart).
+source; an empty table gives an empty result; rows of one id are ordered by size and text,
+rows without an id by text, so reruns agree (equal rows are interchangeable); rows stay apart.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat:
 
 def shuffled_offsets(docs: DataFrame, per: DataFrame, seed: int, id_col: str) -> DataFrame:
     """Add ``_from``: words of the source before each document in the seeded order."""
-    key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.col("_text").cast("string")))  # rows without an id spread by their texts
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), own))
     docs = docs.withColumn("_key", key).join(per.select(F.col("source").alias("_s"), "n_docs", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")), "inner").drop("_s")
     # leading 32 bits of the key, cut into as many equal ranges as the source has thousands of rows
     lead = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
@@ -78,8 +79,8 @@ def shuffled_offsets(docs: DataFrame, per: DataFrame, seed: int, id_col: str) ->
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_words").over(ahead), F.lit(0))).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_base")
     docs = docs.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "inner")
-    inner = Window.partitionBy("source", "_bucket").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("_from", F.col("_base") + F.coalesce(F.sum("size").over(inner), F.lit(0))).drop("_s", "_b", "_base", "_bucket", "_key", "n_docs")
+    inner = Window.partitionBy("source", "_bucket").orderBy("_key", id_col, "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    return docs.withColumn("_from", F.col("_base") + F.coalesce(F.sum("size").over(inner), F.lit(0))).drop("_s", "_b", "_base", "_bucket", "_key", "_text", "n_docs")
 
 
 def schedule(per: DataFrame, max_slots: int = MAX_SLOTS, min_block: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -124,7 +125,7 @@ def mix_plan(
     A row of pieces (slot, source, rank, pass, id, from_word, to_word) takes words
     [from_word, to_word) of a document at its slot; ordered by (slot, pass, from) they are the mix.
     """
-    sizes = staged(df.select(F.col(id_col), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size")), "mix-sizes")
+    sizes = staged(df.select(F.col(id_col), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text")), "mix-sizes")
     per = staged(targets(sizes, weights, max_repeat), "mix-targets")
     docs = shuffled_offsets(sizes, per, seed, id_col).withColumn("words", F.least(F.round("target").cast("long"), max_repeat * F.col("source_size")))
     docs = staged(docs, "mix-offsets")

@@ -21,7 +21,8 @@ n - ceil(t n) + 1 of each. The steps:
 All-pairs output is never made: the result is (id, n_shingles, component_id), and
 ``representative pairs`` are the verified links between distinct sets.
 
-Ids are integers. Edge cases: texts without words (and nulls) have an empty set, link with nothing and are
+Ids are integers; rows that repeat an id are one document, so different texts of it link
+all that they link to. Edge cases: texts without words (and nulls) have an empty set, link with nothing and are
 their own component; equal sets are one class and always linked; a null id takes no part
 in linking and gets a null component; ties cannot arise, as orders end in the hash.
 """
@@ -97,8 +98,9 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
             for s in shingle_sets(batch.column(1), k):
                 m = len(s)
                 n.append(m)
-                k1.append(int(s.sum(dtype=U64)) if m else 0)
-                k2.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)) if m else 0)
+                a, b = set_keys(s)
+                k1.append(a)
+                k2.append(b)
                 keep = m - -(-percent * m // 100) + 1 if m else 0
                 if len(often) and m:
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -260,8 +262,13 @@ def _spread(posts: DataFrame, label: DataFrame) -> DataFrame:
     return staged(posts.mapInArrow(mark, "g long, n long, pos long, t long, nth long, lo long, hi long, main boolean"), "spread")
 
 
+def set_keys(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set of shingles."""
+    return (int(s.sum(dtype=U64)), int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64))) if len(s) else (0, 0)
+
+
 def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, str]:
-    """(id, file, start, size): where the full set of each wanted document lies, and the folder of all.
+    """(sid, file, start, size): where the sets of the wanted documents (id) lie, by number of the set, and the folder of all.
 
     Tasks write the sets of a block as one array and return its index; a task that is
     repeated writes another file, and only the index that counts names one. Texts that are
@@ -285,22 +292,22 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame,
             sets = list(shingle_sets(batch.column(2).take(pa.array(at)), k))
             size = np.array([len(s) for s in sets])
             put_array(name := f"{base}/{uuid.uuid4().hex}", np.concatenate(sets))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array([name] * len(at)), pa.array(np.cumsum(size) - size), pa.array(size)], names=["id", "file", "start", "size"]
-            )
+            keys12 = np.array([set_keys(s) for s in sets], U64).view(np.int64)
+            cols = [pa.array(keys12[:, 0]), pa.array(keys12[:, 1]), pa.array([name] * len(at)), pa.array(np.cumsum(size) - size), pa.array(size)]
+            yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "file", "start", "size"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    index = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(store, f"id {kind}, file string, start long, size long")
-    return staged(index.dropDuplicates(["id"]), "sets"), base
+    index = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(store, "k1 long, k2 long, file string, start long, size long")
+    index = index.where("size > 0").select(F.xxhash64("k1", "k2", F.col("size")).alias("sid"), "file", "start", "size")
+    return staged(index.dropDuplicates(["sid"]), "sets"), base
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose full sets link."""
+def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of set numbers whose full sets link; ``members`` names a document of each set (sid, rep)."""
     pairs = staged(_normal(pairs), "candidates")
-    kind = docs.schema["id"].dataType.simpleString()
     if pairs.isEmpty():
         return pairs
-    sets, folder = _stored_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k)
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets, folder = _stored_sets(docs, members.join(asked, "sid", "left_semi").select(F.col("rep").alias("id")).distinct(), k)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[str, np.ndarray] = {}
@@ -319,19 +326,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 ok.append(100 * same >= percent * (na + nb - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "start", "size")])
+    side = lambda x: sets.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "start", "size")])
     placed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("file", "start", "size")])
-    out = staged(placed.mapInArrow(overlap, f"a {kind}, b {kind}"), "links")
+    out = staged(placed.mapInArrow(overlap, "a long, b long"), "links")
     discard(docs.sparkSession, folder)
     return out
 
 
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, links, components): documents with size and set key, the verified links between the least ids of distinct sets that closed the components, and the components."""
+    """(documents, links, components): documents with size and set key, the verified links between numbers of distinct sets that closed the components, and the components."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = staged(prefixes(df, id_col, text_col, k, percent), "prefixes")
     real = rows.where("n > 0 and id is not null")
-    members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")), "members")
+    members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")).withColumn("sid", F.xxhash64("k1", "k2", "n")), "members")
     posts = _postings(real)
 
     # round one: hubs of the first few recurring shingles of each group. Bands of size keep hubs comparable. One hub
@@ -343,30 +350,36 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = early.groupBy("t", band.alias("band")).agg(F.array(near, any_).alias("hubs"), F.count("*").alias("m")).where("m > 1")
     hubs = lists.select("t", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("by")))).alias("hub")).select("t", "hub.*")
     star = _group_pairs(early, hubs, F.col("a.g") != F.col("b.g"), percent)
-    least = members.groupBy("g").agg(F.min("rep").alias("head"), F.count("*").alias("m"))
+    least = members.groupBy("g").agg(F.min("sid").alias("head"), F.count("*").alias("m"))
     heads = least.select("g", "head")
     pairs = star.join(heads.select(F.col("g").alias("ga"), F.col("head").alias("a")), "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
-    inside = members.join(least.where("m > 1"), "g").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    first = _verify(pairs.unionByName(inside), docs, k, percent)
+    inside = members.join(least.where("m > 1"), "g").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
+    first = _verify(pairs.unionByName(inside), members, docs, k, percent)
     labels = staged(connected_components(first), "components")
 
     # round two: all pairs of members that are not connected yet
-    label = members.join(labels, F.col("rep") == F.col("node"), "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("comp"))
+    label = members.join(labels, F.col("sid") == F.col("node"), "left").select("g", "n", "sid", F.coalesce("component", "sid").alias("comp"))
     label = staged(label, "labels")
     of_group = label.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     marked = _spread(posts, label)
     # two groups of a list's main component need no look, so the main ones are on one side of the join alone
     apart = ~F.col("a.main") & (F.col("b.main") | (F.col("a.g") < F.col("b.g"))) & ((F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi")))
     rest = _group_pairs(marked, marked, apart, percent)
-    side = lambda g, x: label.select(F.col("g").alias(g), F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp"))
+    side = lambda g, x: label.select(F.col("g").alias(g), F.col("sid").alias(x), F.col("comp").alias(f"{x}_comp"))
     rest = rest.join(side("ga", "a"), "ga").join(side("gb", "b"), "gb").where("a_comp <> b_comp").select("a", "b")
     mixed = label.join(of_group.where("lo <> hi").select("g"), "g", "left_semi")
-    within = mixed.alias("x").join(mixed.alias("y"), F.col("x.g") == F.col("y.g")).where("x.rep < y.rep and x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    within = mixed.alias("x").join(mixed.alias("y"), F.col("x.g") == F.col("y.g")).where("x.sid < y.sid and x.comp <> y.comp").select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
     done = _normal(pairs.unionByName(inside))
-    second = _verify(_normal(rest.unionByName(within)).join(done, ["a", "b"], "left_anti"), docs, k, percent)
+    second = _verify(_normal(rest.unionByName(within)).join(done, ["a", "b"], "left_anti"), members, docs, k, percent)
     links = first.unionByName(second)
-    final = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
-    comps = members.join(final, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
+    # rows of one id are one document, whatever their texts: their sets are in one component
+    sets_of = real.select("id", F.xxhash64("k1", "k2", "n").alias("sid")).groupBy("id", "sid").count()
+    twice = sets_of.groupBy("id").agg(F.min("sid").alias("least"), F.count("*").alias("m")).where("m > 1")
+    same_id = sets_of.join(twice, "id").where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    final = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(same_id))
+    label = staged(members.join(final, F.col("sid") == F.col("node"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "sid").alias("comp")), "final")
+    least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    comps = label.join(least, "comp").select("k1", "k2", "n", "component_id")
     return rows.select("id", "n", "k1", "k2"), links, comps
 
 

@@ -41,7 +41,7 @@ from .common import shards_for
 from .wordhash import grams, mix, spans, utf8_parts, words
 
 WINDOW, PHRASE, PATTERNS = 20, 8, 20_000
-BLOCK_BYTES, SHARD_BYTES = 1 << 21, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 1 << 21, 12 << 20
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
 

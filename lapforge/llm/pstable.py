@@ -17,8 +17,7 @@ searched again against all parts, so the result has k rows a query whenever ther
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do null ids; ties go to the smaller id; rows that
-repeat an id are one vector (the first in order); tables of at most ``SMALL`` vectors are
-searched exactly; an empty table gives an empty result.
+repeat an id are one vector (the first in order); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from .common import staged
 
 TABLES, FUNCTIONS = 2, 3
 REACH = 3  # slots on either side that probes may visit
-SAMPLE, SMALL, PART_ROWS = 4096, 1000, 4096
+SAMPLE, PART_ROWS = 4096, 4096
 
 
 def _normal(x):
@@ -51,6 +50,8 @@ class Index:
         self.direction = rng.standard_normal((dim + 1, TABLES * FUNCTIONS))
         self.shift = rng.uniform(0, self.width, TABLES * FUNCTIONS)
         self.per_table = 1 - (1 - success) ** (1 / TABLES)
+        if self.per_table >= (2 * _normal(float(REACH)) - 1) ** FUNCTIONS:
+            raise ValueError("success is more than the probes of REACH slots to either side can give")
         self.steps = np.array(list(itertools.product(range(-REACH, REACH + 1), repeat=FUNCTIONS)))
 
     def _slots(self, x: np.ndarray):
@@ -162,7 +163,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     asked = df.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
     queries = staged(vectors.join(asked, "id", "left_semi"), "queries")
     one = lambda frame, name: frame.select(F.lit(0).cast("long").alias("key"), F.col("id").alias(name), "v")
-    if n <= max(SMALL, k + 1):
+    if not n:
         out = _ranked(_meet(one(vectors, "id"), one(queries, "qid"), k), k)
     else:
         sample = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).toPandas()  # a bounded sample, for one distance

@@ -39,7 +39,7 @@ PRIOR = 20.0
 BLOCK_BYTES = 1 << 20
 N_GRAMS = "n_grams"
 SLACK = 0.02  # nats
-CELL = 64.0  # histogram cells of score per unit
+CELL = 1024.0  # histogram cells of score per unit of its logarithm
 
 
 def _features(column: pa.Array, buckets: int):
@@ -109,7 +109,7 @@ def top_k_rule(scored: DataFrame, k: int, id_col: str) -> Column:
     """A condition on (id, score) that holds for the k first by score, then smaller id."""
     if k <= 0:
         return F.lit(False)
-    cell = F.floor(F.least(F.greatest(F.col("score"), F.lit(-4096.0)), F.lit(4096.0)) * CELL)
+    cell = F.floor(F.signum("score") * F.log1p(F.abs("score")) * CELL)  # no bound, however long the documents
     cells = scored.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0))
     edge = cells.withColumn("upto", upto).where(F.col("upto") >= k).orderBy("upto").first()
@@ -139,5 +139,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **kw) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps, with their columns; no join, the rule is a constant."""
     _, ratio, rule = choose(docs, labels, id_col, text_col, seed, **kw)
-    whole = with_noise(log_weights(docs, ratio, text_col), id_col, "log_weight", seed)
-    return whole.where(rule).select(*docs.columns)
+    plain = {c: f"_in{i}" for i, c in enumerate(docs.columns)}  # whatever the names of the input
+    held = docs.select(F.col(id_col), F.col(text_col), *[F.col(c).alias(a) for c, a in plain.items() if c not in (id_col, text_col)])
+    whole = with_noise(log_weights(held, ratio, text_col), id_col, "log_weight", seed).where(rule)
+    return whole.select(*[F.col(c if c in (id_col, text_col) else a).alias(c) for c, a in plain.items()])

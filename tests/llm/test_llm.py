@@ -180,7 +180,7 @@ def test_kneser_ney(spark, docs, rows, empty):
         k = Counter(counts)
         y = k[1] / (k[1] + 2 * k[2]) if k[1] and k[2] else 0.5
         d = [0.0, 1 - 2 * y * k[2] / k[1] if k[1] and k[2] else 0.5, 2 - 3 * y * k[3] / k[2] if k[2] and k[3] else 0.5, 3 - 4 * y * k[4] / k[3] if k[3] and k[4] else 0.5]
-        return [min(max(x, 0.0), i) for i, x in enumerate(d)]
+        return [0.0] + [d[i] if 0.05 <= d[i] <= i else 0.5 for i in (1, 2, 3)]
 
     cont = Counter(w for _, w in pair)
     total, follow = Counter(), {}
@@ -589,3 +589,110 @@ def test_pipeline_mix_keeps_rows_without_id(spark):
     for s in "abc":
         taken = sum(n * len(words(r[1])) for r, n in got.items() if r[3] == s)
         assert abs(taken - passes[s] * size[s]) <= 27  # no more than the one document that is cut
+
+
+def test_kneser_ney_is_finite_where_texts_come_in_fours(spark):
+    rows = [(1000 + i, f"a{i // 4} b{i // 4} c{i // 4}") for i in range(160)] + [(2000 + i, "a1 d e") for i in range(3)] + [(3000 + i, "a1 b2 c3 a1 zz") for i in range(30)]
+    got = kneser_ney.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    rng = random.Random(2)
+    say = lambda: [rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)]
+    a, b, near = say(), say(), lambda w: " ".join(w[:-1] + ["end"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (8, " ".join(say())), (None, " ".join(a)), (8, None), (9, " ".join(a))]
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, 5): 2, (6, 5): 1, (7, 5): 1, (8, 8): 2, (None, None): 1, (9, 5): 1})
+
+
+def test_mix_of_repeated_and_missing_ids_reruns_alike(spark):
+    rows = [(7 if i % 3 else None, "w " * (i % 11), "s%d" % (i % 2), i) for i in range(200)]
+    df = lambda n: spark.createDataFrame(rows, "doc_id long, text string, source string, times int").repartition(n)
+    runs = [Counter(tuple(r) for r in mixing.taken_words(df(n)).collect()) for n in (1, 5, 3)]
+    assert runs[0] == runs[1] == runs[2] and sum(runs[0].values()) == 200
+
+
+def test_bpe_vocabularies_do_not_mix(spark):
+    df = spark.createDataFrame([("abab",)], "text string")
+    one = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    two = {bytes([i]): i for i in range(256)} | {b"ba": 256}
+    for ranks, want in ((one, [256, 256]), (two, [97, 256, 98])) * 2:
+        assert bpe.encode(df, ranks, r"\w+").first()["ids"] == want
+
+
+def test_resampling_weights_against_counting(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 2 else "efghijkl") for _ in range(rng.randint(0, 60))), f"keep {i}", float(i)) for i in range(60)] + [(None, None, "n", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_weight string, score double")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    ratio, share = resampling.fit(docs, labels)
+    feats = lambda t: Counter(words(t)) + Counter(zip(words(t), words(t)[1:]))
+    raw, good = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw += feats(t)
+        good += feats(t) if i is not None and i % 2 else Counter()
+    total = {k: math.log((good[k] + 20) / (raw[k] * sum(good.values()) / sum(raw.values()) + 20)) for k in raw}
+    got = {r["doc_id"]: r for r in resampling.resample(docs, labels).collect()}
+    assert share == 0.5
+    for i, t, *_ in rows:  # few n-grams, so none share a bucket
+        assert got[i]["n_grams"] == sum(feats(t).values())
+        assert math.isclose(got[i]["log_weight"], sum(n * total[k] for k, n in feats(t).items()), abs_tol=1e-9)
+    kept = Counter(tuple(r) for r in resampling.select(docs, labels).collect())
+    assert kept == Counter(r for r in rows if got[r[0]]["kept"]) and 0 < len(kept) < len(rows)
+
+
+@pytest.fixture(scope="module")
+def small_dir(spark, rows, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([*rows, (None, "no id " * 30, "en", None, 1)], SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_registered_queries_against_brute_force(spark, rows, small_dir):
+    from lapforge.llm import queries
+
+    every = [*rows, (None, "no id " * 30, "en", None, 1)]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={})
+    one, seven, ten, seen, strings = Counter(), Counter(), Counter(), set(), set()
+    for i, t, *_ in sorted(every, key=lambda r: (r[0] is None, r[0])):
+        ids = lib.encode_ordinary(t or "")
+        one[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())] += 1
+        w, b = words(t), (t or "").encode()
+        gone, cut = [False] * len(w), [False] * len(b)
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(tuple(w[k : k + 20]))
+        for k in range(len(b) - 49):
+            if b[k : k + 50] in strings:
+                cut[k : k + 50] = [True] * 50
+        strings |= {b[k : k + 50] for k in range(len(b) - 49)}
+        seven[i, len(w), sum(gone), sha(" ".join(a for a, g in zip(w, gone) if not g).encode())] += 1
+        ten[i, len(b), sum(cut), sum(g and not p for g, p in zip(cut, [False, *cut])), sha(bytes(x for x, g in zip(b, cut) if not g))] += 1
+    for name, want in (("op1_bpe_codec", one), ("op7_phrase_automata", seven), ("op10_suffix_dedup", ten)):
+        assert Counter(tuple(r) for r in queries.QUERIES[name](spark, small_dir).collect()) == want, name
+
+
+def test_pipeline_stages_on_hostile_tables(spark, small_dir):
+    import corpus_pipeline
+
+    names = ["times", "n_bytes", "kept", "log_weight", "score", "_row", "id", "component_id", "n_shingles", "source_size", "n"]
+    base = spark.read.parquet(f"{small_dir}/documents.parquet")
+    twins = spark.createDataFrame([(7000, "one text " * 20, "en", "s1", 1), (7000, "another body " * 30, "en", "s1", 1), (7000, "one text " * 20, "en", "s1", 1), (None, None, None, None, None)], SCHEMA)
+    docs = base.unionByName(twins).withColumns({c: F.lit("x") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small_dir)
+        if name != "bpe_encoding":
+            assert out.columns == docs.columns and out.where("times = 'x' and n = 'x'").count() == out.count() > 0
+            assert stage(spark, docs.limit(0), small_dir).count() == 0
+        else:
+            assert out.count() == docs.count()
+        if name == "ngram_jaccard_join":
+            assert out.where("doc_id = 7000").count() == 2 and out.where("doc_id is null").count() == 2
+        if name == "suffix_array_dedup":
+            assert out.count() == docs.count()
