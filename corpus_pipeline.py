@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which are the rows
 that the stage before has written. All but the last return the columns of documents.
+
+Common to all stages: null and empty texts are documents of no words; rows without an id stay
+rows; an empty table gives an empty result; columns beyond those of documents are carried
+whatever their names, as stages compute under names of their own; ties are broken by id and text.
 """
 
 from __future__ import annotations
@@ -14,38 +18,60 @@ from lapforge.llm import bpe, mixing, ngram_join, resampling, suffix_dedup
 from lapforge.llm.common import staged, table
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs under names that clash with none, and the columns that bring its names back."""
+    names = docs.columns
+    return docs.toDF(*[f"_in{i}" for i in range(len(names))]), [F.col(f"_in{i}").alias(c) for i, c in enumerate(names)]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
+    """Documents that the importance resampling keeps; repeated rows fare alike."""
     return resampling.select(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of linked documents; rows without an id stay."""
-    least = ngram_join.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    linked = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return linked.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The document of smallest id of every group of linked documents; rows without an id stay.
+
+    Of rows that repeat an id and a text one stays; different texts of one id are one document and all stay.
+    """
+    least = ngram_join.components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
+    held, back = _plain(docs)
+    at = {c: F.col(f"_in{i}") for i, c in enumerate(docs.columns)}
+    linked = held.join(least, at["doc_id"] == F.col("_least"), "left_semi").withColumn("_text", F.xxhash64(at["text"]))
+    linked = linked.dropDuplicates([f"_in{docs.columns.index('doc_id')}", "_text"]).drop("_text")
+    return linked.unionByName(held.where(at["doc_id"].isNull())).select(*back)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings of earlier ones; n_chars follows the text."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_dedup.remove_repeats(docs, carry=tuple(others))
-    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut inside a character leaves bytes that are no UTF-8
-    cut = cut.withColumn("text", text)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    held, back = _plain(docs)
+    at = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    others = [a for c, a in at.items() if c not in ("doc_id", "text", "n_chars")]
+    cut = suffix_dedup.remove_repeats(held, id_col=at["doc_id"], text_col=at["text"], out_col="_kept", carry=tuple(others))
+    text = F.make_valid_utf8(F.col("_kept").cast("string"))  # a cut inside a character leaves bytes that are no UTF-8
+    cut = cut.withColumn(at["text"], text)
+    return cut.withColumn(at["n_chars"], F.length(at["text"]).cast("long")).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them, to the nearest whole time (at least once if it takes any word).
 
-    A row without an id is taken by its own count: it is mixed under a number of its own.
+    A row without an id, or with an id that another row has too, is taken by its own count: it
+    is mixed under a number of its own.
     """
-    own = F.concat(F.lit("row without id "), F.monotonically_increasing_id().cast("string"))
-    nameless = staged(docs.where("doc_id is null").withColumn("_row", own), "mix-nameless")  # staged, so that the numbers stay
-    docs_by_row = docs.where("doc_id is not null").withColumn("_row", F.col("doc_id").cast("string")).unionByName(nameless)
-    mix = mixing.taken_words(docs_by_row, id_col="_row").where("taken > 0").groupBy("_row").agg(F.max(F.round(F.col("taken") / F.col("size"))).alias("times"))
-    times = F.greatest(F.col("times"), F.lit(1)).cast("int")
-    return docs_by_row.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    held, back = _plain(docs)
+    at = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    twice = held.where(F.col(at["doc_id"]).isNotNull()).groupBy(F.col(at["doc_id"]).alias("_twice")).count().where("count > 1").select("_twice")
+    twice = staged(twice, "mix-twice")
+    own = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    alone = held.join(twice, F.col(at["doc_id"]) == F.col("_twice"), "left_anti").where(F.col(at["doc_id"]).isNotNull())
+    other = held.join(twice, F.col(at["doc_id"]) == F.col("_twice"), "left_semi").unionByName(held.where(F.col(at["doc_id"]).isNull()))
+    other = staged(other.withColumn("_row", own), "mix-other")  # staged, so that the numbers stay
+    rows = alone.withColumn("_row", F.col(at["doc_id"]).cast("string")).unionByName(other)
+    mix = mixing.taken_words(rows, id_col="_row", text_col=at["text"], source_col=at["source"]).where("taken > 0")
+    mix = mix.groupBy("_row").agg(F.max(F.round(F.col("taken") / F.col("size"))).alias("_times"))
+    times = F.greatest(F.col("_times"), F.lit(1)).cast("int")
+    return rows.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
