@@ -44,7 +44,7 @@ from .common import shards_for
 from .wordhash import mix, powers_down, prefix_hash, span_hash, spans, utf8_parts
 
 LENGTH, GRAM, HOT = 50, 20, 4096
-BLOCK_BYTES, SOURCE_BYTES, SHARD_BYTES = 1 << 21, 1 << 21, 24 << 20
+BLOCK_BYTES, SOURCE_BYTES, SHARD_BYTES = 1 << 21, 1 << 20, 8 << 20
 LAST = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -137,7 +137,7 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
     """Burrows-Wheeler transform of a set of strings: (symbols, last-to-first map, string, offset), in suffix order.
 
     Each string ends in a mark that sorts before all bytes. Suffixes are sorted by ``depth``
-    symbols at least, equal ones by string. The symbol of a whole string is 0; its map is its own rank.
+    symbols at least, equal ones in no certain order. The symbol of a whole string is 0; its map is its own rank.
     """
     n = len(data) + len(size)
     string = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
@@ -153,7 +153,7 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
         key <<= U64(9)
         key |= padded[i : len(padded) - 6 + i]
     key, text, width = key[at], padded[at].astype(np.int16), 7
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     start = run_starts(key[order])
     rank = np.empty(n, np.int32)
     count = np.diff(np.append(start, n))
@@ -164,7 +164,7 @@ def shard_bwt(data: np.ndarray, size: np.ndarray, depth: int = LENGTH) -> tuple[
         if not len(tied):
             break
         tie = (rank[tied].astype(U64) << U64(32)) | rank[tied + width].astype(U64)
-        by = np.argsort(tie, kind="stable")
+        by = np.argsort(tie)
         tied, tie = tied[by], tie[by]
         group, start = run_starts(rank[tied]), run_starts(tie)
         nth = np.arange(len(tied)) - np.repeat(group, np.diff(np.append(group, len(tied))))
