@@ -40,21 +40,21 @@ def csv_guard(value: Column) -> Column:
 
 
 def spoken_int(n: Column) -> Column:
-    """Words of 0 to 9999; other numbers as digits."""
+    """Words of -9999 to 9999; other numbers as digits."""
     small, tens = F.array(*map(F.lit, SMALL)), F.array(*map(F.lit, TENS))
 
     def below_hundred(c: Column) -> Column:
-        unit = F.when(c % 10 > 0, F.concat(F.lit(" "), F.get(small, (c % 10).cast("int")))).otherwise(F.lit(""))
+        unit = F.when(c % 10 > 0, F.concat(F.lit("-"), F.get(small, (c % 10).cast("int")))).otherwise(F.lit(""))
         return F.when(c < 20, F.get(small, c.cast("int"))).otherwise(F.concat(F.get(tens, (F.floor(c / 10) - 2).cast("int")), unit))
 
     def below_thousand(c: Column) -> Column:
         rest = F.when(c % 100 > 0, F.concat(F.lit(" "), below_hundred(c % 100))).otherwise(F.lit(""))
         return F.when(c < 100, below_hundred(c)).otherwise(F.concat(F.get(small, F.floor(c / 100).cast("int")), F.lit(" hundred"), rest))
 
-    n = n.cast("long")
+    whole, n = n.cast("long"), F.abs(n.cast("long"))
     rest = F.when(n % 1000 > 0, F.concat(F.lit(" "), below_thousand(n % 1000))).otherwise(F.lit(""))
     words = F.when(n < 1000, below_thousand(n)).otherwise(F.concat(F.get(small, F.floor(n / 1000).cast("int")), F.lit(" thousand"), rest))
-    return F.when(n.between(0, 9999), words).otherwise(n.cast("string"))
+    return F.when(n <= 9999, F.concat(F.when(whole < 0, F.lit("minus ")).otherwise(F.lit("")), words)).otherwise(whole.cast("string"))
 
 
 def clean_tags(tags: Column) -> Column:

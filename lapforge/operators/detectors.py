@@ -1,6 +1,6 @@
 """Debounced, sustained and rate-limited detectors over ordered streams.
 
-Where a rule is a run of equal values it is an island with a length test; where each
+Where a rule is a run of equal values or a threshold it is windows over islands; where each
 decision depends on the last one, the scan runs per key in a grouped Arrow function, and
 ``lapforge.streaming`` keeps the same state between micro-batches.
 """
@@ -11,57 +11,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import _per_key, changed, ordered, segments
+from .windows import _per_key, changed, ordered, segments, upto
 
 
 def debounced_changes(df: DataFrame, keys: list[str], order: str, value: str, hold: int) -> DataFrame:
-    """Changes of a value that then holds for ``hold`` further rows: (keys, at, old, new).
+    """Changes of a value that then holds for ``hold`` further rows: (keys, at, old, new), ``at`` being the row that ends the hold.
 
-    The first held value is the baseline; a value that returns before it was held changes nothing.
+    The first value is the baseline, held or not; a value that goes before it was held changes nothing.
     """
-    runs = segments(df, keys, order, changed(keys, order, value), "_run")
-    runs = runs.groupBy(*keys, "_run").agg(F.min(order).alias("at"), F.first(value).alias("new"), F.count("*").alias("n")).where(F.col("n") > hold)
-    runs = runs.withColumn("old", F.lag("new").over(ordered(keys, "at")))
-    return runs.where(F.col("old").isNotNull() & (F.col("old") != F.col("new"))).select(*keys, "at", "old", "new")
-
-
-class Sustained:
-    """A threshold that must hold for some time, and clears at a lower level."""
-
-    def __init__(self, trigger: float, clear: float, hold: float):
-        self.trigger, self.clear, self.hold = trigger, clear, hold
-        self.since: float | None = None
-        self.active = False
-
-    def update(self, value: float, now: float) -> bool:
-        """True on the row at which the condition becomes active."""
-        if self.active:
-            if value <= self.clear:
-                self.active, self.since = False, None
-            return False
-        if value < self.trigger:
-            self.since = None
-            return False
-        if self.since is None:
-            self.since = now
-        if now - self.since < self.hold:
-            return False
-        self.active = True
-        return True
-
-
-def sustained(df: DataFrame, keys: list[str], order: str, value: str, clock: str, trigger: float, clear: float, hold: float) -> DataFrame:
-    """Rows at which a value has been at ``trigger`` or more for ``hold`` clock units: (keys, at, value)."""
+    runs = segments(df.where(F.col(value).isNotNull()), keys, order, changed(keys, order, value), "_run")
+    nth = F.row_number().over(ordered([*keys, "_run"], order))
+    runs = runs.withColumn("_nth", nth).groupBy(*keys, "_run").agg(F.min(F.when(F.col("_nth") == hold + 1, F.col(order))).alias("at"), F.first(value).alias("new"))
+    runs = runs.where(F.col("at").isNotNull() | (F.col("_run") == 1)).withColumn("old", F.lag("new").over(ordered(keys, "_run")))
+    return runs.where(F.col("old") != F.col("new")).select(*keys, "at", "old", "new")
+
+
+def sustained_state(df: DataFrame, keys: list[str], order: str, value: str, clock: str, trigger: float, clear: float, hold: float, above: bool = True) -> DataFrame:
+    """Add ``active``: a value has been at ``trigger`` or more for ``hold`` clock units, and not under ``clear`` since.
+
+    ``above=False`` turns both thresholds round. Rows without value or clock are left out.
+    Windows only: rows between two that clear are a span, rows between two short of the
+    trigger a run; a span is active from its first row at which its run is old enough.
+    """
+    level = F.col(value) if above else -F.col(value)
+    trigger, clear = (trigger, clear) if above else (-trigger, -clear)
+    counted = lambda c: F.sum(c.cast("int")).over(upto(keys, order))
+    df = df.where(F.col(value).isNotNull() & F.col(clock).isNotNull())
+    df = df.withColumns({"_span": counted(level < clear), "_run": counted(level < trigger)})
+    since = F.min(F.when(level >= trigger, F.col(clock))).over(upto([*keys, "_run"], order))
+    df = df.withColumn("_old", ((level >= trigger) & (F.col(clock) - since >= hold)).cast("int"))
+    held = F.max("_old").over(upto([*keys, "_span"], order)) == 1
+    return df.withColumn("active", held & (level >= clear)).drop("_span", "_run", "_old")
 
-    def scan(table: pa.Table) -> dict:
-        rule, at, seen = Sustained(trigger, clear, hold), [], []
-        for v, t in zip(table.column(value).to_pylist(), table.column(clock).to_pylist()):
-            if v is not None and t is not None and rule.update(float(v), float(t)):
-                at.append(float(t))
-                seen.append(float(v))
-        return {"at": pa.array(at, pa.float64()), "value": pa.array(seen, pa.float64())}
 
-    return _per_key(df.select(*dict.fromkeys([*keys, order, value, clock])), keys, order, "at double, value double", scan)
+def sustained(df: DataFrame, keys: list[str], order: str, value: str, clock: str, trigger: float, clear: float, hold: float, above: bool = True) -> DataFrame:
+    """Rows at which the sustained state begins: (keys, at, value)."""
+    rows = sustained_state(df.select(*dict.fromkeys([*keys, order, value, clock])), keys, order, value, clock, trigger, clear, hold, above)
+    before = F.coalesce(F.lag("active").over(ordered(keys, order)), F.lit(False))
+    return rows.withColumn("_on", F.col("active") & ~before).where("_on").select(*keys, F.col(clock).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
 
 
 def rate_limited(df: DataFrame, keys: list[str], order: str, clock: str, severity: str, cooldown: float) -> DataFrame:
@@ -70,6 +57,8 @@ def rate_limited(df: DataFrame, keys: list[str], order: str, clock: str, severit
     def scan(table: pa.Table) -> dict:
         last, level, at, passed = None, None, [], []
         for t, s in zip(table.column(clock).to_pylist(), table.column(severity).to_pylist()):
+            if t is None or s is None:
+                continue  # neither passes nor counts
             if last is None or t - last >= cooldown or s > level:
                 last, level = t, s
                 at.append(float(t))

@@ -133,7 +133,7 @@ def thin(df: DataFrame, keys: list[str], order: str, position: str, least: float
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, high: float, low: float, fade: int) -> DataFrame:
-    """Signed stretches: entered above ``high``, held at ``low`` or more of the same sign, ended after ``fade`` rows below it or by the other sign above ``high``."""
+    """Signed stretches: entered above ``high``, held at ``low`` or more of the same sign, ended by the ``fade``-th row below it or by the other sign above ``high``."""
 
     def scan(table: pa.Table) -> dict:
         v = np.asarray(table.column(value), dtype=float)
@@ -154,7 +154,7 @@ def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, high: flo
             elif s != now and abs(x) > high:
                 end()
                 open_at, now, seen = i, s, i
-            elif i - seen > fade:
+            elif i - seen >= fade:
                 end()
                 open_at = None
         if open_at is not None:

@@ -529,7 +529,11 @@ def clock_text(spark, d):
     return events(spark, d).select("event_id", text.clock(F.floor(F.col("us") / 1000)).alias("clock"))
 
 
-@query()
+_SMALL, _TENS = (str(list(ws)).replace('"', "'") for ws in (text.SMALL, text.TENS))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN q < 20 THEN ({_SMALL})[q + 1] ELSE ({_TENS})[q // 10 - 1] || CASE WHEN q % 10 > 0 THEN '-' || ({_SMALL})[q % 10 + 1] ELSE '' END END AS words
+  FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)""")
 def spoken_numbers(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.spoken_int(F.col("l_quantity").cast("long")).alias("words"))
 
@@ -559,13 +563,22 @@ def json_validate_explode(spark, d):
 # --- detectors ---------------------------------------------------------------------
 
 
-@query()
+@query(f"""SELECT user_id, "at", "old", "new" FROM (SELECT *, lag("new") OVER (PARTITION BY user_id ORDER BY run) AS "old" FROM (
+  SELECT user_id, run, any_value(p) AS "new", min(CASE WHEN nth = 3 THEN event_id END) AS "at" FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS nth FROM (
+      SELECT *, sum(CASE WHEN p = q THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (
+        SELECT *, lag(p) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM (SELECT *, CAST(k // 34 AS INTEGER) AS p FROM {EVENTS}))))
+  GROUP BY user_id, run) WHERE "at" IS NOT NULL OR run = 1) WHERE "old" <> "new\"""")
 def position_debounce(spark, d):
     e = events(spark, d).withColumn("pos", (F.col("k") / 34).cast("int"))
     return detectors.debounced_changes(e, ["user_id"], "event_id", "pos", 2)
 
 
-@query()
+@query(f"""SELECT user_id, t AS "at", CAST(k AS DOUBLE) AS value FROM (SELECT *, lag(active) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM (
+  SELECT *, k >= 40 AND max(CASE WHEN k >= 60 AND t - since >= 600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, span ORDER BY event_id) = 1 AS active FROM (
+    SELECT *, min(CASE WHEN k >= 60 THEN t END) OVER (PARTITION BY user_id, run ORDER BY event_id) AS since FROM (
+      SELECT *, us / 1000000 AS t, count(CASE WHEN k < 40 THEN 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS span,
+        count(CASE WHEN k < 60 THEN 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM {EVENTS})))) WHERE active AND NOT coalesce(was, false)""")
 def sustained_threshold(spark, d):
     e = events(spark, d).withColumn("t", (F.col("us") / 1000000).cast("double"))
     return detectors.sustained(e, ["user_id"], "event_id", "k", "t", 60, 40, 600)

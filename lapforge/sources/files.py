@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sample columns of a lap file, the first ten of which are required.
-REQUIRED = ["t", "dist", "speed", "throttle", "brake", "gear", "rpm", "pos_x", "pos_z", "fuel"]
-OPTIONAL = ["coast", "boost", "tire_slip", "yaw_rate", "body_height", "steer", "acc_lat", "acc_long", "acc_vert", "race_pos"]
+REQUIRED = ["t", "dist", "speed", "throttle", "brake", "coast", "tire_slip", "body_height", "pos_x", "pos_z"]
+OPTIONAL = ["gear", "rpm", "fuel", "boost", "yaw_rate", "steer", "acc_lat", "acc_long", "acc_vert", "race_pos"]
 MAX_SAMPLES = 120_000
 LAP = "format string, version int, lap struct<number int, time_ms long, car_id int, samples struct<" + ", ".join(f"{c} array<double>" for c in REQUIRED + OPTIONAL) + ">>"
 
@@ -25,8 +25,8 @@ def read_laps(spark: SparkSession, path: str) -> DataFrame:
     missing = F.array_compact(F.array(*[F.when(s[c].isNull(), F.lit(c)) for c in REQUIRED]))
     reason = (
         F.when(F.col("lap").isNull(), "not a lap file")
-        .when(~F.col("version").isin(1, 2), "unknown version")
-        .when((F.col("lap.number") < 0) | (F.col("lap.time_ms") <= 0), "bad lap number or time")
+        .when(~F.coalesce(F.col("version").isin(1, 2), F.lit(False)), "unknown version")
+        .when(~F.coalesce((F.col("lap.number") >= 0) & (F.col("lap.time_ms") > 0), F.lit(False)), "bad lap number or time")
         .when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
         .when((n < 1) | (n > MAX_SAMPLES), "bad number of samples")
         .when(~same, "columns differ in length")

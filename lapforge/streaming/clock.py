@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapforge.operators.detectors import Sustained
-
 FRAME = 1 / 60
 
 
@@ -39,16 +37,15 @@ def sustained(stream: DataFrame, key: str, clock: str, value: str, trigger: floa
     """(key, at, value): rows at which a value has held ``trigger`` for ``hold``; state crosses micro-batches."""
 
     def step(k, frames_: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rule = Sustained(trigger, clear, hold)
-        if state.exists:
-            since, active = state.get
-            rule.since, rule.active = since if since == since else None, active
+        since, active = state.get if state.exists else (float("nan"), False)
         out = []
         for f in frames_:
-            for t, v in f.sort_values(clock)[[clock, value]].itertuples(index=False):
-                if rule.update(float(v), float(t)):
+            for t, v in f.sort_values(clock)[[clock, value]].dropna().itertuples(index=False):
+                since = (t if since != since else since) if v >= trigger else float("nan")
+                was, active = active, v >= clear if active else t - since >= hold
+                if active and not was:
                     out.append((k[0], float(t), float(v)))
-        state.update((rule.since if rule.since is not None else float("nan"), rule.active))
+        state.update((float(since), bool(active)))
         yield pd.DataFrame(out, columns=[key, "at", "value"])
 
     kind = stream.schema[key].dataType.simpleString()

@@ -48,7 +48,7 @@ def test_hysteresis_against_a_plain_scan(spark):
             while i < len(v):
                 if v[i] * sign >= 20:
                     last = i
-                elif -v[i] * sign > 40 or i - last > 3:
+                elif -v[i] * sign > 40 or i - last >= 3:
                     break
                 i += 1
             want.add((user, first, last, sign))
@@ -59,19 +59,12 @@ def test_hysteresis_against_a_plain_scan(spark):
 def test_debounce_needs_the_hold(spark):
     want = set()
     for user, rows in by_user(stream(spark)).items():
-        base, run, prev = None, [], object()
-        runs = []
+        base, last, n = rows[0]["k"] // 34, None, 0
         for r in rows:
             p = r["k"] // 34
-            if p != prev:
-                run = [r["event_id"], p, 0]
-                runs.append(run)
-            run[2] += 1
-            prev = p
-        for at, p, n in runs:
-            if n > 2:
-                if base is not None and p != base:
-                    want.add((user, at, base, p))
+            last, n = p, n + 1 if p == last else 1
+            if n == 3 and p != base:
+                want.add((user, r["event_id"], base, p))
                 base = p
     got = {(r["user_id"], r["at"], r["old"], r["new"]) for r in catalog.position_debounce(spark, DATA).collect()}
     assert got == want
@@ -93,7 +86,25 @@ def test_spoken_numbers(spark):
 
     from lapforge.functions import text
 
-    rows = spark.createDataFrame([(n,) for n in (0, 7, 13, 20, 45, 100, 219, 1000, 9999, 10000)], "n long").select("n", text.spoken_int(F.col("n")).alias("w")).collect()
+    rows = spark.createDataFrame([(n,) for n in (-32, 0, 7, 13, 20, 45, 100, 219, 1000, 9999, 10000)], "n long").select("n", text.spoken_int(F.col("n")).alias("w")).collect()
     words = {r["n"]: r["w"] for r in rows}
-    assert words[45] == "forty five" and words[219] == "two hundred nineteen" and words[1000] == "one thousand"
-    assert words[9999] == "nine thousand nine hundred ninety nine" and words[10000] == "10000" and words[0] == "zero"
+    assert words[45] == "forty-five" and words[-32] == "minus thirty-two" and words[219] == "two hundred nineteen" and words[1000] == "one thousand"
+    assert words[9999] == "nine thousand nine hundred ninety-nine" and words[10000] == "10000" and words[0] == "zero"
+
+
+def test_sustained_against_a_plain_scan(spark):
+    want = set()
+    for user, rows in by_user(stream(spark)).items():
+        began = None
+        on = False
+        for r in rows:
+            t, k = r["us"] / 1e6, r["k"]
+            if on:
+                on = k >= 40
+                began = None if not on else began
+            if not on:
+                began = None if k < 60 else t if began is None else began
+                if began is not None and t - began >= 600:
+                    on = True
+                    want.add((user, t, float(k)))
+    assert {(r["user_id"], r["at"], r["value"]) for r in catalog.sustained_threshold(spark, DATA).collect()} == want and want

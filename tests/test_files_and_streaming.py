@@ -14,14 +14,16 @@ def test_lap_files(spark, tmp_path):
     samples = {c: [0.0, 1.0, 2.0] for c in files.REQUIRED}
     good = {"format": "lap", "version": 2, "lap": {"number": 3, "time_ms": 61500, "car_id": 7, "samples": samples}}
     short = json.loads(json.dumps(good))
-    short["lap"]["samples"]["rpm"] = [1.0]
+    short["lap"]["samples"]["coast"] = [1.0]
     lacking = json.loads(json.dumps(good))
-    del lacking["lap"]["samples"]["fuel"]
-    for name, doc in (("a", good), ("b", short), ("c", lacking)):
+    del lacking["lap"]["samples"]["body_height"]
+    unnamed = {**good, "version": None}
+    untimed = {**good, "lap": {**good["lap"], "time_ms": None}}
+    for name, doc in (("a", good), ("b", short), ("c", lacking), ("d", unnamed), ("e", untimed)):
         (tmp_path / f"{name}.json").write_text(json.dumps(doc))
     laps = files.read_laps(spark, str(tmp_path))
     reasons = {r["file"][-6:-5]: r["reason"] for r in laps.collect()}
-    assert reasons == {"a": None, "b": "columns differ in length", "c": "missing columns: fuel"}
+    assert reasons == {"a": None, "b": "columns differ in length", "c": "missing columns: body_height", "d": "unknown version", "e": "bad lap number or time"}
     assert files.ticks(laps).count() == 3
 
 

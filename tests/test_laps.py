@@ -87,4 +87,11 @@ def test_corner_report_takes_both_ends_of_a_wrapped_corner(spark):
     ticks = spark.createDataFrame([("l", i, 10.0 * i, float(i), 100.0 - i, 0.0) for i in range(11)], "lap string, i long, dist double, t double, speed double, brake double")
     cs = spark.createDataFrame([(1, 20.0, 50.0), (2, 90.0, 10.0)], "n int, entry_dist double, exit_dist double")
     got = {r["corner"]: (r["min_speed"], r["time_s"]) for r in corners.report(ticks, cs, ["lap"]).collect()}
-    assert got == {1: (96.0, 2.0), 2: (90.0, 10.0)}
+    assert got == {1: (96.0, 2.0), 2: (90.0, 1.0)}
+
+
+def test_corner_report_leaves_out_what_the_lap_never_finished(spark):
+    ticks = spark.createDataFrame([("l", i, 10.0 * i, float(i), 50.0, 1.0) for i in range(7)], "lap string, i long, dist double, t double, speed double, brake double")
+    cs = spark.createDataFrame([(1, 20.0, 50.0), (2, 40.0, 61.5), (3, 50.0, 70.0), (4, 90.0, 10.0)], "n int, entry_dist double, exit_dist double")
+    got = {r["corner"]: r["time_s"] for r in corners.report(ticks, cs, ["lap"]).collect()}
+    assert got == {1: 2.0, 2: 2.0, 4: 0.0}
