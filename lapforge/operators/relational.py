@@ -82,13 +82,21 @@ def event_buckets(events: DataFrame, keys: list[str], at: str, size: float, leas
     return out.where(F.col("hits") >= least)
 
 
-def signature_match(laps: DataFrame, tracks: DataFrame, length: str, cx: str, cz: str, tolerance: float = 0.04, reach: float = 120.0) -> DataFrame:
-    """Pairs of a lap and a track whose length agrees to a share and whose centres lie within reach on both axes."""
+def signature_match(
+    laps: DataFrame, tracks: DataFrame, length: str, cx: str, cz: str, extents: tuple[str, ...] = (), tolerance: float = 0.04, reach: float = 120.0, stretch: float = 0.20
+) -> DataFrame:
+    """Pairs of a lap and a track whose length and extents agree to a share and whose centres lie within reach on both axes.
+
+    A track without an extent (0) is not tested by it; a length of 0 on either side matches nothing.
+    """
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
     near = F.array(*[F.struct((cell(f"t_{cx}") + i).alias("_bx"), (cell(f"t_{cz}") + j).alias("_bz")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = tracks.withColumn("_c", F.explode(near)).select(*tracks.columns, "_c._bx", "_c._bz")
     pairs = laps.withColumns({"_bx": cell(cx), "_bz": cell(cz)}).join(spread, ["_bx", "_bz"]).drop("_bx", "_bz")
-    same = (F.abs(F.col(length) - F.col(f"t_{length}")) <= tolerance * F.col(f"t_{length}")) & (F.abs(F.col(cx) - F.col(f"t_{cx}")) <= reach) & (F.abs(F.col(cz) - F.col(f"t_{cz}")) <= reach)
+    off = lambda c: F.abs(F.col(c) - F.col(f"t_{c}"))
+    same = (F.col(length) > 0) & (F.col(f"t_{length}") > 0) & (off(length) <= tolerance * F.col(f"t_{length}")) & (off(cx) <= reach) & (off(cz) <= reach)
+    for c in extents:
+        same = same & ((F.col(f"t_{c}") <= 0) | (off(c) <= stretch * F.col(f"t_{c}")))
     return pairs.where(same)
 
 
@@ -98,14 +106,28 @@ def unambiguous(matches: DataFrame, lap: str, name: str) -> DataFrame:
     return agg.select(lap, "candidates", F.when(F.col("candidates") == 1, F.col("_n")).alias(name))
 
 
-def token_f1(left: DataFrame, right: DataFrame, left_id: str, left_tokens: str, right_id: str, right_tokens: str, least: float) -> DataFrame:
-    """Pairs that share a token and whose token sets have an F1 of ``least`` or more: the best a left row, ties to the smaller right id.
+def token_f1(
+    left: DataFrame, right: DataFrame, left_id: str, left_tokens: str, right_id: str, right_tokens: str, least: float, length: str | None = None,
+    agree: float = 0.04, disagree: float = 0.15, bonus: float = 0.15, penalty: float = 0.4,
+) -> DataFrame:
+    """The best right row of each left row by the F1 of their token sets: (left_id, right_id, f1, score), ties to the smaller right id.
 
-    Candidates come from an equi-join on tokens.
+    With a ``length`` on both sides (positive), agreement within 4 % adds to the score and a
+    difference of over 15 % takes from it; a score under ``least`` is no match. Candidates come from an
+    equi-join on tokens; rows of equal tokens and length are matched once, so a name that a third
+    of all rows bear costs one row.
     """
-    a = left.select(left_id, F.array_distinct(left_tokens).alias("_a")).withColumn("_t", F.explode("_a"))
-    b = right.select(right_id, F.array_distinct(right_tokens).alias("_b")).withColumn("_t", F.explode("_b"))
-    pairs = a.select(left_id, F.size("_a").alias("_na"), "_t").join(b.select(right_id, F.size("_b").alias("_nb"), "_t"), "_t")
-    shared = pairs.groupBy(left_id, right_id, "_na", "_nb").agg(F.count("*").alias("_k"))
-    scored = shared.withColumn("f1", 2 * F.col("_k") / (F.col("_na") + F.col("_nb"))).where(F.col("f1") >= least)
-    return scored.groupBy(left_id).agg(F.max_by(F.struct(right_id, "f1"), F.struct("f1", -F.col(right_id))).alias("_m")).select(left_id, f"_m.{right_id}", "_m.f1")
+    size = F.col(length).cast("double") if length else F.lit(None).cast("double")
+    a = left.select(left_id, F.array_sort(F.array_distinct(left_tokens)).alias("_a"), size.alias("_la"))
+    b = right.select(right_id, F.array_distinct(right_tokens).alias("_b"), size.alias("_lb")).withColumn("_t", F.explode("_b"))
+    kinds = a.select("_a", "_la").distinct().withColumn("_t", F.explode("_a"))
+    pairs = kinds.join(b.select(right_id, F.size("_b").alias("_nb"), "_lb", "_t"), "_t")
+    shared = pairs.groupBy("_a", "_la", right_id, "_nb", "_lb").agg(F.count("*").alias("_k"))
+    scored = shared.withColumn("f1", 2 * F.col("_k") / (F.size("_a") + F.col("_nb")))
+    apart = F.abs(F.col("_la") - F.col("_lb")) / F.nullif(F.col("_lb"), F.lit(0.0))
+    known = (F.col("_la") > 0) & (F.col("_lb") > 0)
+    term = F.when(known & (apart <= agree), F.lit(bonus)).when(known & (apart > disagree), F.lit(-penalty)).otherwise(0.0)
+    scored = scored.withColumn("score", F.col("f1") + term).where(F.col("score") >= least)
+    best = scored.groupBy("_a", "_la").agg(F.max_by(F.struct(right_id, "f1", "score"), F.struct("score", -F.col(right_id))).alias("_m"))
+    best = best.select(F.col("_a").alias("_a2"), F.col("_la").alias("_la2"), f"_m.{right_id}", "_m.f1", "_m.score")
+    return a.join(best, (F.col("_a") == F.col("_a2")) & F.col("_la").eqNullSafe(F.col("_la2"))).select(left_id, right_id, "f1", "score")

@@ -465,13 +465,18 @@ def slugify(spark, d):
 _TOK = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))"
 
 
-@query(f"""WITH a AS (SELECT p_partkey, {_TOK.format("p_type")} AS t FROM part WHERE p_size = 7), b AS (SELECT p_partkey AS other, {_TOK.format("p_type")} AS u FROM part WHERE p_size = 9),
-  s AS (SELECT p_partkey, other, 2.0 * len(list_intersect(t, u)) / (len(t) + len(u)) AS f1 FROM a, b)
-  SELECT p_partkey, other, f1 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY f1 DESC, other) AS r FROM s WHERE f1 >= 0.55) WHERE r = 1""")
+@query(f"""WITH a AS (SELECT p_partkey, {_TOK.format("p_type || ' ' || p_brand")} AS t, p_retailprice AS la FROM part),
+  b AS (SELECT other, {_TOK.format("p_type")} AS u, lb FROM (SELECT p_type, min(p_partkey) AS other, min(p_retailprice) AS lb FROM part GROUP BY p_type)),
+  s AS (SELECT p_partkey, other, 2.0 * len(list_intersect(t, u)) / (len(t) + len(u)) AS f1, abs(la - lb) / lb AS apart FROM a, b WHERE len(list_intersect(t, u)) > 0),
+  w AS (SELECT *, f1 + CASE WHEN apart <= 0.04 THEN 0.15 WHEN apart > 0.15 THEN -0.4 ELSE 0.0 END AS score FROM s)
+  SELECT p_partkey, other, round(f1, 9) AS f1, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS r FROM w WHERE score >= 0.55) WHERE r = 1""")
 def token_f1_match(spark, d):
-    p = table(spark, d, "part").withColumn("t", text.tokens(F.col("p_type")))
-    other = p.where("p_size = 9").select(F.col("p_partkey").alias("other"), "t")
-    return relational.token_f1(p.where("p_size = 7"), other, "p_partkey", "t", "other", "t", 0.55)
+    p = table(spark, d, "part")
+    kinds = p.groupBy("p_type").agg(F.min("p_partkey").alias("other"), F.min("p_retailprice").alias("p_retailprice"))
+    right = kinds.withColumn("t", text.tokens(F.col("p_type")))
+    left = p.withColumn("t", text.tokens(F.concat_ws(" ", "p_type", "p_brand")))
+    out = relational.token_f1(left, right, "p_partkey", "t", "other", "t", 0.55, "p_retailprice")
+    return out.select("p_partkey", "other", F.round("f1", 9).alias("f1"), F.round("score", 9).alias("score"))
 
 
 @query(f"""SELECT place, kind, votes FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY (kind = 'purchase') DESC, votes DESC, kind) AS r FROM (

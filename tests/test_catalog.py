@@ -2,9 +2,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lapforge.plans import catalog
+from lapforge.plans import catalog, racing
 
 DATA = "/root/testdata/sf0.001"
+assert racing  # registers its queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
