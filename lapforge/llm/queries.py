@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, suffix_dedup
+from . import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, sql, suffix_dedup
 from .common import table
 
 
@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, suffix_dedup
+from lapforge.llm import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, queries, resampling, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -696,3 +696,16 @@ def test_pipeline_stages_on_hostile_tables(spark, small_dir):
             assert out.where("doc_id = 7000").count() == 2 and out.where("doc_id is null").count() == 2
         if name == "suffix_array_dedup":
             assert out.count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_registered_queries_equal_their_sql(spark, name):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    order = lambda x: x[sorted(want.columns)].sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns)
+    pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, check_exact=True)
