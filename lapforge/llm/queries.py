@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, sql, suffix_dedup
+from . import bpe, hard_negatives, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, resampling, sql, suffix_dedup, target_resampling, token_counts
 from .common import table
 
 
@@ -54,6 +54,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), out_col="kept_sha256", digest=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = token_counts.load(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), source)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -65,5 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_source_mix": op9_source_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
