@@ -149,7 +149,7 @@ class MultiIndex:
 
 def build(vectors: DataFrame, n: int, dim: int, seed: int, cell_rows: int, shard_rows: int) -> tuple[MultiIndex, DataFrame]:
     """The index, and all vectors as staged (shard, cell, id, label, v)."""
-    k = max(1, min(MAX_CODES, round(math.sqrt(n / cell_rows))))
+    k, vectors = max(1, min(MAX_CODES, round(math.sqrt(n / cell_rows)))), vectors.select("id", "label", "v")
     sample = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("v").toPandas()
     s, half = np.array(sample["v"].tolist(), dtype=np.float64), max(1, dim // 2)
     index = MultiIndex([], half)
@@ -164,7 +164,7 @@ def build(vectors: DataFrame, n: int, dim: int, seed: int, cell_rows: int, shard
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=["id", "label", "v", "a", "b", "far_a", "far_b"])
 
     schema = T.StructType([*vectors.schema.fields, *[T.StructField(c, T.LongType()) for c in "ab"], *[T.StructField(c, T.DoubleType()) for c in ("far_a", "far_b")]])
-    coded = staged(vectors.select("id", "label", "v").mapInArrow(assign, schema), "coded-vectors")
+    coded = staged(vectors.mapInArrow(assign, schema), "coded-vectors")
     n_b, radii = len(index.centres[1]), []
     for c, size in (("a", len(index.centres[0])), ("b", n_b)):
         radius = np.zeros(size)

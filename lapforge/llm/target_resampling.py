@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +74,8 @@ def _splitter(n_max: int, buckets: int) -> blocks.Split:
             if n_max > 1:
                 crossing.append(_crossing([WORD.findall(x) for x in lines], n_max, buckets))
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        ptr, at, n = blocks.postings(row, np.concatenate(rows), np.ones(len(row)), len(rows), len(ids))
-        more = {"crossing": (np.concatenate([[0], np.cumsum([len(c) for c in crossing])]), np.concatenate(crossing))} if n_max > 1 else {}
-        return pa.array(list(ids), pa.binary()), ptr, at, n, more
+        more = [np.array([len(c) for c in crossing], np.int64), np.concatenate(crossing)] if crossing else []
+        return pa.array(list(ids), pa.binary()), *blocks.postings(row, np.concatenate(rows), np.ones(len(row)), len(rows), len(ids)), more
 
     return split
 
@@ -91,8 +90,8 @@ class Features:
     def __init__(self, df: DataFrame, text: Column, keep: list[Column], n_max: int, buckets: int):
         if n_max < 1 or buckets < 1:
             raise ValueError("n_max and buckets must be 1 or more")
-        self.extra, self.n_buckets = (("crossing",) if n_max > 1 else ()), buckets
-        self.blocks = blocks.factor(df, text, keep, _splitter(n_max, buckets), T.BinaryType(), self.extra, "line-blocks")
+        self.n_max, self.n_buckets = n_max, buckets
+        self.blocks = blocks.factor(df, text, keep, _splitter(n_max, buckets), T.BinaryType(), occurs=True, label="line-blocks")
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -102,26 +101,34 @@ class Features:
                 lists = pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), lists], names=["key", "occurs", "n_words", "features"])
 
-        lines = blocks.distinct(self.blocks, _key, with_item=True)
+        lines = blocks.distinct(self.blocks, _key)
         self.lines = staged(lines.mapInArrow(features, "key binary, occurs long, n_words long, features array<int>"), "line-features")
 
     def counts(self) -> np.ndarray:
         """Number of n-grams of the whole table in each bucket: one number a bucket and task is shuffled."""
         n_buckets = self.n_buckets
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(n_buckets, np.int64)
-            for batch in batches:
-                lists = batch.column(1)
-                size = np.asarray(lists.value_lengths()).astype(np.int64)
-                times = np.repeat(np.asarray(batch.column(0)), size)
-                np.add.at(total, np.asarray(lists.flatten()).astype(np.int64), times)
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
-
-        parts = self.lines.select("occurs", "features").mapInArrow(add, "bucket long, n long")
-        for e in self.extra:
-            parts = parts.unionByName(self.blocks.select(F.lit(1).cast("long"), f"{e}_at").mapInArrow(add, "bucket long, n long"))
+        def summed(found: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]):
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(n_buckets, np.int64)
+                for batch in batches:
+                    np.add.at(total, *found(batch))
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+
+            return add
+
+        def of_lines(batch: pa.RecordBatch):
+            lists = batch.column(1)
+            return np.asarray(lists.flatten()).astype(np.int64), np.repeat(np.asarray(batch.column(0)), np.asarray(lists.value_lengths()))
+
+        def crossing(batch: pa.RecordBatch):
+            found = np.concatenate([blocks.unpack(x)[4] for x in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)])
+            return found, np.ones(len(found), np.int64)
+
+        parts = self.lines.select("occurs", "features").mapInArrow(summed(of_lines), "bucket long, n long")
+        if self.n_max > 1:
+            parts = parts.unionByName(self.blocks.select("postings").mapInArrow(summed(crossing), "bucket long, n long"))
         out = np.zeros(n_buckets, np.int64)
         for row in parts.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
             out[row["bucket"]] = row["n"]
@@ -141,8 +148,15 @@ class Features:
 
         values = self.lines.select("key", "n_words", "features").mapInArrow(add, "key binary, n_words long, n_features long, gain long")
         names = ["n_words", "n_features", "gain"]
-        crossing = lambda _, at: {"n_features": np.ones(len(at), np.int64), "gain": shared.value[at]}
-        return blocks.sums(self.blocks, values, keep, names, _key, self.extra, crossing)
+
+        def crossing(further: list[np.ndarray]) -> dict[str, np.ndarray]:
+            if not further:
+                return {}
+            ends = np.cumsum(further[0])
+            upto = np.concatenate([[0], np.cumsum(shared.value[further[1]])])
+            return {"n_features": further[0], "gain": upto[ends] - upto[ends - further[0]]}
+
+        return blocks.sums(self.blocks, blocks.joined_back(self.blocks, values, names, _key), keep, names, crossing)
 
 
 def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:

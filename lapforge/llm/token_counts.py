@@ -119,15 +119,17 @@ def _splitter(source: str) -> blocks.Split:
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             row_chunks.append(np.fromiter(map(chunk_ids.__getitem__, raw[a:b].split()), np.int64))
         rows = np.repeat(np.arange(len(row_chunks)), [len(c) for c in row_chunks])
-        ptr, chunk, n = blocks.postings(rows, np.concatenate([*row_chunks, np.zeros(0, np.int64)]), np.ones(len(rows)), len(row_chunks), len(chunk_ids))
+        size, chunk, n = blocks.postings(rows, np.concatenate([*row_chunks, np.zeros(0, np.int64)]), np.ones(len(rows)), len(row_chunks), len(chunk_ids))
         pieces = pre(list(chunk_ids))
-        ids, size = _Ids(), np.array([len(p) for p in pieces], np.int64)
+        ids, of_chunk = _Ids(), np.array([len(p) for p in pieces], np.int64)
         piece = np.fromiter(map(ids.__getitem__, chain.from_iterable(pieces)), np.int64)
-        first, each = np.cumsum(size) - size, size[chunk] if len(chunk) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(row_chunks)), np.diff(ptr))
+        first, each = np.cumsum(of_chunk) - of_chunk, of_chunk[chunk]
         nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        ptr, at, n = blocks.postings(np.repeat(row, each), piece[np.repeat(first[chunk] if len(chunk) else each, each) + nth], np.repeat(n, each), len(row_chunks), len(ids))
-        return pa.array(list(ids), pa.string()), ptr, at, n, {}
+        row, at, n = np.repeat(np.repeat(np.arange(len(row_chunks)), size), each), piece[np.repeat(first[chunk], each) + nth], np.repeat(n, each)
+        often = np.argsort(-np.bincount(at, minlength=len(ids)), kind="stable")  # frequent pieces first, which packs better
+        place = np.empty(len(often), np.int64)
+        place[often] = np.arange(len(often))
+        return pa.array(list(ids), pa.string()).take(pa.array(often)), *blocks.postings(row, place[at], n, len(row_chunks), len(ids)), []
 
     return split
 
@@ -138,14 +140,8 @@ def piece_frequencies(df: DataFrame, source: str, text: Column, keep: list[Colum
 
 
 def piece_counts(frequencies: DataFrame, source: str) -> DataFrame:
-    """(key, n_tokens): every distinct pre-token of the table, and the number of its tokens."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokens.of(source)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pre.count(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["key", "n_tokens"])
-
-    return blocks.distinct(frequencies).select("key").mapInArrow(count, "key string, n_tokens long")
+    """The number of tokens of every pre-token of every block, merged once for each distinct pre-token."""
+    return blocks.counted_back(frequencies, lambda pieces: list(map(PreTokens.of(source).count, pieces)))
 
 
 def load(path: str) -> str:
@@ -161,6 +157,5 @@ def count_tokens(df: DataFrame, source: str, text_col: str = "text", keep: list[
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_bytes", "n_tokens", "over_limit")]
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     frequencies = piece_frequencies(df, source, F.col(text_col), [*[F.col(c) for c in keep], n_bytes])
-    counts = piece_counts(frequencies, source)
-    out = blocks.sums(frequencies, counts, [*[df.schema[c] for c in keep], T.StructField("n_bytes", T.LongType())], ["n_tokens"])
+    out = blocks.sums(frequencies, piece_counts(frequencies, source), [*[df.schema[c] for c in keep], T.StructField("n_bytes", T.LongType())], ["n_tokens"])
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
