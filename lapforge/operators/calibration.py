@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +29,11 @@ def heading_rate(samples: DataFrame, lap: list[str], order: str, out: str = "hea
         "_hi": F.coalesce(F.first("_p").over(by_dist.rangeBetween(HEADING_SPAN, Window.unboundedFollowing)), F.last("_p").over(whole)),
         "_n": F.count("*").over(Window.partitionBy(*lap)),
     })
-    angle = lambda a, b: F.atan2(F.col(f"{b}.z") - F.col(f"{a}.z"), F.col(f"{b}.x") - F.col(f"{a}.x"))
-    turn = angle("_p", "_hi") - angle("_lo", "_p")
-    turn = F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi
+    chord = lambda a, b, c: F.col(f"{b}.{c}") - F.col(f"{a}.{c}")
+    still = lambda a, b: (chord(a, b, "x") == 0) & (chord(a, b, "z") == 0)  # noqa: E731  no chord points along x
+    along = lambda a, b: (F.when(still(a, b), 1.0).otherwise(chord(a, b, "x")), chord(a, b, "z"))
+    (ax, az), (bx, bz) = along("_lo", "_p"), along("_p", "_hi")
+    turn = F.atan2(ax * bz - az * bx + 0.0, ax * bx + az * bz)  # within (-pi, pi]; a half turn is +pi
     dt = (F.col("_hi.t") - F.col("_lo.t")) / 2
     usable = (F.col("_n") >= 5) & (F.col("_lo.dist") < F.col("dist")) & (F.col("_hi.dist") > F.col("dist")) & (dt > 0)
     return rows.withColumn(out, F.when(usable, turn / dt).otherwise(0.0)).drop("_p", "_lo", "_hi", "_n")

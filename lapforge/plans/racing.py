@@ -127,8 +127,8 @@ _DRIVE = f"""(SELECT user_id, event_id, CAST(k AS DOUBLE) AS pos_x, CAST(event_i
 
 
 @query(f"""SELECT user_id, event_id, round(CASE WHEN n >= 5 AND lo.d < dist AND hi.d > dist AND hi.t > lo.t THEN
-    (((turn + pi()) - 2 * pi() * floor((turn + pi()) / (2 * pi()))) - pi()) / ((hi.t - lo.t) / 2) ELSE 0.0 END, 6) AS heading_rate FROM (
-  SELECT *, atan2(hi.z - pos_z, hi.x - pos_x) - atan2(pos_z - lo.z, pos_x - lo.x) AS turn FROM (
+    atan2(ax * bz - az * bx + 0.0, ax * bx + az * bz) / ((hi.t - lo.t) / 2) ELSE 0.0 END, 6) AS heading_rate FROM (
+  SELECT *, CASE WHEN pos_x = lo.x AND pos_z = lo.z THEN 1.0 ELSE pos_x - lo.x END AS ax, pos_z - lo.z AS az, CASE WHEN hi.x = pos_x AND hi.z = pos_z THEN 1.0 ELSE hi.x - pos_x END AS bx, hi.z - pos_z AS bz FROM (
     SELECT *, count(*) OVER (PARTITION BY user_id) AS n,
       first_value({{'d': dist, 't': t, 'x': pos_x, 'z': pos_z}}) OVER (PARTITION BY user_id ORDER BY dist RANGE BETWEEN 8 PRECEDING AND CURRENT ROW) AS lo,
       coalesce(first_value({{'d': dist, 't': t, 'x': pos_x, 'z': pos_z}}) OVER (PARTITION BY user_id ORDER BY dist RANGE BETWEEN 8 FOLLOWING AND UNBOUNDED FOLLOWING),
