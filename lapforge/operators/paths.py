@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from lapforge.sources.scratch import staged
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str], pairs: dict[str, str]) -> Column:
-    """Equality of ``keys`` (prefixed with r_ on the right) and of the named column pairs."""
+def _on(keys: list[str], pairs: dict[str, str]) -> Column:
+    """Equality of ``keys`` with their r_ twins (of ``_right``) and of the named column pairs."""
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[f"r_{k}"])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"r_{k}"))
     for a, b in pairs.items():
-        cond = cond & (left[a] == right[b])
+        cond = cond & (F.col(a) == F.col(b))
     return cond
 
 
@@ -48,8 +48,8 @@ def matched(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFra
         chosen = links if chosen is None else chosen.unionByName(links)
         used = links.select(*keys, F.col("a").alias("i"), F.col("s").alias("p")).unionByName(links.select(*keys, F.col("b").alias("i"), F.col("t").alias("p")))
         used = _right(used, keys, i="i", p="p")
-        rest = left.join(used, _on(left, used, keys, {"a": "i", "s": "p"}), "left_anti")
-        left = staged(rest.join(used, _on(rest, used, keys, {"b": "i", "t": "p"}), "left_anti"), "pairs")
+        rest = left.join(used, _on(keys, {"a": "i", "s": "p"}), "left_anti")
+        left = staged(rest.join(used, _on(keys, {"b": "i", "t": "p"}), "left_anti"), "pairs")
 
 
 def both_ways(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,19 +58,21 @@ def both_ways(links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _jump(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, way, to, to_way, hops, least, ends) of every directed node, pointers as far as they go."""
+    """(keys, id, way, to, to_way, hops, least, ends) of every directed node, pointers as far as they go.
+
+    least: the least seed met, after how many steps, and which way it was then left.
+    """
     way = F.explode(F.array(F.lit(1), F.lit(-1)))
-    own = nodes.select(*keys, "id", F.col("seed").alias("least"), way.alias("way"))
+    own = nodes.select(*keys, "id", "seed", way.alias("way")).withColumn("least", F.struct("seed", F.lit(0).cast("long").alias("hops"), "way"))
     step = _right(both_ways(links, keys), keys, a="a", s="s", b="b", t="t")
-    d = own.join(step, _on(own, step, keys, {"id": "a", "way": "s"}), "left")
+    d = own.join(step, _on(keys, {"id": "a", "way": "s"}), "left")
     d = d.select(*keys, "id", "way", F.coalesce("b", "id").alias("to"), F.coalesce(-F.col("t"), "way").alias("to_way"), F.when(F.col("b").isNull(), 0).otherwise(1).cast("long").alias("hops"), "least", F.col("b").isNull().alias("ends"), F.lit(True).alias("moved"))
     d, before = staged(d, "pointers"), None
     while True:
         # the nodes ahead whose own pointer ends close those that point at them
         ahead = _right(d, keys, i="id", w="way", n_to="to", n_way="to_way", n_hops="hops", n_least="least", n_ends="ends")
-        open_ = d.where(~F.col("ends"))
-        least = F.least("least", "n_least")
-        open_ = open_.join(ahead, _on(open_, ahead, keys, {"to": "i", "to_way": "w"})).select(
+        least = F.least("least", F.struct(F.col("n_least.seed").alias("seed"), (F.col("hops") + F.col("n_least.hops")).alias("hops"), F.col("n_least.way").alias("way")))
+        open_ = d.where(~F.col("ends")).join(ahead, _on(keys, {"to": "i", "to_way": "w"})).select(
             *keys, "id", "way", F.col("n_to").alias("to"), F.col("n_way").alias("to_way"), (F.col("hops") + F.col("n_hops")).alias("hops"),
             least.alias("least"), F.col("n_ends").alias("ends"), (least != F.col("least")).alias("moved"),
         )
@@ -82,32 +84,32 @@ def _jump(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranked(nodes: DataFrame, links: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(placed, rings): nodes of paths with their place, and nodes of rings with the least node of the ring.
+    """(lines, rings): keys, id, path, place, size, ahead of the nodes of paths, and of rings opened at their least node.
 
-    ``nodes`` has keys, id and seed (a struct that ends in id; the least seed of a path names it and gives it its direction: its +1 port
-    looks ahead). placed: keys, id, path (id of the least), place from 0, size, ahead (whether the node's own +1 port looks ahead). rings: keys, id, path.
+    ``nodes`` has keys, id and seed (a struct that ends in id). The least seed of a path names it (``path``) and gives it its direction: its +1 port
+    looks ahead. Places count from 0, in a ring from its least node. ahead: whether the node's own +1 port looks ahead.
     """
     d = _jump(nodes, links, keys)
     ids = lambda way, c: F.max(F.when(F.col("way") == way, F.col(c)))
+    # one of the two ways round a ring comes to the least node from ahead of it and leaves it by its -1 port: that is the way back
+    back = F.min(F.when(F.col("least.way") == -1, F.struct(F.col("least.hops").alias("hops"), "way")))
     both = d.groupBy(*keys, "id").agg(
-        F.min("least").alias("least"), F.bool_and("ends").alias("ends"), ids(1, "to").alias("end_p"), ids(1, "hops").alias("hops_p"), ids(-1, "to").alias("end_m"), ids(-1, "hops").alias("hops_m"),
+        F.min("least.seed").alias("least"), F.bool_and("ends").alias("ends"), back.alias("back"), ids(1, "to").alias("end_p"), ids(1, "hops").alias("hops_p"), ids(-1, "to").alias("end_m"), ids(-1, "hops").alias("hops_m"),
     )
     both = staged(both.withColumn("path", F.col("least.id")), "ends")
-    lines = both.where("ends")
+    lines, rings = both.where("ends"), both.where("not ends")
     start = _right(lines.where("id = path"), keys, r_path="path", start="end_m")
-    placed = lines.join(start, _on(lines, start, keys, {"path": "r_path"})).withColumn("ahead", F.col("end_m") == F.col("start"))
+    placed = lines.join(start, _on(keys, {"path": "r_path"})).withColumn("ahead", F.col("end_m") == F.col("start"))
     placed = placed.select(*keys, "id", "path", F.when(F.col("ahead"), F.col("hops_m")).otherwise(F.col("hops_p")).alias("place"), (F.col("hops_p") + F.col("hops_m") + 1).alias("size"), "ahead")
-    return placed, both.where(~F.col("ends")).select(*keys, "id", "path")
+    size = _right(rings.groupBy(*keys, "path").agg(F.count("*").alias("size")), keys, r_path="path", size="size")
+    opened = rings.join(size, _on(keys, {"path": "r_path"})).select(*keys, "id", "path", F.col("back.hops").alias("place"), "size", (F.col("back.way") == -1).alias("ahead"))
+    return placed, opened
 
 
-def cut_rings(links: DataFrame, rings: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
-    """The links without one of each ring: the last by ``by``, or else the one at the -1 port of the ring's least node."""
+def cut_rings(links: DataFrame, rings: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The links without the last by ``by`` of each ring."""
     of = _right(rings, keys, i="id", path="path")
-    if by is None:
-        least = _right(rings.where("id = path").withColumn("side", F.lit(-1)), keys, i="id", side="side")
-        out = links.join(least, _on(links, least, keys, {"a": "i", "s": "side"}), "left_anti")
-        return out.join(least, _on(out, least, keys, {"b": "i", "t": "side"}), "left_anti")
-    inside = links.join(of, _on(links, of, keys, {"a": "i"}))
+    inside = links.join(of, _on(keys, {"a": "i"}))
     worst = inside.groupBy(*keys, "path").agg(F.max(F.struct(*by, "a", "b", "s", "t")).alias("w"))
     worst = worst.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[F.col(f"w.{c}").alias(f"w_{c}") for c in ("a", "b", "s", "t")])
-    return links.join(worst, _on(links, worst, keys, {c: f"w_{c}" for c in ("a", "b", "s", "t")}), "left_anti")
+    return links.join(worst, _on(keys, {c: f"w_{c}" for c in ("a", "b", "s", "t")}), "left_anti")
