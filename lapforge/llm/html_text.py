@@ -5,7 +5,9 @@
    article, which are reader comments) and elements whose class, id or role is made of
    boilerplate words alone (``cookie-notice``, but not ``ad-hoc``) are dropped with all they
    hold, if they are closed: one that is left open to the end of its parent takes nothing
-   along. Blocks inside ``main``, else inside ``article``, are noted as marked.
+   along. Not dropped are elements that hold ``main``; forms that hold an article or more than half
+   of the page's text; articles inside one that has little text of its own (a container).
+   Blocks inside ``main``, else inside ``article``, are noted as marked, those of ``h1`` as titles.
 2. The blocks of a page are one token stream. Runs of ``run`` tokens found on ``min_pages``
    distinct pages of a host are boilerplate. Equal runs have equal least phrases (by hash),
    so a host's suffix array is built in pieces by that phrase: phrases on fewer pages are
@@ -13,8 +15,8 @@
    ones once, with their pages), their suffix array is sorted by ``run`` tokens, and each of
    its intervals adds up the distinct pages of its stretches.
 3. A block goes by the share of its tokens that lie in such runs; markup only weighs it: a
-   block of a page that marks nothing goes from ``OPEN_SHARE`` on, a marked block from
-   ``ARTICLE_SHARE`` on; a block beside the marked ones stays if it has ``run`` tokens and
+   block of a page that marks nothing goes from ``OPEN_SHARE`` on, a marked block or title from
+   ``ARTICLE_SHARE`` on; another block beside the marked ones stays if it has ``run`` tokens and
    none is repeated. Where more than half of the marked text is repeated, the page is a copy
    of others and its marked text stays whole: copies are no boilerplate.
 
@@ -45,6 +47,8 @@ from .wordhash import grams, mix, utf8_parts, words
 
 RUN, PHRASE, MIN_PAGES = 8, 4, 3
 OPEN_SHARE, ARTICLE_SHARE = 0.5, 0.8
+CONTAINER_SHARE = 0.25  # an article with less own text than this share of the one inside only contains it
+MARKED, TITLE = 1, 2
 SHARD_BYTES = 48 << 20
 U64 = np.uint64
 
@@ -106,18 +110,43 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
             at = back
 
 
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """(text, whether marked as main text) of the blocks in page order."""
-    page, out, buffer = page or "", [], []  # out: text, inside article, inside main, innermost element to drop around it
+class Drop:
+    """An element to drop: its name (none if it goes by its class, id or role), the article around it, and how many main and article elements had been opened when it opened and closed."""
+
+    def __init__(self, name: str, around: int, mains: int, articles: int):
+        self.name, self.around, self.opened, self.ended = name, around, (mains, articles), None
+
+
+def _spared(drops: list[Drop], parent: list[int], out: list[tuple]) -> set[int]:
+    """Numbers of the elements to drop that are kept after all, by what they hold."""
+    inside, own = [0] * len(drops), {}
+    for text, _, _, article, _, at in out:
+        inside[at] += len(text)
+        own[article] = own.get(article, 0) + len(text)  # of the innermost article
+    total = sum(len(b[0]) for b in out)
+    for at in range(len(drops) - 1, 0, -1):  # what lies inside an element has a higher number
+        inside[parent[at]] += inside[at]
+    spared = set()
+    for number, d in enumerate(drops[1:], 1):
+        main, article = (b > a for a, b in zip(d.opened, d.ended))
+        if main or (d.name in ("form", "fieldset") and (article or 2 * inside[number] > total)) or (d.name == "article" and own.get(d.around, 0) < CONTAINER_SHARE * inside[number]):
+            spared.add(number)
+    return spared
+
+
+def blocks(page: str | None) -> list[tuple[str, int]]:
+    """(text, MARKED if marked as main text and TITLE if a title) of the blocks in page order."""
+    page, out, buffer = page or "", [], []  # out: text, inside article, inside main, innermost article, title, innermost element to drop around it
     stack: list[tuple[str, int]] = []  # open elements and, for those to drop, their number (else 0)
     place: dict[str, list[int]] = {}  # of each name in the stack
     around, parent, closed = [0], [0], set()  # elements to drop: open ones, the one around each, those closed
+    drops, articles, mains, n_articles = [Drop("", 0, 0, 0)], [0], 0, 0  # articles: numbers of the open ones
     missing, at = set(), 0
 
     def flush() -> None:
         if buffer:
             if text := _SPACE.sub(" ", html.unescape("".join(buffer))).strip():
-                out.append((text, bool(place.get("article")), bool(place.get("main")), around[-1]))
+                out.append((text, bool(place.get("article")), bool(place.get("main")), articles[-1], bool(place.get("h1")), around[-1]))
             buffer.clear()
 
     def close(depth: int) -> None:
@@ -125,8 +154,11 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         while len(stack) > depth:
             name, number = stack.pop()
             place[name].pop()
+            if name == "article":
+                articles.pop()
             if number:
                 around.pop()
+                drops[number].ended = (mains, n_articles)
                 if len(stack) == depth or name in OPTIONAL_END:
                     closed.add(number)
 
@@ -150,8 +182,8 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             elif not inline:
                 flush()
             continue
-        bad = name in DROPPED or (name == "header" and not (place.get("article") or place.get("main"))) or (name == "article" and bool(place.get("article")))
-        bad = bad or (name not in ("html", "body", "main") and bool(attrs) and _named_boilerplate(attrs))
+        named = name not in ("html", "body", "main") and bool(attrs) and _named_boilerplate(attrs)
+        bad = named or name in DROPPED or (name == "header" and not (place.get("article") or place.get("main"))) or (name == "article" and bool(place.get("article")))
         if inline and not bad:
             if name == "br":
                 buffer.append(" ")
@@ -169,19 +201,25 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
                 close(len(stack) - 1)  # a new paragraph or item ends an open one
             stack.append((name, len(parent) if bad else 0))
             place.setdefault(name, []).append(len(stack) - 1)
+            mains, n_articles = mains + (name == "main"), n_articles + (name == "article")
             if bad:
+                drops.append(Drop("" if named else name, articles[-1], mains, n_articles))
                 parent.append(around[-1])
                 around.append(len(parent) - 1)
+            if name == "article":
+                articles.append(n_articles)
     if at < len(page):
         buffer.append(page[at:])
     flush()
     closed.update(number for name, number in stack if name in OPTIONAL_END)
-    gone = [False]
+    for d in drops:
+        d.ended = d.ended or (mains, n_articles)
+    gone, spared = [False], _spared(drops, parent, out)
     for number in range(1, len(parent)):
-        gone.append(number in closed or gone[parent[number]])
-    kept = [b for b in out if not gone[b[3]]]
+        gone.append((number in closed and number not in spared) or gone[parent[number]])
+    kept = [b for b in out if not gone[b[-1]]]
     by = 2 if any(b[2] for b in kept) else 1
-    return [(b[0], b[by]) for b in kept]
+    return [(b[0], MARKED * b[by] + TITLE * b[4]) for b in kept]
 
 
 def host_runs(token: np.ndarray, stretch: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,11 +375,12 @@ def _texts(s: Streams, gone: np.ndarray, lists: list, marks: list) -> list[str]:
     hits, sizes, out = np.diff(total[s.block_ptr]).tolist(), np.diff(s.block_ptr).tolist(), []
     for at, texts, inside in zip(s.blocks_of.tolist(), lists, marks):
         size, hit = sizes[at : at + len(texts)], hits[at : at + len(texts)]
-        marked = any(inside)
-        copy = 2 * sum(h for h, i in zip(hit, inside) if i) > sum(n for n, i in zip(size, inside) if i)
+        marked = any(i & MARKED for i in inside)
+        copy = 2 * sum(h for h, i in zip(hit, inside) if i & MARKED) > sum(n for n, i in zip(size, inside) if i & MARKED)
         kept = []
         for text, i, n, h in zip(texts, inside, size, hit):
-            if (copy or h < ARTICLE_SHARE * n or not h) if i else (n >= s.run and not h) if marked else (h < OPEN_SHARE * n or not h):
+            most = h < (ARTICLE_SHARE if i else OPEN_SHARE) * n or not h
+            if (copy or most) if i & MARKED else most if i & TITLE or not marked else n >= s.run and not h:
                 kept.append(text)
         out.append("\n".join(kept))
     return out
@@ -355,14 +394,14 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         for batch in batches:
             got = [blocks(p) for p in batch.column(4).to_pylist()]
             text = pa.array([[t for t, _ in page] for page in got], pa.list_(pa.string()))
-            inside = pa.array([[i for _, i in page] for page in got], pa.list_(pa.bool_()))
+            inside = pa.array([[i for _, i in page] for page in got], pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), text, inside], names=["page_id", "url", "host", "page", "blocks", "inside"])
 
     host = F.xxhash64(F.coalesce(F.regexp_extract(F.lower(F.col(url_col).cast("string")), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#:]+)", 1), F.lit("")))
     page = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(html_col))
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), page.alias("page"), F.col(html_col).alias("html"))
     n_shards = shards_for(pages, "html", SHARD_BYTES)
-    parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, host long, page long, blocks array<string>, inside array<boolean>"), "pages")
+    parsed = staged(pages.mapInArrow(parse, f"page_id {kind}, url string, host long, page long, blocks array<string>, inside array<tinyint>"), "pages")
     streams = parsed.select("host", "page", "blocks")
     phrases = _recurring(streams, run, min_pages, n_shards)
     runs = _boilerplate(streams, phrases, run, min_pages, n_shards)

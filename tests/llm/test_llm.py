@@ -322,14 +322,29 @@ def test_html_repeated_runs_against_brute_force(spark):
         ("<p title='x>y'>in</p><p title='>out</p>", "in\nout"),
         ("<p>a\u00a0 \n b</p>\n<pre>c</pre>", "a b\nc"),
         (None, ""), ("", ""), ("plain", "plain"), ("</p></nav>x", "x"),
+        ("<form><h1>Head</h1><p>the page lies in a form</p><select><option>x</select></form>", "Head\nthe page lies in a form"),
+        ("<form><p>mail</p><article><p>in a form</p></article></form>", "in a form"),
+        ("<p>a page with more text than its form</p><form><p>mail me</p></form>", "a page with more text than its form"),
+        ("<article class='container'><article><p>inner text</p></article></article>", "inner text"),
+        ("<article><article><p>one</p></article><article><p>two</p></article></article>", "one\ntwo"),
+        ("<div class='promo'><main><p>m</p></main></div>", "m"),
     ],
 )
 def test_html_blocks(page, text):
     got = html_text.blocks(page)
-    marked = [t for t, i in got if i]
+    marked = [t for t, i in got if i & html_text.MARKED]
     assert "\n".join(marked or [t for t, _ in got]) == text
 
 
+def test_html_titles_beside_marked_text(spark):
+    """A unique h1 beside an article stays however short; one that its neighbours' runs repeat on three pages goes."""
+    say = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    site = "<div><h1>The site</h1><p>welcome to our daily news and more of it</p></div>"
+    pages = [(i, "http://h/", f"{site}<h1>Story {i}</h1><article><p>{say(i)}</p></article>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\n{say(i)}" for i in range(4)}
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<a<", "<!--", '<a "', "<title>", "<div>", "<p class='", "</div>", "<b></i>", "&amp;", "<nav>x"])
 def test_html_scan_is_linear(piece):
     began = time.process_time()
