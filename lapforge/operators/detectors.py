@@ -1,17 +1,16 @@
 """Debounced, sustained and rate-limited detectors over ordered streams.
 
 Where a rule is a run of equal values or a threshold it is windows over islands; where each
-decision depends on the last one, the scan runs per key in a grouped Arrow function, and
+decision depends on the last one, sorted rows stream through a small state of each key, and
 ``lapforge.streaming`` keeps the same state between micro-batches.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import _per_key, changed, ordered, segments, upto
+from .windows import Scan, changed, ordered, scanned, segments, upto
 
 
 def debounced_changes(df: DataFrame, keys: list[str], order: str, value: str, hold: int) -> DataFrame:
@@ -51,18 +50,18 @@ def sustained(df: DataFrame, keys: list[str], order: str, value: str, clock: str
     return rows.withColumn("_on", F.col("active") & ~before).where("_on").select(*keys, F.col(clock).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
 
 
+class _Limit(Scan):
+    def __init__(self, cooldown: float):
+        self.cooldown, self.last, self.level = cooldown, None, None
+
+    def row(self, t, s):
+        if t is None or s is None:
+            return  # neither passes nor counts
+        if self.last is None or t - self.last >= self.cooldown or s > self.level:
+            self.last, self.level = t, s
+            yield float(t), int(s)
+
+
 def rate_limited(df: DataFrame, keys: list[str], order: str, clock: str, severity: str, cooldown: float) -> DataFrame:
     """Messages that pass a cooldown since the last one that passed, or are more severe than it: (keys, at, severity)."""
-
-    def scan(table: pa.Table) -> dict:
-        last, level, at, passed = None, None, [], []
-        for t, s in zip(table.column(clock).to_pylist(), table.column(severity).to_pylist()):
-            if t is None or s is None:
-                continue  # neither passes nor counts
-            if last is None or t - last >= cooldown or s > level:
-                last, level = t, s
-                at.append(float(t))
-                passed.append(int(s))
-        return {"at": pa.array(at, pa.float64()), "severity": pa.array(passed, pa.int32())}
-
-    return _per_key(df.select(*dict.fromkeys([*keys, order, clock, severity])), keys, order, "at double, severity int", scan)
+    return scanned(df, keys, order, [clock, severity], "at double, severity int", lambda: _Limit(cooldown))

@@ -23,42 +23,41 @@ WATER_WARN, WATER_CRITICAL, OIL_WARN, OIL_CRITICAL = 110, 120, 130, 140
 OIL_PRESSURE, OIL_RPM, TYRE_WARN = 2.0, 2000, 110
 
 # Event type, category, priority, life (ms), cooldown (s), whether it interrupts.
-POLICIES = """
-engineer_enabled system 20 8000 0 no
-test system 20 10000 0 no
-lap_time lap 60 10000 0 no
-personal_best pace 70 12000 0 no
-pace_drop pace 62 12000 0 no
-final_lap race 85 10000 0 no
-race_halfway race 35 10000 0 no
-position_gained position 65 5000 3 no
-position_lost position 65 5000 3 no
-fuel_remaining fuel 30 12000 0 no
-fuel_low fuel 75 12000 60 no
-fuel_critical fuel 95 10000 30 yes
-fuel_short strategy 90 15000 0 yes
-pit_window_next strategy 80 15000 0 no
-pit_window_open strategy 80 15000 0 no
-water_temp_high engine 90 10000 20 no
-water_temp_critical engine 95 10000 20 yes
-oil_temp_high engine 90 10000 20 no
-oil_temp_critical engine 95 10000 20 yes
-oil_pressure_low engine 98 10000 10 yes
-tire_temp_high tires 45 15000 30 no
-tire_imbalance tires 45 20000 0 no
-repeated_lockups coaching 45 25000 0 no
-repeated_wheelspin coaching 45 25000 0 no
-repeated_bottoming chassis 40 25000 0 no
-braking_early coaching 48 25000 120 no
-braking_late coaching 48 25000 120 no
-corner_time_loss coaching 50 25000 0 no
-"""
+POLICIES = [
+    ("engineer_enabled", "system", 20, 8000, 0, False),
+    ("test", "system", 20, 10000, 0, False),
+    ("lap_time", "lap", 60, 10000, 0, False),
+    ("personal_best", "pace", 70, 12000, 0, False),
+    ("pace_drop", "pace", 62, 12000, 0, False),
+    ("final_lap", "race", 85, 10000, 0, False),
+    ("race_halfway", "race", 35, 10000, 0, False),
+    ("position_gained", "position", 65, 5000, 3, False),
+    ("position_lost", "position", 65, 5000, 3, False),
+    ("fuel_remaining", "fuel", 30, 12000, 0, False),
+    ("fuel_low", "fuel", 75, 12000, 60, False),
+    ("fuel_critical", "fuel", 95, 10000, 30, True),
+    ("fuel_short", "strategy", 90, 15000, 0, True),
+    ("pit_window_next", "strategy", 80, 15000, 0, False),
+    ("pit_window_open", "strategy", 80, 15000, 0, False),
+    ("water_temp_high", "engine", 90, 10000, 20, False),
+    ("water_temp_critical", "engine", 95, 10000, 20, True),
+    ("oil_temp_high", "engine", 90, 10000, 20, False),
+    ("oil_temp_critical", "engine", 95, 10000, 20, True),
+    ("oil_pressure_low", "engine", 98, 10000, 10, True),
+    ("tire_temp_high", "tires", 45, 15000, 30, False),
+    ("tire_imbalance", "tires", 45, 20000, 0, False),
+    ("repeated_lockups", "coaching", 45, 25000, 0, False),
+    ("repeated_wheelspin", "coaching", 45, 25000, 0, False),
+    ("repeated_bottoming", "chassis", 40, 25000, 0, False),
+    ("braking_early", "coaching", 48, 25000, 120, False),
+    ("braking_late", "coaching", 48, 25000, 120, False),
+    ("corner_time_loss", "coaching", 50, 25000, 0, False),
+]
 
 
 def policies(spark: SparkSession) -> DataFrame:
     """One row an event type: category, priority, life, cooldown and whether it interrupts; small enough to join anywhere."""
-    rows = [(a, b, int(c), int(d), int(e), f == "yes") for a, b, c, d, e, f in (line.split() for line in POLICIES.strip().splitlines())]
-    return spark.createDataFrame(rows, "event_type string, category string, priority int, life_ms long, cooldown_s int, interrupts boolean")
+    return spark.createDataFrame(POLICIES, "event_type string, category string, priority int, life_ms long, cooldown_s int, interrupts boolean")
 
 
 def pace_drops(laps: DataFrame, session: str, order: str, time: str, counts: Column) -> DataFrame:

@@ -82,13 +82,13 @@ def span_verdicts(laps: DataFrame, session: str, order: str, number: str, span:
 
 
 def finish_crossings(df: DataFrame, keys: list[str], order: str, lap: str, speed: str, x: str, z: str, vx: str, vz: str) -> DataFrame:
-    """(keys, order, lap, x, z, hx, hz): where the lap counter goes up by one from 1 or more at speed, the first fifty of a key."""
+    """(keys, order, lap, x, z, hx, hz): where the lap counter goes up by one from 1 or more at speed, the first fifty of a key; to millimetres, headings to 5 places."""
     norm = F.sqrt(F.col(vx) * F.col(vx) + F.col(vz) * F.col(vz))
     last = F.lag(lap).over(ordered(keys, order))
     df = df.withColumns({"_last": last, "_norm": norm})
     df = df.where((F.col("_last") >= 1) & (F.col(lap) == F.col("_last") + 1) & (F.col(speed) >= CROSSING_SPEED) & (F.col("_norm") > 0))
     df = df.withColumn("_r", F.row_number().over(ordered(keys, order))).where(F.col("_r") <= CROSSINGS_KEPT)
-    return df.select(*keys, order, lap, F.col(x).alias("x"), F.col(z).alias("z"), (F.col(vx) / F.col("_norm")).alias("hx"), (F.col(vz) / F.col("_norm")).alias("hz"))
+    return df.select(*keys, order, lap, F.round(x, 3).alias("x"), F.round(z, 3).alias("z"), F.round(F.col(vx) / F.col("_norm"), 5).alias("hx"), F.round(F.col(vz) / F.col("_norm"), 5).alias("hz"))
 
 
 def finish_line(crossings: DataFrame, keys: list[str], order: str) -> DataFrame:

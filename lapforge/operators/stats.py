@@ -11,8 +11,8 @@ from .windows import ordered
 def time_weights(df: DataFrame, keys: list[str], order: str, clock: str, out: str = "weight") -> DataFrame:
     """Interval before each row, not below 0; the first copies the second's; a lone row weighs 1."""
     w = ordered(keys, order)
-    step = F.greatest(F.col(clock) - F.lag(clock).over(w), F.lit(0).cast("double"))
-    following = F.greatest(F.lead(clock).over(w) - F.col(clock), F.lit(0).cast("double"))
+    forward = lambda d: F.when(d.isNotNull(), F.greatest(d, F.lit(0).cast("double")))  # noqa: E731  greatest alone would take a null for 0
+    step, following = forward(F.col(clock) - F.lag(clock).over(w)), forward(F.lead(clock).over(w) - F.col(clock))
     return df.withColumn(out, F.coalesce(step, following, F.lit(1).cast("double")))
 
 

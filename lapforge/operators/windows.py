@@ -1,18 +1,19 @@
 """Window operators over ordered rows: gaps, islands, boundaries, spikes, extrema, thinning.
 
 All take key columns and an order column; a window is partitioned by the keys, so a stream
-or lap is the unit of work. Greedy scans that no window frame expresses run per key in
-grouped Arrow functions.
+or lap is the unit of work. Greedy scans that no window frame expresses stream sorted
+partitions through a small state of each key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def ordered(keys: list[str], *order: str) -> WindowSpec:
@@ -100,65 +101,90 @@ def forward_fill(df: DataFrame, keys: list[str], order: str, value: str, out: st
     return df.withColumn(out, F.last(F.nullif(F.col(value), F.lit("")), ignorenulls=True).over(upto(keys, order)))
 
 
-def _per_key(df: DataFrame, keys: list[str], order: str, schema: str, scan) -> DataFrame:
-    """Apply scan(sorted pyarrow table of one key) -> dict of columns besides the keys."""
+class Scan:
+    """A scan of one key's rows in order: ``row`` takes a row's values, ``end`` ends the key; both give rows of the result."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        out = scan(table)
-        n = len(next(iter(out.values())))
-        return pa.table({**{k: pa.array([table.column(k)[0].as_py()] * n, table.schema.field(k).type) for k in keys}, **out})
+    def row(self, *values) -> Iterator[tuple]:
+        raise NotImplementedError
 
+    def end(self) -> Iterator[tuple]:
+        return iter(())
+
+
+def scanned(df: DataFrame, keys: list[str], order: str, values: list[str], schema: str, start: Callable[[], Scan]) -> DataFrame:
+    """(keys, schema): every key's rows, sorted by ``order``, passed through a scan of its own.
+
+    Partitions are sorted and streamed in batches, so what a task holds of a key is its scan, however many rows the key has.
+    """
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInArrow(run, f"{kinds}, {schema}")
+    n_keys = len(keys)
+    arrow = to_arrow_schema(T._parse_datatype_string(f"{kinds}, {schema}"))
+    held = df.select(*keys, *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)], F.col(order).alias("_order"))
+    held = held.repartition(*keys).sortWithinPartitions(*keys, "_order")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, scan = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for row in zip(*columns):
+                if scan is None or row[:n_keys] != key:
+                    if scan is not None:
+                        out += [(*key, *r) for r in scan.end()]
+                    key, scan = row[:n_keys], start()
+                out += [(*key, *r) for r in scan.row(*row[n_keys:])]
+            yield _batch(out, arrow)
+        if scan is not None:
+            yield _batch([(*key, *r) for r in scan.end()], arrow)
 
-def _far_enough(at: np.ndarray, least: float) -> Iterator[int]:
-    last = None
-    for i, x in enumerate(at):
-        if last is None or x - last >= least:
-            last = x
-            yield i
+    return held.mapInArrow(run, f"{kinds}, {schema}")
 
 
-def thin(df: DataFrame, keys: list[str], order: str, position: str, least: float) -> DataFrame:
-    """Greedy thinning: keep a row if it lies ``least`` or more past the last one kept."""
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
 
-    def scan(table: pa.Table) -> dict:
-        at = np.asarray(table.column(position), dtype=float)
-        keep = list(_far_enough(at, least))
-        return {"at": pa.array(at[keep]), "row": pa.array(np.array(keep, dtype=np.int64))}
+class _Thin(Scan):
+    def __init__(self, least: float):
+        self.least, self.last, self.i = least, None, -1
 
-    return _per_key(df.select(*keys, order, position) if order != position else df.select(*keys, order), keys, order, "at double, row long", scan)
+    def row(self, at):
+        self.i += 1
+        if self.last is None or at - self.last >= self.least:
+            self.last = at
+            yield float(at), self.i
+
+
+def thin(df: DataFrame, keys: list[str], order: str, position: str, least: float) -> DataFrame:
+    """(keys, at, row): greedy thinning: a row stays if it lies ``least`` or more past the last one kept; row is its place from 0."""
+    return scanned(df, keys, order, [position], "at double, row long", lambda: _Thin(least))
+
+
+class _Hysteresis(Scan):
+    def __init__(self, high: float, low: float, fade: int):
+        self.high, self.low, self.fade = high, low, fade
+        self.open, self.sign, self.seen, self.i = None, 0, 0, -1
+
+    def row(self, x):
+        self.i += 1
+        s = 1 if x > 0 else -1
+        if self.open is None or (s != self.sign and abs(x) > self.high):
+            if self.open is not None:
+                yield self.open, self.seen, self.sign
+            if abs(x) > self.high:
+                self.open, self.sign, self.seen = self.i, s, self.i
+        elif s == self.sign and abs(x) >= self.low:
+            self.seen = self.i
+        elif self.i - self.seen >= self.fade:
+            yield self.open, self.seen, self.sign
+            self.open = None
+
+    def end(self):
+        if self.open is not None:
+            yield self.open, self.seen, self.sign
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: str, value: str, high: float, low: float, fade: int) -> DataFrame:
     """Signed stretches: entered above ``high``, held at ``low`` or more of the same sign, ended by the ``fade``-th row below it or by the other sign above ``high``."""
-
-    def scan(table: pa.Table) -> dict:
-        v = np.asarray(table.column(value), dtype=float)
-        first, last, sign, open_at, now, seen = [], [], [], None, 0, 0
-
-        def end() -> None:
-            first.append(open_at)
-            last.append(seen)
-            sign.append(now)
-
-        for i, x in enumerate(v):
-            s = 1 if x > 0 else -1
-            if open_at is None:
-                if abs(x) > high:
-                    open_at, now, seen = i, s, i
-            elif s == now and abs(x) >= low:
-                seen = i
-            elif s != now and abs(x) > high:
-                end()
-                open_at, now, seen = i, s, i
-            elif i - seen >= fade:
-                end()
-                open_at = None
-        if open_at is not None:
-            end()
-        return {"first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64()), "sign": pa.array(sign, pa.int32())}
-
-    return _per_key(df.select(*keys, order, value), keys, order, "first long, last long, sign int", scan)
+    return scanned(df, keys, order, [value], "first long, last long, sign int", lambda: _Hysteresis(high, low, fade))

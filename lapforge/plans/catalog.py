@@ -250,13 +250,24 @@ def local_extrema_candidates(spark, d):
     return windows.extrema_candidates(events(spark, d), ["user_id"], "event_id", "v", 5).select("event_id", "kind")
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM (SELECT *, max(v) OVER w AS hi, min(v) OVER w AS lo,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n
+    FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE (v = hi OR v = lo) AND r > 5 AND r <= n - 5),
+  t AS (SELECT user_id, min(event_id) AS "at" FROM c GROUP BY user_id UNION ALL SELECT t.user_id, min(c.event_id) FROM t JOIN c ON c.user_id = t.user_id AND c.event_id >= t."at" + 1000 GROUP BY t.user_id, t."at")
+SELECT t.user_id, CAST(t."at" AS DOUBLE) AS "at", CAST(i AS BIGINT) AS "row" FROM t JOIN c ON c.user_id = t.user_id AND c.event_id = t."at\"""")
 def thinned_extrema(spark, d):
     peaks = windows.extrema_candidates(events(spark, d), ["user_id"], "event_id", "v", 5)
     return windows.thin(peaks, ["user_id"], "event_id", "event_id", 1000)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, k - 50 AS x, CASE WHEN k > 50 THEN 1 ELSE -1 END AS s FROM {EVENTS}),
+  h AS (SELECT user_id, i, CASE WHEN abs(x) > 40 THEN i END AS o, s AS now, i AS seen, CAST(NULL AS BIGINT) AS ef, CAST(NULL AS BIGINT) AS el, 0 AS es FROM e WHERE i = 0
+    UNION ALL SELECT h.user_id, e.i, CASE WHEN o IS NULL OR (e.s <> now AND abs(e.x) > 40) THEN CASE WHEN abs(e.x) > 40 THEN e.i END WHEN e.s = now AND abs(e.x) >= 20 THEN o WHEN e.i - seen >= 3 THEN NULL ELSE o END,
+      CASE WHEN abs(e.x) > 40 AND (o IS NULL OR e.s <> now) THEN e.s ELSE now END, CASE WHEN (abs(e.x) > 40 AND (o IS NULL OR e.s <> now)) OR (o IS NOT NULL AND e.s = now AND abs(e.x) >= 20) THEN e.i ELSE seen END,
+      CASE WHEN o IS NOT NULL AND ((e.s <> now AND abs(e.x) > 40) OR (NOT (e.s = now AND abs(e.x) >= 20) AND e.i - seen >= 3)) THEN o END,
+      CASE WHEN o IS NOT NULL AND ((e.s <> now AND abs(e.x) > 40) OR (NOT (e.s = now AND abs(e.x) >= 20) AND e.i - seen >= 3)) THEN seen END, now FROM h JOIN e ON e.user_id = h.user_id AND e.i = h.i + 1)
+SELECT user_id, CAST(ef AS BIGINT) AS "first", CAST(el AS BIGINT) AS "last", CAST(es AS INTEGER) AS sign FROM h WHERE ef IS NOT NULL
+UNION ALL SELECT user_id, CAST(o AS BIGINT), CAST(seen AS BIGINT), CAST(now AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM h) WHERE r = 1 AND o IS NOT NULL""")
 def hysteresis_segments(spark, d):
     e = events(spark, d).withColumn("c", (F.col("k") - 50).cast("double"))
     return windows.hysteresis(e, ["user_id"], "event_id", "c", 40, 20, 3)
@@ -273,7 +284,7 @@ def forward_fill_label(spark, d):
 
 
 @query(f"""SELECT user_id, round(CASE WHEN sum(w) > 0 THEN 100.0 * sum(CASE WHEN k >= 98 THEN w ELSE 0 END) / sum(w) ELSE 0 END, 6) AS pct FROM (
-  SELECT user_id, k, coalesce(greatest(us - lag(us) OVER o, 0), greatest(lead(us) OVER o - us, 0), 1) / 1 AS w FROM {EVENTS} WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY user_id""")
+  SELECT user_id, k, CASE WHEN lag(us) OVER o IS NOT NULL THEN greatest(us - lag(us) OVER o, 0) WHEN lead(us) OVER o IS NOT NULL THEN greatest(lead(us) OVER o - us, 0) ELSE 1 END AS w FROM {EVENTS} WINDOW o AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY user_id""")
 def weighted_pct(spark, d):
     e = stats.time_weights(events(spark, d).withColumn("c", F.col("us").cast("double")), ["user_id"], "event_id", "c")
     return e.groupBy("user_id").agg(F.round(stats.weighted_percent("weight", F.col("k") >= 98), 6).alias("pct"))
@@ -589,7 +600,10 @@ def sustained_threshold(spark, d):
     return detectors.sustained(e, ["user_id"], "event_id", "k", "t", 60, 40, 600)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, us / 1000000 AS t, k // 25 AS level FROM {EVENTS}),
+  p AS (SELECT user_id, min(event_id) AS event_id, arg_min(t, event_id) AS t, arg_min(level, event_id) AS level FROM e GROUP BY user_id
+    UNION ALL SELECT p.user_id, min(e.event_id), arg_min(e.t, e.event_id), arg_min(e.level, e.event_id) FROM p JOIN e ON e.user_id = p.user_id AND e.event_id > p.event_id AND (e.t - p.t >= 3600 OR e.level > p.level) GROUP BY p.user_id, p.event_id)
+SELECT user_id, CAST(t AS DOUBLE) AS "at", CAST(level AS INTEGER) AS severity FROM p""")
 def emission_policy(spark, d):
     e = events(spark, d).withColumns({"t": (F.col("us") / 1000000).cast("double"), "level": (F.col("k") / 25).cast("int")})
     return detectors.rate_limited(e, ["user_id"], "event_id", "t", "level", 3600)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.functions import units
-from lapforge.operators import calibration, engineer, identify, lifecycle, survey, tables
+from lapforge.operators import calibration, engineer, identify, lifecycle, salvage, survey, tables
 
 from .catalog import EVENTS, cents, events, query, table
 
@@ -56,7 +56,7 @@ def span_verdicts(spark, d):
     return out.select("o_orderkey", "reference", "confirmed", "counts", "best_before")
 
 
-_CROSS = f"""(SELECT user_id, event_id, lap, x, z, vx / norm AS hx, vz / norm AS hz FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM (
+_CROSS = f"""(SELECT user_id, event_id, lap, round(x, 3) AS x, round(z, 3) AS z, round(vx / norm, 5) + 0.0::DOUBLE AS hx, round(vz / norm, 5) + 0.0::DOUBLE AS hz FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM (
   SELECT *, sqrt(vx * vx + vz * vz) AS norm FROM (SELECT user_id, event_id, k // 20 AS lap, lag(k // 20) OVER (PARTITION BY user_id ORDER BY event_id) AS q, k * 10 AS speed,
     CAST(event_id % 31 AS DOUBLE) AS x, CAST(k % 13 AS DOUBLE) AS z, CAST(k % 7 - 3 AS DOUBLE) AS vx, CAST(event_id % 5 AS DOUBLE) AS vz FROM {EVENTS}))
   WHERE q >= 1 AND lap = q + 1 AND speed >= 5 AND norm > 0) WHERE r <= 50)"""
@@ -68,16 +68,50 @@ def _crossings(spark, d):
     return lifecycle.finish_crossings(e, ["user_id"], "event_id", "lap", "speed", "px", "pz", "vx", "vz")
 
 
-@query(f"SELECT user_id, event_id, lap, x, z, round(hx, 9) AS hx, round(hz, 9) AS hz FROM {_CROSS}")
+@query(f"SELECT user_id, event_id, lap, x, z, hx, hz FROM {_CROSS}")
 def finish_crossings(spark, d):
-    return _crossings(spark, d).withColumns({"hx": F.round("hx", 9), "hz": F.round("hz", 9)})
+    return _crossings(spark, d)
 
 
-@query(f"""SELECT user_id, round(mx, 2) AS x, round(mz, 2) AS z, crossings, round(far, 1) AS spread, crossings >= 2 AND far <= 15 AS confident FROM (
-  SELECT user_id, any_value(mx) AS mx, any_value(mz) AS mz, CAST(count(*) AS BIGINT) AS crossings, max(sqrt((x - mx) * (x - mx) + (z - mz) * (z - mz))) AS far FROM (
+@query(f"""SELECT user_id, round(mx, 2) AS x, round(mz, 2) AS z, round(CASE WHEN sqrt(sx * sx + sz * sz) < 0.1 THEN ox ELSE sx / sqrt(sx * sx + sz * sz) END, 5) AS hx,
+  round(CASE WHEN sqrt(sx * sx + sz * sz) < 0.1 THEN oz ELSE sz / sqrt(sx * sx + sz * sz) END, 5) AS hz, crossings, round(far, 1) AS spread, crossings >= 2 AND far <= 15 AS confident FROM (
+  SELECT user_id, any_value(mx) AS mx, any_value(mz) AS mz, CAST(count(*) AS BIGINT) AS crossings, max(sqrt((x - mx) * (x - mx) + (z - mz) * (z - mz))) AS far, sum(hx) AS sx, sum(hz) AS sz, arg_min(hx, event_id) AS ox, arg_min(hz, event_id) AS oz FROM (
     SELECT *, avg(x) OVER (PARTITION BY user_id) AS mx, avg(z) OVER (PARTITION BY user_id) AS mz FROM {_CROSS}) GROUP BY user_id)""")
 def finish_line(spark, d):
-    return lifecycle.finish_line(_crossings(spark, d), ["user_id"], "event_id").drop("hx", "hz")
+    return lifecycle.finish_line(_crossings(spark, d), ["user_id"], "event_id")
+
+
+def _packets(spark, d):
+    """events as packets with a counter that steps on, falls back and jumps, loading gaps, pauses and reported times."""
+    num = lambda c, t="long": F.expr(c).cast(t)
+    return events(spark, d).select(
+        "user_id", "event_id", num("event_id div 100").alias("packet_id"), num("event_id div 4000 % 2", "int").alias("car_id"), num("CASE WHEN event_id div 1500 % 5 = 4 THEN 6 ELSE event_id div 1500 % 5 END", "int").alias("current_lap"),
+        F.lit(0).alias("total_laps"), F.expr("k % 31 <> 5").alias("on_track"), F.expr("k % 29 = 3").alias("paused"), F.expr("k % 25 = 0").alias("loading"), num("v % 1500 - 300").alias("last_ms"), F.lit(-1).alias("best_ms"),
+        F.expr("CASE WHEN user_id % 2 = 0 THEN cast(event_id % 1500 AS long) END").alias("clock_ms"), num("k", "double").alias("speed"), num("100 - event_id / 1000", "double").alias("fuel"),
+    )
+
+
+@query()
+def lap_salvage(spark, d):
+    """Completed and salvaged laps; the stream of the same name gives the same rows (tests)."""
+    return salvage.lap_stream(_packets(spark, d), "user_id", "event_id", 5)
+
+
+@query(f"""WITH e AS (SELECT * FROM {EVENTS}), s AS (SELECT user_id, segment, coalesce(min(head), max(event_id)) AS a, coalesce(max(tail), max(event_id)) AS b FROM (
+    SELECT *, CASE WHEN lead(k) OVER w > k THEN event_id END AS head, CASE WHEN k > lag(k) OVER w THEN event_id END AS tail FROM (
+      SELECT *, CAST(sum(CASE WHEN q IS NULL OR k + 25 < q THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS segment FROM (
+        SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM e)) WINDOW w AS (PARTITION BY user_id, segment ORDER BY event_id)) GROUP BY user_id, segment),
+  t AS (SELECT user_id, arg_max(v, event_id) AS l, max(v) AS m, min(v) AS n FROM e GROUP BY user_id),
+  c AS (SELECT user_id, segment, (b - a) * 17 AS took, list_filter([l, m // 3, n, m // 2], lambda x: x > 0 AND abs(x - (b - a) * 17) <= greatest(500, (b - a) * 17 * 0.005::DOUBLE)) AS hit FROM s JOIN t USING (user_id))
+SELECT user_id, segment, took, hit[1] AS matched FROM c WHERE len(hit) > 0""")
+def time_match(spark, d):
+    """Stretches of a clock whose time one of the reported times agrees with."""
+    e = events(spark, d)
+    stretches = lifecycle.clock_segments(e, ["user_id"], "event_id", "k", 25)
+    times = e.groupBy("user_id").agg(F.max_by("v", "event_id").alias("l"), F.max("v").alias("m"), F.min("v").alias("n"))
+    reported = F.array("l", F.expr("m div 3"), "n", F.expr("m div 2"))
+    out = stretches.join(times, "user_id").withColumn("took", (F.col("last") - F.col("first")) * 17)
+    return out.withColumn("matched", salvage.matched_time(reported, F.col("took"))).where("matched is not null").select("user_id", "segment", "took", "matched")
 
 
 # --- identification and calibration ------------------------------------------------
@@ -108,19 +142,19 @@ def match_decision(spark, d):
 
 
 @query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {_SAMPLES}),
-  p AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS j, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS px, CAST(s_suppkey * 11 % 61 AS DOUBLE) AS pz, count(*) OVER () AS total FROM supplier WHERE s_suppkey <= 100),
+  p AS (SELECT s_suppkey // 100 AS track, row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey) - 1 AS j, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS px, CAST(s_suppkey * 11 % 61 AS DOUBLE) AS pz, count(*) OVER (PARTITION BY s_suppkey // 100) AS total FROM supplier),
   m AS (SELECT user_id, i, any_value(total) AS total, arg_min(j, {{'d': (px - x) * (px - x) + (pz - z) * (pz - z), 'j': j}}) AS j FROM s, p
-    WHERE n >= 2 AND i % greatest(1, n // 80) = 0 AND total >= 8 AND abs(floor(px / 20) - floor(x / 20)) <= 1 AND abs(floor(pz / 20) - floor(z / 20)) <= 1 GROUP BY user_id, i),
+    WHERE track = user_id % 10 AND n >= 2 AND i % greatest(1, n // 80) = 0 AND total >= 8 AND abs(floor(px / 20) - floor(x / 20)) <= 1 AND abs(floor(pz / 20) - floor(z / 20)) <= 1 GROUP BY user_id, i),
   t AS (SELECT user_id, ((j - lag(j) OVER (PARTITION BY user_id ORDER BY i)) % total + total) % total AS step, total FROM m),
   a AS (SELECT user_id, count(CASE WHEN step > 0 AND step < total / 2 THEN 1 END) AS f, count(CASE WHEN step >= total / 2 THEN 1 END) AS b FROM t GROUP BY user_id)
   SELECT u.user_id, coalesce(CASE WHEN f + b > 0 THEN (f - b) / (f + b) ELSE 0.0 END, 0.0) AS direction FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN a ON a.user_id = u.user_id""")
 def travel_direction(spark, d):
     from pyspark.sql import Window
 
-    path = table(spark, d, "supplier").where("s_suppkey <= 100")  # the path of one circuit
+    path = table(spark, d, "supplier").withColumn("track", F.floor(F.col("s_suppkey") / 100))  # a circuit for every hundred
     place = (F.row_number().over(Window.partitionBy("track").orderBy("s_suppkey")) - 1).cast("long")
-    path = path.withColumn("track", F.lit(1)).select("track", place.alias("j"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 11 % 61).cast("double").alias("z"))
-    return identify.travel_direction(_samples(spark, d).withColumn("track", F.lit(1)), path, ["user_id"], "event_id", "track")
+    path = path.select("track", place.alias("j"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 11 % 61).cast("double").alias("z"))
+    return identify.travel_direction(_samples(spark, d).withColumn("track", F.col("user_id") % 10), path, ["user_id"], "event_id", "track")
 
 
 _DRIVE = f"""(SELECT user_id, event_id, CAST(k AS DOUBLE) AS pos_x, CAST(event_id % 61 AS DOUBLE) AS pos_z, 3.0::DOUBLE * r AS dist, 0.125::DOUBLE * r AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM {EVENTS}))"""
@@ -201,14 +235,16 @@ def strategy(spark, d):
 
 
 @query(f"""SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY rank, rule) - 1 AS INTEGER) AS place, id, severity FROM (
+  SELECT event_id, 0 AS rule, 'fuel' AS id, CASE WHEN event_id % 40 < 15 THEN 'critical' ELSE 'warn' END AS severity, CASE WHEN event_id % 40 < 15 THEN 0 ELSE 1 END AS rank FROM {EVENTS} WHERE k % 3 > 0 AND event_id % 40 < 30 UNION ALL
+  SELECT event_id, 4, 'oil-pressure', 'critical', 0 FROM {EVENTS} WHERE k % 5 > 0 AND k % 7 - 1 >= 0 AND k % 7 - 1 < 2 AND event_id % 4000 > 2000 UNION ALL
   SELECT event_id, 1 AS rule, 'pit' AS id, 'info' AS severity, 2 AS rank FROM {EVENTS} WHERE k // 10 < 9 AND k // 10 <= 4 + 1 UNION ALL
   SELECT event_id, 2, 'water', CASE WHEN k + 40 > 120 THEN 'critical' ELSE 'warn' END, CASE WHEN k + 40 > 120 THEN 0 ELSE 1 END FROM {EVENTS} WHERE k + 40 > 110 UNION ALL
   SELECT event_id, 3, 'oil-temp', CASE WHEN event_id % 50 + 100 > 140 THEN 'critical' ELSE 'warn' END, CASE WHEN event_id % 50 + 100 > 140 THEN 0 ELSE 1 END FROM {EVENTS} WHERE event_id % 50 + 100 > 130 UNION ALL
   SELECT event_id, 5, 'tires', 'warn', 1 FROM {EVENTS} WHERE event_id % 120 > 110)""")
 def frame_alerts(spark, d):
     e = events(spark, d)
-    none = F.lit(None).cast("double")
-    frames = e.select("event_id", none.alias("laps_to_empty"), F.floor(F.col("k") / 10).alias("pit_before_lap"), F.lit(9).alias("total_laps"), F.lit(4).alias("current_lap"), (F.col("k") + 40).alias("water_temp"), (F.col("event_id") % 50 + 100).alias("oil_temp"), none.alias("oil_pressure"), F.lit(3000).alias("rpm"), (F.col("event_id") % 120).alias("tyre_max"))
+    known = lambda c, when: F.when(F.expr(when), F.expr(c)).cast("double")  # noqa: E731  null in some rows
+    frames = e.select("event_id", known("event_id % 40 / 10", "k % 3 > 0").alias("laps_to_empty"), F.floor(F.col("k") / 10).alias("pit_before_lap"), F.lit(9).alias("total_laps"), F.lit(4).alias("current_lap"), (F.col("k") + 40).alias("water_temp"), (F.col("event_id") % 50 + 100).alias("oil_temp"), known("k % 7 - 1", "k % 5 > 0").alias("oil_pressure"), (F.col("event_id") % 4000).alias("rpm"), (F.col("event_id") % 120).alias("tyre_max"))
     return engineer.alerts(frames, ["event_id"])
 
 
@@ -241,6 +277,17 @@ def _evidence(spark, d):
     return events(spark, d).select("event_id", F.floor(F.col("k") / 10).alias("place"), F.col("event_type").alias("kind"), (F.col("user_id") % 9).alias("source"), F.col("k").alias("run"), (F.col("event_id") % 5).alias("claimed"))
 
 
+@query(f"""WITH f AS (SELECT place, kind, source, count(*) + max(claimed - i) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY place, kind, source ORDER BY event_id) AS i FROM (
+    SELECT *, max(run) OVER (PARTITION BY place, kind, source ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (
+      SELECT event_id, k // 10 AS place, event_type AS kind, user_id % 9 AS source, k AS run, event_id % 5 AS claimed FROM {EVENTS})) WHERE top IS NULL OR run > top) GROUP BY place, kind, source)
+SELECT place, kind, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY (kind = 'refund' AND place % 2 = 0) DESC, votes DESC, kind) AS r FROM (
+  SELECT place, CASE WHEN kind = 'refund' AND place % 2 = 1 THEN 'auto' ELSE kind END AS kind, sum(votes) AS votes FROM f GROUP BY ALL) WHERE votes > 0) WHERE r = 1""")
+def kind_resolution(spark, d):
+    votes = survey.fold_votes(_evidence(spark, d), ["place"], "event_id")
+    kind = F.when((F.col("kind") == "refund") & (F.col("place") % 2 == 1), "auto").otherwise(F.col("kind"))
+    return survey.resolve_kinds(votes.withColumn("kind", kind), ["place"], ["refund"], ["auto", "add_to_cart", "click", "login", "logout", "purchase", "refund", "signup", "view"])
+
+
 @query(f"""SELECT user_id, CASE WHEN count(w) >= 5 THEN round(median(w), 3) END AS width, CAST(count(w) AS BIGINT) AS samples FROM (
   SELECT user_id, CASE WHEN yaw >= 0.15 AND abs(((100 - d) + (100 + d)) / 2 / 100.0 - 1) <= 0.05 AND 2 * d / yaw BETWEEN 0.8 AND 2.4 THEN CAST(2 * d / yaw AS DOUBLE) END AS w FROM (
     SELECT user_id, CAST(k AS DOUBLE) / 100 AS yaw, CAST(event_id % 8 AS DOUBLE) / 8 AS d FROM {EVENTS})) GROUP BY user_id""")

@@ -1,8 +1,9 @@
 import math
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from lapforge.operators import align, corners, laps
+from lapforge.operators import align, corners, detectors, laps, stats, windows
 
 
 def packet(i, lap, **kw):
@@ -86,12 +87,39 @@ def test_corners(spark):
 def test_corner_report_takes_both_ends_of_a_wrapped_corner(spark):
     ticks = spark.createDataFrame([("l", i, 10.0 * i, float(i), 100.0 - i, 0.0) for i in range(11)], "lap string, i long, dist double, t double, speed double, brake double")
     cs = spark.createDataFrame([(1, 20.0, 50.0), (2, 90.0, 10.0)], "n int, entry_dist double, exit_dist double")
-    got = {r["corner"]: (r["min_speed"], r["time_s"]) for r in corners.report(ticks, cs, ["lap"]).collect()}
+    got = {r["corner"]: (r["min_speed"], r["time_s"]) for r in corners.report(ticks.withColumn("track", F.lit(1)), cs.withColumn("track", F.lit(1)), ["lap"], ["track"]).collect()}
     assert got == {1: (96.0, 2.0), 2: (90.0, 1.0)}
 
 
 def test_corner_report_leaves_out_what_the_lap_never_finished(spark):
     ticks = spark.createDataFrame([("l", i, 10.0 * i, float(i), 50.0, 1.0) for i in range(7)], "lap string, i long, dist double, t double, speed double, brake double")
     cs = spark.createDataFrame([(1, 20.0, 50.0), (2, 40.0, 61.5), (3, 50.0, 70.0), (4, 90.0, 10.0)], "n int, entry_dist double, exit_dist double")
-    got = {r["corner"]: r["time_s"] for r in corners.report(ticks, cs, ["lap"]).collect()}
+    got = {r["corner"]: r["time_s"] for r in corners.report(ticks.withColumn("track", F.lit(1)), cs.withColumn("track", F.lit(1)), ["lap"], ["track"]).collect()}
     assert got == {1: 2.0, 2: 2.0, 4: 0.0}
+
+
+def test_the_first_row_weighs_what_the_second_does(spark):
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 2.0), ("a", 2, 1.5), ("b", 0, 7.0)], "lap string, i long, t double")
+    got = {(r["lap"], r["i"]): r["weight"] for r in stats.time_weights(df, ["lap"], "i", "t").collect()}
+    assert got == {("a", 0): 2.0, ("a", 1): 2.0, ("a", 2): 0.0, ("b", 0): 1.0}
+
+
+def test_scans_keep_to_their_key_across_batches(spark):
+    rows = [(k, i, float(i * (k or 3))) for k in (1, 2, None, 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, i long, x double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a key spans batches, and a batch keys
+    got = sorted((r["k"] or 0, r["at"], r["row"]) for r in windows.thin(df, ["k"], "i", "x", 20.0).collect())
+    want = []
+    for k in {r[0] for r in rows}:
+        last = None
+        for n, x in enumerate(x for kk, _, x in rows if kk == k):
+            if last is None or x - last >= 20:
+                last = x
+                want.append((k or 0, x, n))
+    assert got == sorted(want)
+    waves = spark.createDataFrame([(1, i, math.sin(i / 4) * 60) for i in range(120)], "k int, i long, x double")
+    signs = [(r["first"], r["last"], r["sign"]) for r in windows.hysteresis(waves, ["k"], "i", "x", 40.0, 20.0, 3).orderBy("first").collect()]
+    assert all(abs(math.sin(a / 4) * 60) > 40 and abs(math.sin(b / 4) * 60) >= 20 for a, b, _ in signs) and [s for *_, s in signs] == [1 if i % 2 == 0 else -1 for i in range(len(signs))]
+    said = spark.createDataFrame([("u", i, t, s) for i, (t, s) in enumerate([(0.0, 1), (5.0, 1), (6.0, 2), (9.0, 2), (None, 9), (20.0, None), (16.0, 0), (30.0, 0)])], "u string, i long, t double, s int")
+    assert [(r["at"], r["severity"]) for r in detectors.rate_limited(said, ["u"], "i", "t", "s", 10.0).orderBy("at").collect()] == [(0.0, 1), (6.0, 2), (16.0, 0), (30.0, 0)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
