@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapforge.functions import bits, units
-from lapforge.operators import corners, engineer, laps, survey
+from lapforge.operators import coaching, corners, engineer, laps, survey
 from lapforge.operators.windows import ordered
 
 from .catalog import EVENTS, events, query
@@ -140,3 +140,23 @@ def corner_detection(spark, d):
     t = t.withColumn("heading", bend)
     step = lambda f: F.sum(5.0 * f("heading")).over(ordered(["user_id"], "i").rowsBetween(-(1 << 30), 0))
     return corners.detect(t.withColumns({"pos_x": step(F.cos), "pos_z": step(F.sin)}), ["user_id"])
+
+
+def coaching_tables(spark, d):
+    """Events as laps of eight ticks 100 m apart, with pedals, speeds and chassis events by event number, and three corners for every lap."""
+    place = F.row_number().over(ordered(["user_id"], "event_id")) - 1
+    e = events(spark, d).withColumn("i", place).withColumn("number", F.floor(F.col("i") / 8).cast("int"))
+    e = e.withColumn("lap", F.col("user_id") * 100_000 + F.col("number")).withColumn("j", F.col("i") % 8)
+    rows = e.groupBy(F.col("user_id").alias("session"), "lap", "number").agg((80_000 + F.sum("k")).alias("time_ms"), (F.count("*") == 8).alias("counts"))
+    samples = e.select("lap", (100.0 * F.col("j")).alias("dist"), (2.0 * F.col("j") + F.col("k") / 250).alias("t"), (100 + F.col("k")).cast("double").alias("speed"), F.when(F.col("k") % 3 == 0, 50.0).otherwise(0.0).alias("brake"))
+    kind = F.when(F.col("k") % 4 == 0, "lockup").when(F.col("k") % 4 == 1, "wheelspin").when(F.col("k") % 8 == 2, "bottoming").otherwise("kerb")
+    wheels = F.when(F.col("k") % 2 == 0, F.array(F.lit("fl"))).otherwise(F.array(F.lit("rl"), F.lit("rr")))
+    happened = e.select("lap", F.col("j").cast("int").alias("n"), kind.alias("type"), F.when(F.col("k") % 4 == 0, 0.7).otherwise(1.3).alias("severity"), (100.0 * (F.col("j") % 3)).alias("start_dist"), wheels.alias("wheels"))
+    spots = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("entry_dist"), F.lit(b).alias("exit_dist")) for n, a, b in ((1, 150.0, 320.0), (2, 400.0, 480.0), (3, 650.0, 20.0))]))
+    return rows.select("session", "lap", "number", "time_ms", "counts"), samples, happened, rows.select("lap", spots.alias("c")).select("lap", "c.*")
+
+
+@query()
+def coaching_replay(spark, d):
+    """What every lap is told against the best before it; tests hold it against a walk over the laps."""
+    return coaching.notes(*coaching_tables(spark, d))
