@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapforge.functions import bits, units
-from lapforge.operators import coaching, corners, engineer, laps, survey
+from lapforge.operators import coaching, corners, edge_rides, engineer, laps, survey
 from lapforge.operators.windows import ordered
 
 from .catalog import EVENTS, events, query
@@ -160,3 +160,21 @@ def coaching_tables(spark, d):
 def coaching_replay(spark, d):
     """What every lap is told against the best before it; tests hold it against a walk over the laps."""
     return coaching.notes(*coaching_tables(spark, d))
+
+
+def edge_ride_ticks(spark, d):
+    """Events as ticks of cars that ride over a kerb and back every 27 ticks, each user with a width of its own."""
+    i = F.row_number().over(ordered(["user_id"], "event_id")) - 1
+    a = F.when(F.col("i") % 27 < 10, 0.1).when(F.col("i") % 27 < 20, -0.1).otherwise(0.0)
+    t = events(spark, d).select("user_id", "event_id", i.alias("i")).withColumn("a", a).withColumns({"vx": 240 * F.cos("a"), "vz": 240 * F.sin("a"), "wheelbase": F.lit(2.6)})
+    so_far = ordered(["user_id"], "i").rowsBetween(-(1 << 30), 0)
+    t = t.withColumns({"x": F.sum(F.col("vx") / 60).over(so_far), "z": F.sum(F.col("vz") / 60).over(so_far), "half": 0.6 + (F.col("user_id") % 8) / 20})
+    contact = lambda along, across: F.col("z") + along * 1.3 * F.sin("a") - across * F.col("half") * F.cos("a")
+    letters = [F.when(contact(m, n) > 1.0, "C").otherwise("T") for m, n in zip(edge_rides.ALONG, edge_rides.ACROSS)]
+    return t.select("user_id", F.col("i").alias("tick"), F.concat(*letters).alias("surface"), "x", "z", "vx", "vz", "wheelbase")
+
+
+@query()
+def edge_ride_widths(spark, d):
+    """Widths of axles from rides over a kerb; tests hold the planted widths."""
+    return edge_rides.rides(edge_ride_ticks(spark, d), ["user_id"], "tick")
