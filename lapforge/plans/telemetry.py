@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lapforge.functions import bits, units
-from lapforge.operators import coaching, corners, edge_rides, engineer, laps, survey
+from lapforge.operators import coaching, corners, edge_rides, engineer, laps, pairing, survey
 from lapforge.operators.windows import ordered
 
-from .catalog import EVENTS, events, query
+from .catalog import EVENTS, events, query, table
 
 # The same text in both engines: columns of a tick by event_id (e) and k.
 _CHANNELS = {
@@ -178,3 +178,13 @@ def edge_ride_ticks(spark, d):
 def edge_ride_widths(spark, d):
     """Widths of axles from rides over a kerb; tests hold the planted widths."""
     return edge_rides.rides(edge_ride_ticks(spark, d), ["user_id"], "tick")
+
+
+@query()
+def layout_pairs(spark, d):
+    """Parts as layouts of a circuit (brand) paired one to one with its kinds by size; tests hold the pairing against a loop."""
+    p = table(spark, d, "part")
+    left = p.select(F.col("p_brand").alias("circuit"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("name"), F.col("p_retailprice").alias("length"))
+    kinds = p.groupBy(F.col("p_brand").alias("circuit"), "p_size").agg(F.min("p_partkey").alias("id"), F.min(F.concat_ws(" ", "p_type", "p_name")).alias("name"), F.avg("p_retailprice").alias("length"))
+    out = pairing.paired(left, kinds.select("circuit", "id", "name", "length"))
+    return out.select("circuit", "a", "b", F.round("score", 6).alias("score"))
