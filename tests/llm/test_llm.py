@@ -719,8 +719,9 @@ def test_registered_queries_equal_their_sql(spark, name):
     import pandas as pd
 
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{table}.parquet')")
     got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
-    order = lambda x: x[sorted(want.columns)].sort_values("doc_id").reset_index(drop=True)
+    order = lambda x: x[sorted(want.columns)].sort_values(sorted(want.columns)).reset_index(drop=True)
     assert sorted(got.columns) == sorted(want.columns)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, check_exact=True)
