@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,17 @@ def personal_bests(laps: DataFrame, group: list[str], time: str, lap_id: str, ke
 
     Filters on the result belong outside: rank and count see all laps.
     """
-    w = Window.partitionBy(*group)
-    ranked = laps.withColumns({"_r": F.row_number().over(w.orderBy(time, lap_id)), "laps": F.count("*").over(w)})
-    return ranked.where("_r = 1").select(*group, lap_id, time, "laps", *(keep or []))
+    keep = keep or []
+    first = F.struct(time, lap_id, *keep)  # combined before the shuffle, so no group is sorted in one task
+    best = laps.groupBy(*group).agg(F.min(first).alias("_m"), F.count("*").alias("laps"))
+    return best.select(*group, f"_m.{lap_id}", f"_m.{time}", "laps", *[f"_m.{c}" for c in keep])
 
 
 def gap_to_best(laps: DataFrame, group: list[str], time: str) -> DataFrame:
-    return laps.withColumn("gap", F.col(time) - F.min(time).over(Window.partitionBy(*group)))
+    """Add ``gap``: time less the least of the group; the small table of bests is joined back, so a group is not gathered."""
+    best = laps.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(time).alias("_best"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+    return laps.join(best, same).withColumn("gap", F.col(time) - F.col("_best")).drop("_best", *[f"_g{i}" for i in range(len(group))])
 
 
 def top_laps(laps: DataFrame, time: str, lap_id: str, n: int) -> DataFrame:
