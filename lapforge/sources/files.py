@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 REQUIRED = ["t", "dist", "speed", "throttle", "brake", "coast", "tire_slip", "body_height", "pos_x", "pos_z"]
 OPTIONAL = ["gear", "rpm", "fuel", "boost", "yaw_rate", "steer", "acc_lat", "acc_long", "acc_vert", "race_pos"]
 MAX_SAMPLES = 120_000
-LAP = "format string, version int, lap struct<number int, time_ms long, car_id int, samples struct<" + ", ".join(f"{c} array<double>" for c in REQUIRED + OPTIONAL) + ">>"
+# What a lap file tells of a lap besides, and what stands for it where it is missing.
+ABOUT = [("finished_at", "string", ""), ("car_id", "int", 0), ("fuel_start", "double", 0.0), ("fuel_end", "double", 0.0), ("max_water_temp", "double", 0.0), ("max_oil_temp", "double", 0.0), ("min_oil_pressure", "double", -1.0)]
+LAP = "format string, version int, lap struct<number int, time_ms long, " + ", ".join(f"{c} {t}" for c, t, _ in ABOUT) + ", samples struct<" + ", ".join(f"{c} array<double>" for c in REQUIRED + OPTIONAL) + ">>"
 
 
-def read_laps(spark: SparkSession, path: str) -> DataFrame:
-    """Lap files, one row a file: (file, number, time_ms, car_id, samples, reason); reason is null for a valid lap."""
+def read_laps(spark: SparkSession, path: str, formats: tuple[str, ...] = ("lap",)) -> DataFrame:
+    """Lap files, one row a file: (file, number, time_ms, columns of ABOUT, samples, reason); reason is null for a valid lap.
+
+    ``formats`` are the names that a lap file may give itself.
+    """
     raw = spark.read.schema(LAP).json(path, multiLine=True).withColumn("file", F.input_file_name())
     s = F.col("lap.samples")
     n = F.size(s["t"])
@@ -24,7 +29,7 @@ def read_laps(spark: SparkSession, path: str) -> DataFrame:
         finite = finite & F.coalesce(F.forall(s[c], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(True))
     missing = F.array_compact(F.array(*[F.when(s[c].isNull(), F.lit(c)) for c in REQUIRED]))
     reason = (
-        F.when(F.col("lap").isNull(), "not a lap file")
+        F.when(F.col("lap").isNull() | ~F.coalesce(F.col("format").isin(*formats), F.lit(False)), "not a lap file")
         .when(~F.coalesce(F.col("version").isin(1, 2), F.lit(False)), "unknown version")
         .when(~F.coalesce((F.col("lap.number") >= 0) & (F.col("lap.time_ms") > 0), F.lit(False)), "bad lap number or time")
         .when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
@@ -32,7 +37,8 @@ def read_laps(spark: SparkSession, path: str) -> DataFrame:
         .when(~same, "columns differ in length")
         .when(~finite, "samples are not finite")
     )
-    return raw.select("file", "lap.number", "lap.time_ms", "lap.car_id", s.alias("samples"), reason.alias("reason"))
+    about = [F.coalesce(F.col(f"lap.{c}"), F.lit(default)).alias(c) for c, _, default in ABOUT]
+    return raw.select("file", "lap.number", "lap.time_ms", *about, s.alias("samples"), reason.alias("reason"))
 
 
 def ticks(laps: DataFrame) -> DataFrame:
@@ -43,14 +49,15 @@ def ticks(laps: DataFrame) -> DataFrame:
     return out.select("file", "i", *[F.col("_s").getField(c).alias(c) for c in REQUIRED + OPTIONAL])
 
 
-def lap_json(laps: DataFrame, ticks_: DataFrame, key: str = "lap_id") -> DataFrame:
-    """(key, json): lap envelopes of version 2, samples in order."""
+def lap_json(laps: DataFrame, ticks_: DataFrame, key: str = "lap_id", format_name: str = "lap") -> DataFrame:
+    """(key, json): lap envelopes of version 2, samples in order, with those columns of ABOUT that ``laps`` has."""
     cols = [c for c in ticks_.columns if c not in (key, "i")]
     rows = ticks_.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", *cols))).alias("_r"))  # a lap has at most MAX_SAMPLES rows
-    samples = F.struct(*[F.col(f"_r.{c}").alias(c) for c in cols])
-    lap = F.struct("number", "time_ms", samples.alias("samples"))
+    # a channel that a lap does not carry from start to end is left out: filled up, it would tell of what was never measured
+    samples = F.struct(*[F.when(F.forall(F.col(f"_r.{c}"), lambda x: x.isNotNull()), F.col(f"_r.{c}")).alias(c) for c in cols])
+    lap = F.struct("number", "time_ms", *[c for c, *_ in ABOUT if c in laps.columns], samples.alias("samples"))
     out = laps.join(rows, key)
-    return out.select(key, F.to_json(F.struct(F.lit("lap").alias("format"), F.lit(2).alias("version"), lap.alias("lap"))).alias("json"))
+    return out.select(key, F.to_json(F.struct(F.lit(format_name).alias("format"), F.lit(2).alias("version"), lap.alias("lap"))).alias("json"))
 
 
 def read_cars(spark: SparkSession, path: str) -> DataFrame:

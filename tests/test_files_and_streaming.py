@@ -19,12 +19,20 @@ def test_lap_files(spark, tmp_path):
     del lacking["lap"]["samples"]["body_height"]
     unnamed = {**good, "version": None}
     untimed = {**good, "lap": {**good["lap"], "time_ms": None}}
-    for name, doc in (("a", good), ("b", short), ("c", lacking), ("d", unnamed), ("e", untimed)):
+    for name, doc in (("a", good), ("b", short), ("c", lacking), ("d", unnamed), ("e", untimed), ("f", {**good, "format": "car"}), ("g", {**good, "format": None})):
         (tmp_path / f"{name}.json").write_text(json.dumps(doc))
     laps = files.read_laps(spark, str(tmp_path))
     reasons = {r["file"][-6:-5]: r["reason"] for r in laps.collect()}
-    assert reasons == {"a": None, "b": "columns differ in length", "c": "missing columns: body_height", "d": "unknown version", "e": "bad lap number or time"}
+    assert reasons == {"a": None, "b": "columns differ in length", "c": "missing columns: body_height", "d": "unknown version", "e": "bad lap number or time", "f": "not a lap file", "g": "not a lap file"}
     assert files.ticks(laps).count() == 3
+    one = laps.where("reason is null").first()
+    assert (one["car_id"], one["finished_at"], one["min_oil_pressure"], one["fuel_end"]) == (7, "", -1.0, 0.0)
+    told = laps.where("reason is null").withColumn("fuel_end", F.lit(31.5)).withColumn("lap_id", F.lit(1))
+    out = files.lap_json(told, files.ticks(laps).withColumn("lap_id", F.lit(1)).drop("file"), format_name="other").first()["json"]
+    (tmp_path / "again").mkdir()
+    (tmp_path / "again" / "x.json").write_text(out)
+    back = files.read_laps(spark, str(tmp_path / "again"), ("other",)).first()
+    assert back["reason"] is None and back["fuel_end"] == 31.5 and back["car_id"] == 7 and list(back["samples"]["t"]) == [0.0, 1.0, 2.0]
 
 
 def test_cars_and_logs(spark, tmp_path):
