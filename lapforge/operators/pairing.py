@@ -1,6 +1,6 @@
 """One-to-one pairing of two lists of layouts by length and likeness of names.
 
-Candidates are blocked by circuit and length, so no name meets all others. Left rows choose in order of falling length; in every
+Candidates are blocked by circuit and length, and a right row meets no more left rows than it has rivals, so no name meets all others. Left rows choose in order of falling length; in every
 round each asks for the most alike candidate that it has left, and each right row asked for is lost to all that come after the first
 that asks: the same pairs as going through the left rows one by one.
 """
@@ -10,11 +10,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapforge.sources.scratch import staged
+from lapforge.sources.scratch import spread, staged
 
 # Greatest difference in length (m); filler words of layout names and what stands for a name of nothing else.
 REACH_M, FILLER, WHOLE = 60.0, "layout|course|circuit|full|the", "fullcourse"
@@ -37,12 +37,26 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def candidates(left: DataFrame, right: DataFrame, reach: float = REACH_M) -> DataFrame:
-    """(circuit, a, b, length, score) of rows (circuit, id, name, length) of one circuit whose lengths differ by at most ``reach``."""
-    bucket = lambda c: F.floor(c / reach).cast("long")
-    a = left.select("circuit", F.col("id").alias("a"), layout_name(F.col("name"), F.col("circuit")).alias("a_name"), "length", F.explode(F.array(*[bucket(F.col("length")) + i for i in (-1, 0, 1)])).alias("at"))
-    b = right.select("circuit", F.col("id").alias("b"), layout_name(F.col("name"), F.lit("")).alias("b_name"), F.col("length").alias("b_length"), bucket(F.col("length")).alias("at"))
-    near = a.join(b, ["circuit", "at"]).where(F.abs(F.col("length") - F.col("b_length")) <= reach)
-    return near.select("circuit", "a", "b", "length", likeness("a_name", "b_name").alias("score"))
+    """(circuit, a, b, length, score) of rows (circuit, id, name, length) of one circuit whose lengths differ by at most ``reach`` and that may be paired.
+
+    As long as a right row is free, each left row in reach of it takes some right row, none of which lies over twice the reach away. So it is
+    taken by one of as many left rows in order as there are such right rows; all others cannot get it, and their names are not compared.
+    """
+    bucket = lambda c, size=reach: F.floor(c / size).cast("long")
+    around = lambda c: F.explode(F.array(*[c + i for i in (-1, 0, 1)]))
+    wide = bucket(F.col("length"), 2.001 * reach)  # a little over twice the reach, so that no rounding leaves one out
+    rivals = right.groupBy("circuit", wide.alias("wide")).agg(F.count("*").alias("n")).select("circuit", "n", around(F.col("wide")).alias("wide"))
+    rivals = rivals.groupBy("circuit", "wide").agg(F.sum("n").alias("n"))
+    b = right.withColumn("wide", wide).join(rivals, ["circuit", "wide"]).select("circuit", F.col("id").alias("b"), F.col("length").alias("b_length"), "n", bucket(F.col("length")).alias("at"))
+    a = spread(left.select("circuit", "id", "length")).select("circuit", F.col("id").alias("a"), "length", around(bucket(F.col("length"))).alias("at"))
+    pairs = a.join(b, ["circuit", "at"]).where(F.abs(F.col("length") - F.col("b_length")) <= reach)
+    turn = F.dense_rank().over(Window.partitionBy("circuit", "b").orderBy(F.col("length").desc(), "a"))
+    pairs = pairs.withColumn("turn", turn).where("turn <= n").select("circuit", "a", "b", "length")
+    pairs = pairs.join(left.select("circuit", F.col("id").alias("a"), F.col("name").alias("a_name")), ["circuit", "a"])
+    pairs = pairs.join(right.select("circuit", F.col("id").alias("b"), F.col("name").alias("b_name")), ["circuit", "b"])
+    pairs = spread(pairs, "circuit", "b")
+    score = likeness(layout_name(F.col("a_name"), F.col("circuit")), layout_name(F.col("b_name"), F.lit("")))
+    return pairs.select("circuit", "a", "b", "length", score.alias("score"))
 
 
 def paired(left: DataFrame, right: DataFrame, reach: float = REACH_M) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and their spread over tasks."""
 
 from __future__ import annotations
 
@@ -23,3 +23,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{at.rstrip('/')}/lapforge/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles into, however few bytes it has: for rows of few bytes and much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
