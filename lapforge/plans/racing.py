@@ -285,7 +285,7 @@ SELECT place, kind, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number()
 def kind_resolution(spark, d):
     votes = survey.fold_votes(_evidence(spark, d), ["place"], "event_id")
     kind = F.when((F.col("kind") == "refund") & (F.col("place") % 2 == 1), "auto").otherwise(F.col("kind"))
-    return survey.resolve_kinds(votes.withColumn("kind", kind), ["place"], ["refund"], ["auto", "add_to_cart", "click", "login", "logout", "purchase", "refund", "signup", "view"])
+    return survey.resolve_kinds(votes.withColumn("kind", kind), ["place"], ["refund"], ["add_to_cart", "auto", "click", "error", "login", "logout", "purchase", "refund", "signup", "view"])
 
 
 @query(f"""SELECT user_id, CASE WHEN count(w) >= 5 THEN round(median(w), 3) END AS width, CAST(count(w) AS BIGINT) AS samples FROM (

@@ -1,10 +1,14 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lapforge.functions import units
 from lapforge.operators import calibration, engineer, identify, lifecycle, survey, tables
+from lapforge.plans import catalog, racing
+
+assert racing  # registers its queries
 
 
 def circle(spark, scale):
@@ -69,6 +73,23 @@ def test_resolve_kinds_and_idempotent_evidence(spark):
     assert {r["cell"]: r["kind"] for r in kinds.collect()} == {1: "edge", 2: "auto"}
 
 
+def test_resolve_kinds_ties_follow_the_order_and_then_the_name(spark):
+    rows = [(p, k, "me", 4, 1) for p, ks in ((1, ("zig", "error", "click")), (2, ("zig", "error")), (3, ("add_to_cart", "auto"))) for k in ks]
+    votes = spark.createDataFrame(rows, "cell int, kind string, source string, votes long, run int")
+    assert {r["cell"]: r["kind"] for r in survey.resolve_kinds(votes, ["cell"], [], ["auto", "click", "add_to_cart"]).collect()} == {1: "click", 2: "error", 3: "auto"}
+
+
+def test_kind_resolution_equals_sql_where_votes_tie(spark, tmp_path):
+    # nine events a kind and place, so that kinds tie: error with the others at place 0, auto (refund) with add_to_cart at place 1
+    rows = [(100 * p + 10 * j, j, k, 10 * p) for p, ks in ((0, ("view", "error", "click")), (1, ("refund", "add_to_cart"))) for n, k in enumerate(ks) for j in range(9)]
+    rows = [(5 * i + 1, u, k, float(i), f'{{"k": {at}}}') for i, (_, u, k, at) in enumerate(rows)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["kind_resolution"](spark, str(tmp_path)).select("place", "kind", "votes").collect())
+    assert got == sorted(con.sql(catalog.ORACLE_SQL["kind_resolution"]).fetchall()) == [(0, "click", 9), (1, "add_to_cart", 9)]
+
+
 def test_wheel_contacts(spark):
     df = spark.createDataFrame([(1, 10.0, 20.0, 0.0, 30.0), (2, 0.0, 0.0, 0.0, 0.0)], "i int, x double, z double, vx double, vz double")
     got = {r["wheel"]: (r["wheel_x"], r["wheel_z"]) for r in survey.wheel_contacts(df, "x", "z", "vx", "vz", 2.6, 1.8).collect()}
