@@ -8,6 +8,7 @@ partitions through a small state of each key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -67,11 +68,13 @@ def changed(keys: list[str], order: str, column: str) -> Column:
 
 
 def spikes(df: DataFrame, keys: list[str], order: str, value: str, share: float = 0.35, reach: int = 2) -> DataFrame:
-    """Rows whose value exceeds the mean of the values ``reach`` rows off by ``share`` of the key's range."""
+    """Rows whose value exceeds the mean of the values ``reach`` rows off by ``share`` of the key's range; of whole numbers the share is taken exactly."""
     w, all_rows = ordered(keys, order), Window.partitionBy(*keys)
     middle = (F.lag(value, reach).over(w) + F.lead(value, reach).over(w)) / 2
     df = df.withColumns({"excess": F.col(value) - middle, "_range": F.max(value).over(all_rows) - F.min(value).over(all_rows)})
-    return df.where(F.col("excess") > share * F.col("_range")).drop("_range")
+    whole = isinstance(df.schema["_range"].dataType, T.IntegralType)
+    least = (F.lit(Decimal(str(share))) * F.col("_range")).cast("double") if whole else share * F.col("_range")
+    return df.where(F.col("excess") > least).drop("_range")
 
 
 def central_difference(df: DataFrame, keys: list[str], order: str, value: str, by: Column, out: str) -> DataFrame:

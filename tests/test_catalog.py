@@ -2,6 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from lapforge.operators import windows
 from lapforge.plans import catalog, racing
 
 DATA = "/root/testdata/sf0.001"
@@ -26,6 +27,16 @@ def test_query_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False, check_exact=True)
 
 
+def test_spike_at_exactly_its_share_is_none(spark):
+    # 0.35 * 90 is 31.499999999999996 in doubles: a value 31.5 above its neighbours' mean is no spike of 35 %
+    rows = [(1, i, v) for i, v in enumerate((0, 0, 0, 90, 45, 45, 27, 0, 0))] + [(2, i, v) for i, v in enumerate((0, 90, 0, 0, 32, 0, 1, 0))]
+    df = spark.createDataFrame(rows, "u int, i int, v long")
+    got = {(r["u"], r["i"]) for r in windows.spikes(df, ["u"], "i", "v").collect()}
+    lists = {u: [v for w, _, v in rows if w == u] for u in (1, 2)}
+    exact = {(u, i) for u, vs in lists.items() for i in range(2, len(vs) - 2) if 100 * (2 * vs[i] - vs[i - 2] - vs[i + 2]) > 70 * (max(vs) - min(vs))}
+    assert got == exact and (2, 4) not in got
+
+
 def stream(spark):
     return [r.asDict() for r in catalog.events(spark, DATA).orderBy("user_id", "event_id").collect()]
 
