@@ -447,22 +447,22 @@ _SIG_T = "(SELECT s_suppkey, s_nationkey, s_acctbal + 10000 AS t_len, CAST(s_sup
 _SIG = f"(SELECT c_custkey, s_suppkey, s_nationkey FROM {_SIG_L} JOIN {_SIG_T} ON abs(len - t_len) <= 0.04 * t_len AND abs(x - t_x) <= 120 AND abs(z - t_z) <= 120)"
 
 
-def _signatures(spark, d) -> DataFrame:
+def _signatures(spark, d) -> tuple[DataFrame, DataFrame]:
     num = lambda c: c.cast("double")
     lap = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") + 10000).alias("len"), num(F.col("c_custkey") % 997).alias("x"), num(F.col("c_nationkey") * 40).alias("z"))
     t = table(spark, d, "supplier")
     t = t.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") + 10000).alias("t_len"), num(F.col("s_suppkey") * 9 % 997).alias("t_x"), num(F.col("s_nationkey") * 40).alias("t_z"))
-    return relational.signature_match(lap, t, "len", "x", "z")
+    return lap, t
 
 
 @query(f"SELECT c_custkey, s_suppkey FROM {_SIG}")
 def signature_match(spark, d):
-    return _signatures(spark, d).select("c_custkey", "s_suppkey")
+    return relational.signature_match(*_signatures(spark, d), "len", "x", "z").select("c_custkey", "s_suppkey")
 
 
 @query(f"SELECT c_custkey, CAST(count(DISTINCT s_nationkey) AS BIGINT) AS candidates, CASE WHEN count(DISTINCT s_nationkey) = 1 THEN min(s_nationkey) END AS s_nationkey FROM {_SIG} GROUP BY c_custkey")
 def signature_ambiguity(spark, d):
-    return relational.unambiguous(_signatures(spark, d), "c_custkey", "s_nationkey")
+    return relational.unambiguous(relational.signature_names(*_signatures(spark, d), "c_custkey", "s_nationkey", "len", "x", "z"), "c_custkey", "s_nationkey")
 
 
 # --- text, bits and shapes ---------------------------------------------------------

@@ -1,8 +1,10 @@
+import random
+
 import duckdb
 import pandas as pd
 import pytest
 
-from lapforge.operators import windows
+from lapforge.operators import relational, windows
 from lapforge.plans import catalog, racing
 
 DATA = "/root/testdata/sf0.001"
@@ -37,6 +39,31 @@ def test_spike_at_exactly_its_share_is_none(spark):
     assert got == exact and (2, 4) not in got
 
 
+def signatures(spark, n_laps, n_tracks):
+    rng = random.Random(11)
+    at = lambda: (round(rng.uniform(0, 3000), 1), float(40 * rng.randint(-3, 12)), float(120 * rng.randint(-2, 2)))
+    lap = spark.createDataFrame([(i, *at()) for i in range(n_laps)], "lap int, len double, x double, z double")
+    tracks = spark.createDataFrame([(i, rng.choice((None, "a", "b", "c")), *at()) for i in range(n_tracks)], "track int, name string, t_len double, t_x double, t_z double")
+    return lap, tracks
+
+
+@pytest.mark.parametrize("n_tracks", [25, 700])
+def test_signature_names_equal_all_pairs(spark, n_tracks):
+    lap, tracks = signatures(spark, 120, n_tracks)
+    same = lambda a, b: abs(a["len"] - b["t_len"]) <= 0.04 * b["t_len"] and abs(a["x"] - b["t_x"]) <= 120 and abs(a["z"] - b["t_z"]) <= 120 and a["len"] > 0
+    pairs = {(a["lap"], b["track"], b["name"]) for a in lap.collect() for b in tracks.collect() if same(a, b)}
+    assert sorted((r["lap"], r["track"]) for r in relational.signature_match(lap, tracks, "len", "x", "z").collect()) == sorted(p[:2] for p in pairs)
+    assert {tuple(r) for r in relational.signature_names(lap, tracks, "lap", "name", "len", "x", "z").collect()} == {(a, n) for a, _, n in pairs}
+
+
+def test_signatures_meet_by_length_too(spark):
+    # one place, lengths far apart: only neighbours in length may be joined
+    lap = spark.range(200).selectExpr("id AS lap", "1000 * pow(1.1, id) AS len", "1D AS x", "1D AS z")
+    tracks = spark.range(200).selectExpr("id AS track", "1000 * pow(1.1, id) AS t_len", "1D AS t_x", "1D AS t_z")
+    out = relational.signature_match(lap, tracks, "len", "x", "z")
+    assert out.count() == 200 and "_bl" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def stream(spark):
     return [r.asDict() for r in catalog.events(spark, DATA).orderBy("user_id", "event_id").collect()]
 
