@@ -92,18 +92,28 @@ def slip_events(samples: DataFrame, lap: list[str], min_ticks: int = 6) -> DataF
 
 
 def suspension_events(samples: DataFrame, lap: list[str], min_ticks: int = 3, top: float = 0.98) -> DataFrame:
-    """Bottoming: runs at ``top`` of a wheel's range in the lap; and kerb strikes: spikes of over 35 % of the range."""
-    wheel = F.explode(F.array(*[F.struct(F.lit(k).alias("wheel_no"), F.lit(x).alias("wheel"), F.col(f"sus_{x}").alias("h")) for k, x in enumerate(WHEELS)]))
-    tall = samples.select(*lap, "i", "dist", wheel.alias("_w")).select(*lap, "i", "dist", "_w.*")
+    """Bottoming: runs at ``top`` of a wheel's range in the lap; and kerb strikes: spikes of over 35 % of the range.
+
+    The wheels of a tick pass the windows side by side, in one sort of the ticks; only ticks of an event become rows of a wheel.
+    """
+    order, so_far, whole = windows.ordered(lap, "i"), windows.upto(lap, "i"), Window.partitionBy(*lap)
+    each = lambda f: {k: v for x in WHEELS for k, v in f(x, F.col(f"sus_{x}")).items()}
+    t = samples.select(*lap, "i", *[f"sus_{x}" for x in WHEELS])
+    t = t.withColumns(each(lambda x, h: {f"_over_{x}": h - (F.lag(h, 2).over(order) + F.lead(h, 2).over(order)) / 2}))
+    t = t.withColumns(each(lambda x, h: {f"_lo_{x}": F.min(h).over(whole), f"_range_{x}": F.max(h).over(whole) - F.min(h).over(whole)}))
+    high = lambda x, h: F.coalesce((F.col(f"_range_{x}") > 0) & (h >= F.col(f"_lo_{x}") + top * F.col(f"_range_{x}")), F.lit(False))
+    kerb = lambda x: F.coalesce((F.col(f"_range_{x}") > 0) & (F.col(f"_over_{x}") > 0.35 * F.col(f"_range_{x}")), F.lit(False))
+    t = t.select(*lap, "i", *[c for x in WHEELS for c in (high(x, F.col(f"sus_{x}")).alias(f"_on_{x}"), kerb(x).alias(f"_kerb_{x}"))])
+    t = t.withColumns({f"_start_{x}": (F.col(f"_on_{x}") & ~F.coalesce(F.lag(f"_on_{x}").over(order), F.lit(False))).cast("int") for x in WHEELS})
+    t = t.withColumns({f"_run_{x}": F.sum(f"_start_{x}").over(so_far) for x in WHEELS})
+    wheel = lambda k, x: F.struct(F.lit(k).alias("wheel_no"), F.lit(x).alias("wheel"), F.col(f"_on_{x}").alias("on"), F.col(f"_kerb_{x}").alias("kerb"), F.col(f"_run_{x}").alias("run"))
+    tall = t.select(*lap, "i", F.explode(F.filter(F.array(*[wheel(k, x) for k, x in enumerate(WHEELS)]), lambda w: w["on"] | w["kerb"])).alias("_w")).select(*lap, "i", "_w.*")
     by = [*lap, "wheel_no", "wheel"]
-    span = Window.partitionBy(*by)
-    tall = tall.withColumns({"_lo": F.min("h").over(span), "_hi": F.max("h").over(span)}).where(F.col("_hi") > F.col("_lo"))
-    bottom = windows.islands(tall, by, "i", F.col("h") >= F.col("_lo") + top * (F.col("_hi") - F.col("_lo")), min_ticks)
+    bottom = tall.where("on").groupBy(*by, "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min_ticks)
     bottom = bottom.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("first"))).where(F.col("_r") <= MAX_EVENTS)
-    kerb = windows.spikes(tall, by, "i", "h", 0.35, 2)
-    kerb = kerb.withColumn("_r", F.row_number().over(Window.partitionBy(*lap).orderBy("wheel_no", "i"))).where(F.col("_r") <= MAX_EVENTS)
+    strikes = tall.where("kerb").withColumn("_r", F.row_number().over(Window.partitionBy(*lap).orderBy("wheel_no", "i"))).where(F.col("_r") <= MAX_EVENTS)
     one = lambda df, kind, a, b: df.select(*lap, F.lit(kind).alias("type"), "wheel", F.col(a).alias("first"), F.col(b).alias("last"))
-    return one(bottom, "bottoming", "first", "last").unionByName(one(kerb, "kerb", "i", "i"))
+    return one(bottom, "bottoming", "first", "last").unionByName(one(strikes, "kerb", "i", "i"))
 
 
 def race_result(packets: DataFrame, key: list[str], order: str) -> DataFrame:

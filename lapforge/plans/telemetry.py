@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lapforge.functions import bits, units
 from lapforge.operators import coaching, corners, edge_rides, engineer, laps, pairing, survey
 from lapforge.operators.windows import ordered
+from lapforge.sources.scratch import spread
 
 from .catalog import EVENTS, events, query, table
 
@@ -34,7 +35,8 @@ _DIV = ("e7", 700), ("e9", 900), ("e11", 1100)
 
 def _ticks(spark, d):
     place = F.row_number().over(ordered(["user_id"], "event_id")) - 1
-    e = events(spark, d).select("user_id", "event_id", "k", place.cast("long").alias("i"), *[F.expr(f"event_id div {n}").alias(c) for c, n in _DIV])
+    e = spread(events(spark, d).select("user_id", "event_id", "k"), "user_id")  # few bytes a tick, so tasks of adaptive size would hold many ticks
+    e = e.select("user_id", "event_id", "k", place.cast("long").alias("i"), *[F.expr(f"event_id div {n}").alias(c) for c, n in _DIV])
     e = e.select("user_id", "event_id", "i", "k", (5.0 * F.col("i")).alias("dist"), (F.col("i") / 8.0).alias("t"), *[F.expr(v).cast("double").alias(c) for c, v in _CHANNELS.items()])
     return e.withColumns({c: F.col(c) / 100 for c in _CHANNELS if c.startswith("slip")})
 

@@ -4,6 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lapforge.operators import align, corners, detectors, laps, stats, windows
+from lapforge.plans import telemetry
 
 
 def packet(i, lap, **kw):
@@ -47,6 +48,11 @@ def test_bottoming_and_kerb(spark):
     assert ("bottoming", "fl") in kinds and ("kerb", "rr") in kinds
 
 
+def test_ticks_of_few_bytes_are_spread_over_tasks(spark):
+    ticks = telemetry._ticks(spark, "/root/testdata/sf0.001")
+    assert ticks.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_race_result(spark):
     rows = [packet(i, lap, race_position=pos, total_positions=8, total_laps=2) for i, (lap, pos) in enumerate([(1, 5), (2, 4), (2, 3), (3, -1), (3, 2)])]
     r = laps.race_result(spark.createDataFrame(rows), ["console"], "packet_id").first()
