@@ -2,22 +2,28 @@
 
 A border is a cloud of cells (x, z in metres) with a heading each, whose sign may point either way, as runs were
 driven in both. ``keys`` name a border (circuit and side, say); any number of borders is ordered at
-once. Every join has a grid cell as its key, and places come from pointer jumping, so no border is walked cell by cell.
-Only what follows on ordered chains uses windows over one chain (a circuit's border has thousands of cells).
+once. A border (thousands of cells) is shuffled once and linked in one task; a very large one is linked by joins with a grid cell as their
+key. Places come from pointer jumping either way, so no border is walked cell by cell. What follows on ordered chains uses windows over one chain.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lapforge.sources.scratch import staged
+from lapforge.sources.scratch import spread, staged
 
-from . import paths
+from . import chaining, paths
 from .spatial import around, cell
 
 # Longest step of a chain (m), least forward and tangent products, least cells of a chain.
 STEP_M, FORWARD, TANGENT, LEAST_CELLS = 5.0, 0.35, 0.5, 5
+# Borders with more pairs of cells than this in one place (squares of cells 5 m wide, summed) are ordered by joins, not in one task.
+WHOLE_PAIRS = 1_000_000
 # Longest join of chains (m), and for joins above so many metres the least agreement of the ends.
 JOIN_M = 40.0
 JOIN_GATES = ((25.0, 0.75), (8.0, 0.6), (0.0, 0.2))
@@ -55,18 +61,48 @@ def cell_links(cells: DataFrame, keys: list[str]) -> DataFrame:
     return paths.matched(pairs, keys, ["score"])
 
 
-def chains(cells: DataFrame, keys: list[str], least: int = LEAST_CELLS) -> DataFrame:
+def chains(cells: DataFrame, keys: list[str], least: int = LEAST_CELLS, whole: int = WHOLE_PAIRS) -> DataFrame:
     """(cells' columns, chain, place, size): the cells of chains of at least ``least`` cells, in order within their chain.
 
     ``cells`` has keys, id (unique in a border), x, z, hx, hz. A chain is named by its first cell by (x, z, id), whose heading
-    points ahead in it; a ring begins at that cell.
+    points ahead in it; a ring begins at that cell. A border is shuffled once and put in order in one task, unless it has so many cells close
+    together (``whole``: most pairs of cells in one place, summed over a border) that it is ordered by joins instead.
     """
+    near = cells.groupBy(*keys, cell("x", STEP_M).alias("cx"), cell("z", STEP_M).alias("cz")).agg(F.count("*").alias("n"))
+    many = near.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).where(F.col("pairs") > whole)
+    many = staged(many.select(*keys), "large-borders")
+    if many.isEmpty():
+        return staged(_chains_whole(cells, keys, least), "chains")
+    of = F.broadcast(paths._right(many, keys))
+    small, large = (cells.join(of, paths._on(keys, {}), how) for how in ("left_anti", "left_semi"))
+    return staged(_chains_whole(small, keys, least).unionByName(_chains_joined(large, keys, least)), "chains")
+
+
+def _chains_whole(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The chains of borders of which each fits in a task."""
+
+    def order(border: pa.Table) -> pa.Table:
+        border = border.take(pc.sort_indices(border.column("id")))
+        ids, (x, z, hx, hz) = border.column("id"), (border.column(c).cast(pa.float64()).to_numpy() for c in ("x", "z", "hx", "hz"))
+        known = [border.column(c).is_valid().to_numpy() for c in "xz"]
+        seed = np.empty(len(x), np.int64)
+        seed[np.lexsort((z, known[1], x, known[0]))] = np.arange(len(x))
+        path, place, size = chaining.ranked(seed, *chaining.links(x, z, hx, hz, STEP_M, FORWARD, TANGENT))
+        out = border.append_column("chain", ids.take(pa.array(path))).append_column("place", pa.array(place)).append_column("size", pa.array(size))
+        return out.filter(pa.array(size >= least))
+
+    schema = StructType([*cells.schema.fields, StructField("chain", cells.schema["id"].dataType), StructField("place", LongType()), StructField("size", LongType())])
+    return spread(cells, *keys).groupBy(*keys).applyInArrow(order, schema)
+
+
+def _chains_joined(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The same by joins alone: no border is ever gathered in a task."""
     nodes = cells.select(*keys, "id", F.struct("x", "z", "id").alias("seed"))
     links = cell_links(cells, keys)
     lines, rings = paths.ranked(nodes, links, keys)
     placed = lines.unionByName(rings).where(F.col("size") >= least)
     right = paths._right(placed, keys, i="id", chain="path", place="place", size="size")
-    return staged(cells.join(right, paths._on(keys, {"id": "i"})).select(*cells.columns, "chain", "place", "size"), "chains")
+    return cells.join(right, paths._on(keys, {"id": "i"})).select(*cells.columns, "chain", "place", "size")
 
 
 def _ends(ordered: DataFrame, keys: list[str], chain: str) -> DataFrame:
