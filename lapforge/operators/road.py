@@ -8,20 +8,24 @@ against the quads, where ground that was never surveyed judges nobody. Spatial j
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lapforge.sources.scratch import staged
 
-from . import windows
+from . import curves, windows
 from .paths import _on, _right
-from .spatial import around, cell, segment_distance2
+from .spatial import cell, segment_distance2
 
 # Tolerance of stored polylines (m); step of samples (m); least and most road width (m); least product across.
 TOLERANCE_M, STEP_M, WIDTH_MIN_M, WIDTH_MAX_M, ACROSS = 0.5, 4.0, 3.0, 40.0, 0.7
 # A centre so far beyond an edge is still on (m); off only so near to road (m); rows of an excursion; least resolved road of a judge (%).
 EDGE_M, NEAR_M, EXCURSION_ROWS, ROAD_PCT = 1.0, 30.0, 6, 50.0
 CELL_M = 40.0
+TILE_BITS = 3  # a tile is 8 cells of the widest road wide
 
 
 def _between(a: Column, b: Column, f: Column) -> Column:
@@ -93,17 +97,30 @@ def paired(spans: DataFrame, keys: list[str], step: float = STEP_M) -> DataFrame
     left = samples(spans.where("side = 'L'"), keys, step)
     right = spans.where("side = 'R' and not gap")
     middle = lambda c: cell((F.col(f"p.{c}") + F.col(f"q.{c}")) / 2, WIDTH_MAX_M)
-    right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("line").alias("of"), "place", "p", "q", middle("x").alias("r_cx"), middle("z").alias("r_cz"))
-    near = around(left, "x", "z", WIDTH_MAX_M).join(right, _on(keys, {"cx": "r_cx", "cz": "r_cz"}))
-    dx, dz = F.col("q.x") - F.col("p.x"), F.col("q.z") - F.col("p.z")
-    long2 = dx * dx + dz * dz
-    t = F.when(long2 < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("p.x")) * dx + (F.col("z") - F.col("p.z")) * dz) / long2)))
-    near = near.withColumn("t", t).withColumns({"rx": F.col("p.x") + dx * F.col("t"), "rz": F.col("p.z") + dz * F.col("t"), "ry": _between(F.col("p.y"), F.col("q.y"), F.col("t"))})
-    ox, oz = F.col("rx") - F.col("x"), F.col("rz") - F.col("z")
-    by = [*keys, "line", "run", "k"]
-    best = near.withColumn("width", F.sqrt(ox * ox + oz * oz)).groupBy(*by).agg(F.min(F.struct("width", "of", "place", "rx", "rz", "ry")).alias("m"))
-    best = _right(best, by, m="m")
-    out = left.join(best, _on(by, {}), "left").select(*left.columns, "m.width", "m.rx", "m.rz", "m.ry")
+    ends = [F.col(f"{e}.{c}").cast("double").alias(f"{e}{c}") for e in "pq" for c in "xzy"]
+    right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("line").alias("of"), "place", *ends, middle("x").alias("cx"), middle("z").alias("cz")).where("cx is not null and cz is not null")
+    # a span goes to the tiles of the cells around it (one, but on the rim of a tile), so a point finds all it asks for in its own
+    for c in ("cx", "cz"):
+        right = right.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(*[F.shiftright(F.col(c) + i, TILE_BITS) for i in (-1, 1)]))))
+    at = left.withColumns({"cx": cell("x", WIDTH_MAX_M), "cz": cell("z", WIDTH_MAX_M)})
+    at = at.withColumns({f"_{c}": F.shiftright(c, TILE_BITS) for c in ("cx", "cz")})
+    carried, found = left.columns, ["width", "t", "rx", "rz", "py", "qy"]
+
+    def nearest(points: pa.Table, spans: pa.Table) -> pa.Table:
+        spans = spans.take(pc.sort_indices(spans, [("of", "ascending"), ("place", "ascending")]))
+        part = lambda table, *names: tuple(table.column(c).to_numpy() for c in names)
+        out = points.select(carried)
+        known = pc.and_(points.column("cx").is_valid(), points.column("cz").is_valid())
+        if points.num_rows == 0 or spans.num_rows == 0 or not pc.all(known).as_py():  # cells are null for a whole tile
+            return pa.table([*out.columns, *[pa.nulls(points.num_rows, pa.float64())] * len(found)], names=[*carried, *found])
+        j, *values = curves.nearest_spans(*part(points, "x", "z"), part(points, "cx", "cz"), part(spans, "px", "pz", "qx", "qz"), part(spans, "cx", "cz"))
+        at = pa.array(j, mask=j < 0)
+        return pa.table([*out.columns, *[pa.array(v, mask=j < 0) for v in values], spans.column("py").take(at), spans.column("qy").take(at)], names=[*carried, *found])
+
+    schema = StructType([*left.schema.fields, *[StructField(c, DoubleType()) for c in found]])
+    tile = ["_cx", "_cz"]
+    out = at.groupBy(*keys, *tile).cogroup(right.groupBy(*[f"r_{k}" for k in keys], *tile)).applyInArrow(nearest, schema)
+    out = out.withColumn("ry", _between(F.col("py"), F.col("qy"), F.col("t")))
     across = F.abs((F.col("rx") - F.col("x")) * F.col("tz") - (F.col("rz") - F.col("z")) * F.col("tx")) / F.col("width")
     good = F.coalesce(F.col("width").between(WIDTH_MIN_M, WIDTH_MAX_M) & (across >= ACROSS), F.lit(False))
     return staged(out.select(*left.columns, *[F.when(good, F.col(c)).alias(c) for c in ("width", "rx", "rz", "ry")]), "paired")
