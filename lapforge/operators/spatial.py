@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapforge.sources.scratch import staged
+
 
 def cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("long")
@@ -32,13 +34,38 @@ def coverage(points: DataFrame, occupied: DataFrame, keys: list[str], point_id:
     return out.agg(F.count("*").alias("n"), F.count("_hit").alias("hits"))
 
 
+def _least(c: str) -> Column:
+    """Minimum of ``c`` where nulls come first, as in a struct."""
+    return F.when(F.count(c) == F.count(F.lit(1)), F.min(c)).alias(c)
+
+
+def _nearest_by_rounds(places: DataFrame, targets: DataFrame, at: list[str], reaches: list[float], t_id: str, measure: Column, fits) -> DataFrame:
+    """(at, measure, t_id) of the target (at _tx, _tz) with the least ``measure`` of each place, searched within ever wider reaches.
+
+    Places that find a target within a reach go no further, so where targets lie close together none meets all of them. ``fits(reach)``
+    must hold for every target up to that reach, whatever its measure, that may be taken.
+    """
+    x, z = at[:2]
+    left, found = places, None
+    for reach in reaches:
+        size = 1.001 * reach  # a little wider, so that rounding loses no target at the very reach
+        near = around(left, x, z, size).join(targets.withColumns({"cx": cell("_tx", size), "cz": cell("_tz", size)}), ["cx", "cz"])
+        best = near.withColumn("_m", measure).where(fits(reach)).groupBy(*at).agg(F.min(F.struct("_m", t_id)).alias("_b"))
+        best = staged(best.select(*at, "_b.*"), "nearest")
+        found = best if found is None else found.unionByName(best)
+        if reach != reaches[-1]:
+            left = staged(left.join(best, at, "left_anti"), "places")
+    return found
+
+
 def nearest_point(points: DataFrame, anchors: DataFrame, point_id: str, anchor_id: str, reach: float, x: str = "x", z: str = "z") -> DataFrame:
-    """The nearest anchor within ``reach`` of each point; ties to the smaller anchor id."""
-    targets = anchors.select(F.col(anchor_id), F.col(x).alias("_ax"), F.col(z).alias("_az"), cell(x, reach).alias("cx"), cell(z, reach).alias("cz"))
-    pairs = around(points, x, z, reach).join(targets, ["cx", "cz"])
-    d2 = (F.col(x) - F.col("_ax")) * (F.col(x) - F.col("_ax")) + (F.col(z) - F.col("_az")) * (F.col(z) - F.col("_az"))
-    pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= reach * reach)
-    return pairs.groupBy(point_id).agg(F.min(F.struct("d2", anchor_id)).alias("_m")).select(point_id, F.col(f"_m.{anchor_id}").alias(anchor_id), F.col("_m.d2").alias("d2"))
+    """The nearest anchor within ``reach`` of each point; ties to the smaller anchor id. Points, and anchors, of one place are searched once."""
+    places = staged(points.select(x, z).dropna().distinct(), "places")
+    targets = staged(anchors.select(anchor_id, F.col(x).alias("_tx"), F.col(z).alias("_tz")).dropna(subset=["_tx", "_tz"]).groupBy("_tx", "_tz").agg(_least(anchor_id)), "anchors")
+    d2 = (F.col(x) - F.col("_tx")) * (F.col(x) - F.col("_tx")) + (F.col(z) - F.col("_tz")) * (F.col(z) - F.col("_tz"))
+    found = _nearest_by_rounds(places, targets, [x, z], [reach / 64, reach / 16, reach / 4, reach], anchor_id, d2, lambda r: F.col("_m") <= r * r)
+    near = points.select(point_id, x, z).join(found, [x, z])
+    return near.groupBy(point_id).agg(F.min(F.struct("_m", anchor_id)).alias("_b")).select(point_id, F.col(f"_b.{anchor_id}").alias(anchor_id), F.col("_b._m").alias("d2"))
 
 
 def segment_distance2(px: Column, pz: Column, ax: Column, az: Column, bx: Column, bz: Column) -> Column:
