@@ -89,12 +89,17 @@ def inside_quad(px: Column, pz: Column, corners: list[tuple[Column, Column]]) ->
 
 
 def pairs_across(left: DataFrame, right: DataFrame, least: float = 3.0, most: float = 40.0, across_dot: float = 0.85, heading_dot: float = 0.7) -> DataFrame:
-    """For each left border point (id, x, z, hx, hz) the nearest right one that faces it across the road."""
-    r = right.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("z").alias("rz"), F.col("hx").alias("rhx"), F.col("hz").alias("rhz"), cell("x", most).alias("cx"), cell("z", most).alias("cz"))
-    pairs = around(left, "x", "z", most).join(r, ["cx", "cz"])
-    dx, dz = F.col("rx") - F.col("x"), F.col("rz") - F.col("z")
-    width = F.sqrt(dx * dx + dz * dz)
-    pairs = pairs.withColumn("width", width).where(F.col("width").between(least, most))
+    """For each left border point (id, x, z, hx, hz) the nearest right one that faces it across the road. Points of one place and heading are searched once."""
+    at, to = ["x", "z", "hx", "hz"], ["_tx", "_tz", "_thx", "_thz"]
+    places = staged(left.select(*at).dropna().distinct(), "places")
+    targets = right.select(F.col("id").alias("rid"), *[F.col(c).alias(t) for c, t in zip(at, to)]).dropna(subset=to)
+    targets = staged(targets.groupBy(*to).agg(_least("rid")), "targets")
+    dx, dz = F.col("_tx") - F.col("x"), F.col("_tz") - F.col("z")
     # the right-hand normal of heading (hx, hz) is (hz, -hx) in this plane
-    facing = (F.abs(dx * F.col("hz") - dz * F.col("hx")) / F.col("width") >= across_dot) & (F.col("hx") * F.col("rhx") + F.col("hz") * F.col("rhz") >= heading_dot)
-    return pairs.where(facing).groupBy("id").agg(F.min(F.struct("width", "rid")).alias("_m")).select("id", "_m.rid", "_m.width")
+    facing = (F.abs(dx * F.col("hz") - dz * F.col("hx")) / F.col("_m") >= across_dot) & (F.col("hx") * F.col("_thx") + F.col("hz") * F.col("_thz") >= heading_dot)
+    reaches = [most]
+    while reaches[0] / 2 > least:
+        reaches.insert(0, reaches[0] / 2)
+    found = _nearest_by_rounds(places, targets, at, reaches, "rid", F.sqrt(dx * dx + dz * dz), lambda r: F.col("_m").between(least, r) & facing)
+    near = left.select("id", *at).join(found, at)
+    return near.groupBy("id").agg(F.min(F.struct("_m", "rid")).alias("_b")).select("id", "_b.rid", F.col("_b._m").alias("width"))
