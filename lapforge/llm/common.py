@@ -32,18 +32,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that any executor can reread."""
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``staged`` with the folder, for ``discard``."""
     path = f"{shared_dir(df.sparkSession)}/lapforge/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cut lineage that any executor can reread."""
+    return staged_at(df, label)[0]
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage that nothing reads any more, and let Spark drop unreferenced shuffles."""
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared storage that nothing reads any more, and let Spark drop unreferenced shuffles."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     gc.collect()
     jvm.System.gc()
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import HashArrays, map_array, pack, packed_schema, put_array, unpack
-from .common import discard, shared_dir, staged
+from .common import discard, shared_dir, staged, staged_at
 from .graph import connected_components
 from .wordhash import grams, mix, spans, utf8_parts, words
 
@@ -172,8 +172,8 @@ def _standing(batch: pa.RecordBatch, groups: HashArrays) -> pa.RecordBatch:
     return batch.filter(pa.array(got["id"] == np.asarray(batch.column(1), np.int64)))
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """(g, n, pos, t, nth) of every group and prefix shingle that another group's prefix has too.
+def _postings(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(g, n, pos, t, nth) of every group and prefix shingle that another group's prefix has too, and its folder.
 
     nth numbers the recurring shingles of a group from 0 in prefix order.
     """
@@ -195,6 +195,7 @@ def _postings(rows: DataFrame) -> DataFrame:
         return (key[start][np.add.reduceat(count, start) > 1] if len(start) else key), {}
 
     recurring.fill(wide.mapInArrow(send, packed_schema(2)), merge)
+    discard(rows.sparkSession)  # the shuffle of all prefixes, before that of the postings
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,13 +209,13 @@ def _postings(rows: DataFrame) -> DataFrame:
             at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(pos[hit]), pa.array(flat[hit]), pa.array(nth[hit])], names=["g", "n", "pos", "t", "nth"])
 
-    out = staged(wide.mapInArrow(post, "g long, n long, pos long, t long, nth long").distinct(), "postings")
-    discard(rows.sparkSession, recurring.base)
+    out = staged_at(wide.mapInArrow(post, "g long, n long, pos long, t long, nth long").distinct(), "postings")
+    discard(rows.sparkSession, recurring.base, groups.base)
     return out
 
 
-def _spread(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """The postings of shingles that join groups of different components, with the groups' least and largest component.
+def _spread(posts: DataFrame, label: DataFrame) -> tuple[DataFrame, str]:
+    """The postings of shingles that join groups of different components, with the groups' least and largest component, and their folder.
 
     ``main``: whether all of the group is in the least component of the shingle's list; in a
     list of many near copies, most are.
@@ -259,7 +260,9 @@ def _spread(posts: DataFrame, label: DataFrame) -> DataFrame:
             main = (got["lo"] == of_list["lo"][hit]) & (got["hi"] == got["lo"])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(got["lo"]), pa.array(got["hi"]), pa.array(main)], names=["g", "n", "pos", "t", "nth", "lo", "hi", "main"])
 
-    return staged(posts.mapInArrow(mark, "g long, n long, pos long, t long, nth long, lo long, hi long, main boolean"), "spread")
+    out = staged_at(posts.mapInArrow(mark, "g long, n long, pos long, t long, nth long, lo long, hi long, main boolean"), "spread")
+    discard(posts.sparkSession, comps.base, split.base)
+    return out
 
 
 def set_keys(s: np.ndarray) -> tuple[int, int]:
@@ -298,14 +301,16 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame,
 
     index = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(store, "k1 long, k2 long, file string, start long, size long")
     index = index.where("size > 0").select(F.xxhash64("k1", "k2", F.col("size")).alias("sid"), "file", "start", "size")
-    return staged(index.dropDuplicates(["sid"]), "sets"), base
+    sets = staged(index.dropDuplicates(["sid"]), "sets")
+    discard(docs.sparkSession, keys.base)
+    return sets, base
 
 
 def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of set numbers whose full sets link; ``members`` names a document of each set (sid, rep)."""
-    pairs = staged(_normal(pairs), "candidates")
+    """Those of the staged pairs (a, b) of set numbers whose full sets link; ``members`` names a document of each set (sid, rep)."""
     if pairs.isEmpty():
         return pairs
+    discard(docs.sparkSession)  # the shuffles that found the pairs, before the sets are stored
     asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     sets, folder = _stored_sets(docs, members.join(asked, "sid", "left_semi").select(F.col("rep").alias("id")).distinct(), k)
 
@@ -336,10 +341,14 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, perce
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, links, components): documents with size and set key, the verified links between numbers of distinct sets that closed the components, and the components."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = staged(prefixes(df, id_col, text_col, k, percent), "prefixes")
-    real = rows.where("n > 0 and id is not null")
+    held, prefixes_at = staged_at(prefixes(df, id_col, text_col, k, percent), "prefixes")
+    real = held.where("n > 0 and id is not null")
     members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")).withColumn("sid", F.xxhash64("k1", "k2", "n")), "members")
-    posts = _postings(real)
+    posts, posts_at = _postings(real)
+    # what follows asks for sizes and keys alone, so the prefixes go
+    rows = staged(held.select("id", "n", "k1", "k2"), "rows")
+    real = rows.where("n > 0 and id is not null")
+    discard(df.sparkSession, prefixes_at)
 
     # round one: hubs of the first few recurring shingles of each group. Bands of size keep hubs comparable. One hub
     # has the fewest shingles of its own before, so of many edited copies it is the one nearest to what they were made
@@ -354,14 +363,16 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = least.select("g", "head")
     pairs = star.join(heads.select(F.col("g").alias("ga"), F.col("head").alias("a")), "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
     inside = members.join(least.where("m > 1"), "g").where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
-    first = _verify(pairs.unionByName(inside), members, docs, k, percent)
+    done = staged(_normal(pairs.unionByName(inside)), "candidates")
+    first = _verify(done, members, docs, k, percent)
     labels = staged(connected_components(first), "components")
 
     # round two: all pairs of members that are not connected yet
     label = members.join(labels, F.col("sid") == F.col("node"), "left").select("g", "n", "sid", F.coalesce("component", "sid").alias("comp"))
     label = staged(label, "labels")
     of_group = label.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    marked = _spread(posts, label)
+    marked, marked_at = _spread(posts, label)
+    discard(df.sparkSession, posts_at)
     # two groups of a list's main component need no look, so the main ones are on one side of the join alone
     apart = ~F.col("a.main") & (F.col("b.main") | (F.col("a.g") < F.col("b.g"))) & ((F.col("a.lo") != F.col("b.lo")) | (F.col("a.hi") != F.col("b.hi")) | (F.col("a.lo") != F.col("a.hi")))
     rest = _group_pairs(marked, marked, apart, percent)
@@ -369,8 +380,9 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = rest.join(side("ga", "a"), "ga").join(side("gb", "b"), "gb").where("a_comp <> b_comp").select("a", "b")
     mixed = label.join(of_group.where("lo <> hi").select("g"), "g", "left_semi")
     within = mixed.alias("x").join(mixed.alias("y"), F.col("x.g") == F.col("y.g")).where("x.sid < y.sid and x.comp <> y.comp").select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-    done = _normal(pairs.unionByName(inside))
-    second = _verify(_normal(rest.unionByName(within)).join(done, ["a", "b"], "left_anti"), members, docs, k, percent)
+    asked = staged(_normal(rest.unionByName(within)).join(done, ["a", "b"], "left_anti"), "candidates")
+    discard(df.sparkSession, marked_at)
+    second = _verify(asked, members, docs, k, percent)
     links = first.unionByName(second)
     # rows of one id are one document, whatever their texts: their sets are in one component
     sets_of = real.select("id", F.xxhash64("k1", "k2", "n").alias("sid")).groupBy("id", "sid").count()

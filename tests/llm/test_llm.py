@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, queries, resampling, suffix_dedup
+from lapforge.llm import bpe, common, html_text, kneser_ney, mixing, ngram_join, phrases, pstable, quality_rules, queries, resampling, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -612,6 +612,15 @@ def test_kneser_ney_is_finite_where_texts_come_in_fours(spark):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_ngram_join_keeps_no_prefixes_or_postings(spark, docs):
+    at = f"{common.shared_dir(spark)}/lapforge"
+    held = lambda: {n for n in (os.listdir(at) if os.path.isdir(at) else ()) if n.split("-")[0] in ("prefixes", "postings", "spread", "sets", "groups")}
+    before = held()
+    assert ngram_join.components(docs).count() == docs.count()
+    left = {n for n in held() - before if not n.startswith("sets-") or not os.path.exists(f"{at}/{n}/_SUCCESS")}  # the index of the sets stays
+    assert not left
+
+
 def test_ngram_join_of_repeated_ids(spark):
     rng = random.Random(2)
     say = lambda: [rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)]
