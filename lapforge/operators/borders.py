@@ -105,6 +105,12 @@ def _chains_joined(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
     return cells.join(right, paths._on(keys, {"id": "i"})).select(*cells.columns, "chain", "place", "size")
 
 
+def _direction(end: str, back: str) -> tuple[Column, Column]:
+    x, z = F.col(f"{end}.x") - F.col(f"{back}.x"), F.col(f"{end}.z") - F.col(f"{back}.z")
+    n = F.greatest(_hypot(x, z), F.lit(1e-300))
+    return x / n, z / n
+
+
 def _ends(ordered: DataFrame, keys: list[str], chain: str) -> DataFrame:
     """(keys, chain, size, x, z, dx, dz of head and tail): the ends of chains and the directions that point out of them."""
     back = F.least(F.lit(END_CELLS), F.col("size") - 1)
@@ -112,9 +118,8 @@ def _ends(ordered: DataFrame, keys: list[str], chain: str) -> DataFrame:
     ends = ordered.groupBy(*keys, chain, "size").agg(at(F.lit(0)).alias("h0"), at(back).alias("h1"), at(F.col("size") - 1).alias("t0"), at(F.col("size") - 1 - back).alias("t1"))
     out = [*keys, chain, "size"]
     for e, name in (("h", "head"), ("t", "tail")):
-        x, z = F.col(f"{e}0.x") - F.col(f"{e}1.x"), F.col(f"{e}0.z") - F.col(f"{e}1.z")
-        n = F.greatest(_hypot(x, z), F.lit(1e-300))
-        out.append(F.struct(F.col(f"{e}0.x").alias("x"), F.col(f"{e}0.z").alias("z"), (x / n).alias("dx"), (z / n).alias("dz")).alias(name))
+        dx, dz = _direction(f"{e}0", f"{e}1")
+        out.append(F.struct(F.col(f"{e}0.x").alias("x"), F.col(f"{e}0.z").alias("z"), dx.alias("dx"), dz.alias("dz")).alias(name))
     return ends.select(*out)
 
 
@@ -163,50 +168,48 @@ def stitched(ordered: DataFrame, keys: list[str]) -> DataFrame:
         left = left.join(of_b, paths._on(keys, {"b": "lb"})).where("la_line <> lb_line").select(*pairs.columns)
         pairs = staged(left, "end-pairs")
     if placed is None:
-        return ordered.withColumnRenamed("chain", "line")
+        return spread(ordered.withColumnRenamed("chain", "line"), *keys, rows=ordered.count())
     sized = placed.drop("size")
     size = paths._right(each, keys, c="chain", cells="size")
     sized = sized.join(size, paths._on(keys, {"id": "c"})).select(*keys, "id", "path", "place", "ahead", "cells")
     w = Window.partitionBy(*keys, "path")
     sized = sized.withColumns({"before": F.coalesce(F.sum("cells").over(w.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "whole": F.sum("cells").over(w)})
-    right = paths._right(sized, keys, c="id", line="path", before="before", whole="whole", ahead="ahead")
-    out = ordered.join(right, paths._on(keys, {"chain": "c"}))
-    place = F.col("before") + F.when(F.col("ahead"), F.col("place")).otherwise(F.col("size") - 1 - F.col("place"))
+    # the row of a chain reaches its cells in a sort of their border: this one shuffle serves all that follows along lines
+    of = sized.select(*keys, F.col("id").alias("chain"), F.struct(F.col("path").alias("line"), "before", "whole", "ahead").alias("_of"))
+    out = spread(ordered.unionByName(of, allowMissingColumns=True), *keys, rows=ordered.count())
+    out = out.withColumn("_of", F.max("_of").over(Window.partitionBy(*keys, "chain"))).where("place is not null")
+    place = F.col("_of.before") + F.when(F.col("_of.ahead"), F.col("place")).otherwise(F.col("size") - 1 - F.col("place"))
     kept = [c for c in ordered.columns if c not in ("chain", "place", "size")]
-    return staged(out.select(*kept, "line", place.alias("place"), F.col("whole").alias("size")), "stitched")
+    return out.select(*kept, "_of.line", place.alias("place"), F.col("_of.whole").alias("size"))
 
 
-def assembled(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(spans, borders) of stitched lines.
+def steps(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of stitched lines: keys, line, place, size, main, the cell and the next (p, q: structs of id, x, z, y), d, gap, seam.
 
-    spans: keys, line, place, size, main, the cell and the next (p, q: structs of id, x, z, y), d, gap, seam: one row for each step along a line, and one that closes the main
-    line if it is a loop (the longest line of a border; its ends lie within 40 m, agree, and it has 20 cells or more). Spans above 6 m are gaps.
-    borders: keys, lines, closed, surveyed_m, gap_m, pct.
+    One row for each step along a line, and one that closes the main line if it is a loop (the longest line of a border; its ends lie
+    within 40 m, agree, and it has 20 cells or more). Spans above 6 m are gaps. Cells that ``stitched`` has brought together are not shuffled again.
     """
     if "y" not in lines.columns:
         lines = lines.withColumn("y", F.lit(None).cast("double"))
-    w = Window.partitionBy(*keys, "line").orderBy("place")
-    p = lines.select(*keys, "line", "place", "size", F.struct("id", "x", "z", "y").alias("p"))
-    steps = p.withColumn("q", F.lead("p").over(w)).where("q is not null").withColumn("d", _hypot(F.col("q.x") - F.col("p.x"), F.col("q.z") - F.col("p.z")))
-    steps = staged(steps, "spans")
-    length = steps.groupBy(*keys, "line").agg(F.sum("d").alias("length"))
-    ends = _ends(lines, keys, "line")
-    right = paths._right(length, keys, l="line", length="length")
-    ends = ends.join(right, paths._on(keys, {"line": "l"})).select(*ends.columns, "length")
-    main = ends.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("length").desc(), "line"))).where("n = 1")
-    shut = _hypot(F.col("head.x") - F.col("tail.x"), F.col("head.z") - F.col("tail.z"))
-    agree = -(F.col("head.dx") * F.col("tail.dx") + F.col("head.dz") * F.col("tail.dz"))
-    main = staged(main.select(*keys, "line", ((shut <= JOIN_M) & (F.col("size") >= LOOP_CELLS) & (agree >= LOOP_AGREEMENT)).alias("closed")), "main-lines")
-    of = paths._right(main, keys, m="line", closed="closed")
-    spans = steps.join(of, paths._on(keys, {"line": "m"}), "left").withColumn("main", F.col("m").isNotNull())
-    first, last = p.where("place = 0"), p.where("place = size - 1")
-    loop = paths._right(main.where("closed"), keys, m="line")
-    start = paths._right(first, keys, l="line", q="p")
-    seam = last.join(loop, paths._on(keys, {"line": "m"}), "left_semi")
-    seam = seam.join(start, paths._on(keys, {"line": "l"})).withColumn("d", _hypot(F.col("q.x") - F.col("p.x"), F.col("q.z") - F.col("p.z")))
-    columns = [*keys, "line", "place", "size", "p", "q", "d"]
-    spans = spans.select(*columns, "main", F.lit(False).alias("seam")).unionByName(seam.select(*columns, F.lit(True).alias("main"), F.lit(True).alias("seam")))
-    spans = staged(spans.withColumn("gap", F.col("d") > SURVEYED_M), "spans")
+    line = Window.partitionBy(*keys, "line")
+    along = line.orderBy("place")
+    c = lines.select(*keys, "line", "place", "size", F.struct("id", "x", "z", "y").alias("p"))
+    c = c.withColumns({"q": F.lead("p").over(along), "h0": F.first("p").over(along)})
+    d = _hypot(F.col("q.x") - F.col("p.x"), F.col("q.z") - F.col("p.z"))
+    back = F.least(F.lit(END_CELLS), F.col("size") - 1)
+    at = lambda place: F.max(F.when(F.col("place") == place, F.struct("p.x", "p.z"))).over(line)
+    c = c.withColumns({"length": F.sum(d).over(line), "h1": at(back), "t0": at(F.col("size") - 1), "t1": at(F.col("size") - 1 - back)})
+    longest = F.min(F.when(F.col("length").isNotNull(), F.struct(-F.col("length"), "line"))).over(Window.partitionBy(*keys))
+    (hx, hz), (tx, tz) = _direction("h0", "h1"), _direction("t0", "t1")
+    closed = (_hypot(F.col("h0.x") - F.col("t0.x"), F.col("h0.z") - F.col("t0.z")) <= JOIN_M) & (F.col("size") >= LOOP_CELLS) & (-(hx * tx + hz * tz) >= LOOP_AGREEMENT)
+    c = c.withColumn("main", F.col("line") == longest["line"]).withColumn("seam", F.coalesce(F.col("q").isNull() & F.col("main") & closed, F.lit(False)))
+    c = c.withColumn("q", F.when(F.col("seam"), F.col("h0")).otherwise(F.col("q"))).where("q is not null").withColumn("d", d)
+    return c.select(*keys, "line", "place", "size", "p", "q", "d", "main", "seam", (F.col("d") > SURVEYED_M).alias("gap"))
+
+
+def assembled(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(spans, borders) of stitched lines: the spans of ``steps``, stored, and for each border keys, lines, closed, surveyed_m, gap_m, pct."""
+    spans = staged(steps(lines, keys), "spans")
     meters = lambda gap: F.coalesce(F.sum(F.when(F.col("gap") == gap, F.col("d"))), F.lit(0.0))
     cover = spans.groupBy(*keys).agg(F.countDistinct("line").alias("lines"), F.bool_or("seam").alias("closed"), meters(False).alias("s"), meters(True).alias("g"))
     pct = F.when(F.col("s") + F.col("g") > 0, F.round(100 * F.col("s") / (F.col("s") + F.col("g")), 1)).otherwise(0.0)

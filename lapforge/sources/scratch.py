@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+TASK_ROWS = 200_000  # of a partition of ``spread``, about
+
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back, so that loops keep a short lineage.
@@ -25,6 +27,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` in as many partitions as the session shuffles into, however few bytes it has: for rows of few bytes and much work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+def spread(df: DataFrame, *by: str, rows: int = 0) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles into, or as its number of ``rows`` asks for, however few bytes it has: for rows of few bytes and much work."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *by)
