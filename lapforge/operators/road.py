@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lapforge.sources.scratch import staged
+from lapforge.sources.scratch import spread, staged
 
 from . import curves, windows
 from .paths import _on, _right
@@ -25,6 +25,7 @@ TOLERANCE_M, STEP_M, WIDTH_MIN_M, WIDTH_MAX_M, ACROSS = 0.5, 4.0, 3.0, 40.0, 0.7
 # A centre so far beyond an edge is still on (m); off only so near to road (m); rows of an excursion; least resolved road of a judge (%).
 EDGE_M, NEAR_M, EXCURSION_ROWS, ROAD_PCT = 1.0, 30.0, 6, 50.0
 CELL_M = 40.0
+ROUNDS = 4  # of splits between two shuffles
 TILE_BITS = 3  # a tile is 8 cells of the widest road wide
 
 
@@ -43,37 +44,52 @@ def runs(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def polylines(spans: DataFrame, keys: list[str], tolerance: float | None = TOLERANCE_M) -> DataFrame:
     """(keys, line, run, nth, x, z, y): vertices of each surveyed run, to centimetres, thinned to ``tolerance`` (None: all)."""
-    r = runs(spans, keys)
     by = [*keys, "line", "run"]
-    first = r.where("start = 0").groupBy(*by).agg(F.min(F.struct("place", "p")).alias("m")).select(*by, F.col("m.place").alias("nth"), "m.p")
-    points = first.unionByName(r.select(*by, (F.col("place") + 1).alias("nth"), F.col("q").alias("p")))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("place")) == 1
+    p, q = F.struct(F.col("place").alias("nth"), "p"), F.struct((F.col("place") + 1).alias("nth"), F.col("q").alias("p"))
+    points = runs(spans, keys).withColumn("first", first).withColumn("v", F.explode(F.when(F.col("first"), F.array(p, q)).otherwise(F.array(q)))).select(*by, "v.*")
     cm = lambda c: F.round(f"p.{c}", 2).alias(c)
     points = points.select(*by, "nth", cm("x"), cm("z"), cm("y"))
     return points if tolerance is None else simplified(points, by, "nth", tolerance)
 
 
 def simplified(points: DataFrame, keys: list[str], order: str, tolerance: float) -> DataFrame:
-    """The vertices (x, z) that Douglas-Peucker keeps of each polyline of ``keys`` in ``order``.
+    """The vertices (x, z) that Douglas-Peucker keeps of each polyline of ``keys`` in ``order``, which is unique in a polyline.
 
-    Every round splits all open segments of all polylines at their farthest point (the first of equals), so rounds follow the depth of the splits,
-    and a polyline is never gathered. Keys must not be null.
+    Every round splits all open segments of all polylines at their farthest point (the first of equals), so rounds follow the depth of the splits.
+    A round is a window over the segments; as they lie within their polyline, ``ROUNDS`` of them share one shuffle of the points that are still open.
     """
-    at = F.struct(F.col(order).alias("o"), F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))
-    ends = points.groupBy(*keys).agg(F.min(at).alias("a"), F.max(at).alias("b"))
-    kept = ends.select(*keys, F.explode(F.array_distinct(F.array("a.o", "b.o"))).alias("o"))
-    open_ = points.select(*keys, at.alias("p")).join(ends, keys).where("p.o > a.o and p.o < b.o")
-    open_ = staged(open_, "open-segments")
-    while not open_.isEmpty():
-        dx, dz = F.col("b.x") - F.col("a.x"), F.col("b.z") - F.col("a.z")
-        px, pz, length = F.col("p.x") - F.col("a.x"), F.col("p.z") - F.col("a.z"), F.sqrt(dx * dx + dz * dz)
-        off = F.when(length < 1e-9, F.sqrt(px * px + pz * pz)).otherwise(F.abs(px * dz - pz * dx) / length)
-        worst = open_.withColumn("off", off).groupBy(*keys, F.col("a.o").alias("lo")).agg(F.max(F.struct("off", (-F.col("p.o")).alias("r"), "p")).alias("w"))
-        worst = staged(worst.where(F.col("w.off") > tolerance).select(*keys, "lo", F.col("w.p").alias("w")), "splits")
-        kept = kept.unionByName(worst.select(*keys, F.col("w.o").alias("o")))
-        open_ = open_.withColumn("lo", F.col("a.o")).join(worst, [*keys, "lo"]).where("p.o <> w.o")
-        before = F.col("p.o") < F.col("w.o")
-        open_ = staged(open_.select(*keys, "p", F.when(before, F.col("a")).otherwise(F.col("w")).alias("a"), F.when(before, F.col("w")).otherwise(F.col("b")).alias("b")), "open-segments")
-    return points.join(kept.withColumnRenamed("o", order), [*keys, order], "left_semi")
+    own = F.struct(F.col(order).alias("o"), F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))
+    whole = Window.partitionBy(*keys)
+    rows = points.where(F.col(order).isNotNull()).withColumn("_p", own).withColumns({"_a": F.min("_p").over(whole), "_b": F.max("_p").over(whole)})
+    rows = rows.withColumn("_kept", (F.col("_p.o") == F.col("_a.o")) | (F.col("_p.o") == F.col("_b.o")))
+    kept = None
+    while True:
+        for _ in range(ROUNDS):
+            rows = _split(rows, keys, tolerance)
+        rows = staged(rows, "segments")
+        done = rows.where("_kept").select(*points.columns)
+        kept = done if kept is None else kept.unionByName(done)
+        rows = rows.where("not _kept")
+        left = rows.count()
+        if left == 0:
+            return kept
+        rows = spread(rows, *keys, rows=left)
+
+
+def _split(rows: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """One round: open points (_p between the ends _a and _b of their segment) go if their segment is within ``tolerance``, else it is split at the farthest, which is kept."""
+    at = lambda c: F.col(f"_{c[0]}.{c[1]}")
+    dx, dz, px, pz = at("bx") - at("ax"), at("bz") - at("az"), at("px") - at("ax"), at("pz") - at("az")
+    length = F.sqrt(dx * dx + dz * dz)
+    off = F.when(length < 1e-9, F.sqrt(px * px + pz * pz)).otherwise(F.abs(px * dz - pz * dx) / length)
+    rows = rows.withColumn("_lo", F.when(~F.col("_kept"), F.col("_a.o")))
+    worst = F.max(F.when(~F.col("_kept"), F.struct(off.alias("off"), (-F.col("_p.o")).alias("r"), F.col("_p").alias("p"))))
+    rows = rows.withColumn("_w", worst.over(Window.partitionBy(*keys, "_lo"))).where(F.col("_kept") | (F.col("_w.off") > tolerance))
+    before, w = F.col("_p.o") < F.col("_w.p.o"), F.col("_w.p")
+    return rows.withColumns({
+        "_kept": F.col("_kept") | (F.col("_p.o") == F.col("_w.p.o")), "_a": F.when(before, F.col("_a")).otherwise(w), "_b": F.when(before, w).otherwise(F.col("_b")),
+    }).drop("_lo", "_w")
 
 
 def gap_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

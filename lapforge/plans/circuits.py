@@ -100,7 +100,7 @@ def compile_ring(spark, d):
 @query()
 def ring_polylines(spark, d):
     """The thinned border polylines of every circuit, from unordered cells."""
-    spans, _ = borders.assembled(borders.order_borders(cells(spark, d), KEYS), KEYS)
+    spans = borders.steps(borders.order_borders(cells(spark, d).drop("nth"), KEYS), KEYS)
     return road.polylines(spans, KEYS)
 
 
