@@ -111,7 +111,7 @@ def _known_spans(spark: SparkSession, d: str, of: DataFrame | None = None) -> Da
     """Spans of every border, or of the circuits on which there are positions: the road of others is near none."""
     w = Window.partitionBy(*KEYS).orderBy("nth")
     c = cells(spark, d) if of is None else cells(spark, d).join(of.select("circuit").distinct(), "circuit", "left_semi")
-    p = c.withColumn("p", F.struct("id", "x", "z", "y"))
+    p = c.repartition("circuit").withColumn("p", F.struct("id", "x", "z", "y"))  # one shuffle for all windows of a circuit
     q = F.coalesce(F.lead("p").over(w), F.when(F.col("nth") == 383, F.first("p").over(w)))
     dx, dz = F.col("q.x") - F.col("p.x"), F.col("q.z") - F.col("p.z")
     s = p.withColumn("q", q).where("q is not null").withColumn("d", F.sqrt(dx * dx + dz * dz))
