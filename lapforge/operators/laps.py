@@ -92,7 +92,7 @@ def slip_events(samples: DataFrame, lap: list[str], min_ticks: int = 6) -> DataF
 
 
 def suspension_events(samples: DataFrame, lap: list[str], min_ticks: int = 3, top: float = 0.98) -> DataFrame:
-    """Bottoming: runs at ``top`` of a wheel's range in the lap; and kerb strikes: spikes of over 35 % of the range.
+    """Bottoming: runs at ``top`` of a wheel's range in the lap; and kerb strikes: spikes of over 35 % of the range; all of them.
 
     The wheels of a tick pass the windows side by side, in one sort of the ticks; only ticks of an event become rows of a wheel.
     """
@@ -106,14 +106,11 @@ def suspension_events(samples: DataFrame, lap: list[str], min_ticks: int = 3, to
     t = t.select(*lap, "i", *[c for x in WHEELS for c in (high(x, F.col(f"sus_{x}")).alias(f"_on_{x}"), kerb(x).alias(f"_kerb_{x}"))])
     t = t.withColumns({f"_start_{x}": (F.col(f"_on_{x}") & ~F.coalesce(F.lag(f"_on_{x}").over(order), F.lit(False))).cast("int") for x in WHEELS})
     t = t.withColumns({f"_run_{x}": F.sum(f"_start_{x}").over(so_far) for x in WHEELS})
-    wheel = lambda k, x: F.struct(F.lit(k).alias("wheel_no"), F.lit(x).alias("wheel"), F.col(f"_on_{x}").alias("on"), F.col(f"_kerb_{x}").alias("kerb"), F.col(f"_run_{x}").alias("run"))
-    tall = t.select(*lap, "i", F.explode(F.filter(F.array(*[wheel(k, x) for k, x in enumerate(WHEELS)]), lambda w: w["on"] | w["kerb"])).alias("_w")).select(*lap, "i", "_w.*")
-    by = [*lap, "wheel_no", "wheel"]
-    bottom = tall.where("on").groupBy(*by, "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min_ticks)
-    bottom = bottom.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("first"))).where(F.col("_r") <= MAX_EVENTS)
-    strikes = tall.where("kerb").withColumn("_r", F.row_number().over(Window.partitionBy(*lap).orderBy("wheel_no", "i"))).where(F.col("_r") <= MAX_EVENTS)
+    wheel = lambda x: F.struct(F.lit(x).alias("wheel"), F.col(f"_on_{x}").alias("on"), F.col(f"_kerb_{x}").alias("kerb"), F.col(f"_run_{x}").alias("run"))
+    tall = t.select(*lap, "i", F.explode(F.filter(F.array(*[wheel(x) for x in WHEELS]), lambda w: w["on"] | w["kerb"])).alias("_w")).select(*lap, "i", "_w.*")
+    bottom = tall.where("on").groupBy(*lap, "wheel", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min_ticks)
     one = lambda df, kind, a, b: df.select(*lap, F.lit(kind).alias("type"), "wheel", F.col(a).alias("first"), F.col(b).alias("last"))
-    return one(bottom, "bottoming", "first", "last").unionByName(one(strikes, "kerb", "i", "i"))
+    return one(bottom, "bottoming", "first", "last").unionByName(one(tall.where("kerb"), "kerb", "i", "i"))
 
 
 def race_result(packets: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -76,8 +76,8 @@ _WHEEL_ROWS = " UNION ALL ".join(f"SELECT user_id, i, {n} AS n, '{w}' AS wheel,
 @query(f"""WITH t AS (SELECT * FROM {_TICKS}), h AS (SELECT *, min(h) OVER (PARTITION BY user_id, wheel) AS lo, max(h) OVER (PARTITION BY user_id, wheel) AS hi,
     h - (lag(h, 2) OVER (PARTITION BY user_id, wheel ORDER BY i) + lead(h, 2) OVER (PARTITION BY user_id, wheel ORDER BY i)) / 2 AS excess FROM ({_WHEEL_ROWS})),
   v AS (SELECT * FROM h WHERE hi > lo), b AS {_islands("h >= lo + 0.98::DOUBLE * (hi - lo)", 3, "user_id, wheel", "v")}
-SELECT user_id, 'bottoming' AS type, wheel, CAST("first" AS BIGINT) AS "first", CAST("last" AS BIGINT) AS "last" FROM b WHERE nth <= 40
-UNION ALL SELECT user_id, 'kerb', wheel, CAST(i AS BIGINT), CAST(i AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n, i) AS r FROM v WHERE excess > 0.35::DOUBLE * (hi - lo)) WHERE r <= 40""")
+SELECT user_id, 'bottoming' AS type, wheel, CAST("first" AS BIGINT) AS "first", CAST("last" AS BIGINT) AS "last" FROM b
+UNION ALL SELECT user_id, 'kerb', wheel, CAST(i AS BIGINT), CAST(i AS BIGINT) FROM v WHERE excess > 0.35::DOUBLE * (hi - lo)""")
 def suspension_events(spark, d):
     return laps.suspension_events(_ticks(spark, d), ["user_id"])
 

@@ -48,6 +48,16 @@ def test_bottoming_and_kerb(spark):
     assert ("bottoming", "fl") in kinds and ("kerb", "rr") in kinds
 
 
+def test_suspension_events_of_a_long_lap_are_all_given(spark):
+    high = lambda i: i % 20 in (8, 9, 10)
+    rows = [packet(i, 1, sus_fl=60.0 if high(i) else 30.0, sus_rl=70.0 if i % 10 == 5 else 30.0, sus_rr=70.0 if i % 20 == 15 else 30.0) for i in range(1200)]
+    got = laps.suspension_events(laps.ticks(spark.createDataFrame(rows)), ["console", "session", "current_lap"]).collect()
+    bottoming = [("fl", i, i + 2) for i in range(8, 1200, 20)]
+    strikes = [("rl", i, i) for i in range(5, 1200, 10)] + [("rr", i, i) for i in range(15, 1200, 20)]
+    assert sorted((r["wheel"], r["first"], r["last"]) for r in got if r["type"] == "bottoming") == bottoming
+    assert [x for x in sorted((r["wheel"], r["first"], r["last"]) for r in got if r["type"] == "kerb") if x[0] != "fl"] == sorted(strikes)
+
+
 def test_ticks_of_few_bytes_are_spread_over_tasks(spark):
     ticks = telemetry._ticks(spark, "/root/testdata/sf0.001")
     assert ticks.select(F.spark_partition_id().alias("p")).distinct().count() > 1
