@@ -61,10 +61,15 @@ def find(keys: np.ndarray, wanted: np.ndarray):
     return at, hit
 
 
+def _shard_order(shard: np.ndarray, n_shards: int) -> np.ndarray:
+    """Stable order by shard; numbers of 16 bits are sorted by digits."""
+    return np.argsort(shard.astype(np.uint16) if n_shards <= 1 << 16 else shard, kind="stable")
+
+
 def pack(keys: np.ndarray, payload: list[np.ndarray], n_shards: int, shard: np.ndarray | None = None) -> pa.RecordBatch:
     """One row (shard, keys, payload...) of binary columns for each shard."""
     shard = (keys % U64(n_shards)).astype(np.int64) if shard is None else shard
-    order = np.argsort(shard, kind="stable")
+    order = _shard_order(shard, n_shards)
     cut = np.searchsorted(shard[order], np.arange(n_shards + 1))
     used = np.flatnonzero(np.diff(cut))
     cols = [x[order] for x in (keys, *payload)]
@@ -135,7 +140,8 @@ class HashArrays:
         hit = np.zeros(len(keys), dtype=bool)
         out = {name: np.zeros(len(keys), dtype=kind) for name, kind in self.columns.items()}
         shard = ((keys if dealt_by is None else dealt_by) % U64(self.n_shards)).astype(np.int64)
-        order = np.lexsort((keys, shard))  # sorted probes touch each page of a shard once
+        order = np.argsort(keys)  # sorted probes touch each page of a shard once
+        order = order[_shard_order(shard[order], self.n_shards)]
         cut = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             rows = order[cut[s] : cut[s + 1]]

@@ -29,7 +29,6 @@ in linking and gets a null component; ties cannot arise, as orders end in the ha
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -38,34 +37,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapforge.sources.scratch import spread
+
 from .arrays import HashArrays, map_array, pack, packed_schema, put_array, unpack
 from .common import discard, shared_dir, staged, staged_at
 from .graph import connected_components
-from .wordhash import grams, mix, spans, utf8_parts, words
+from .wordhash import grams, lowered, mix, spans, utf8_parts, word_bounds, word_keys
 
 K = 5
 HUB_SHINGLES = 12
 LOCAL, FREQUENT, MAX_FREQUENT = 4, 24, 1 << 18
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 
 
 def shingle_sets(column: pa.Array, k: int):
-    """Yield the sorted distinct shingle hashes of each row of a text column, in order."""
+    """Yield the sorted distinct shingle hashes of blocks of rows of a text column, in order: (hashes, where each row starts, and the end)."""
     data, offsets = utf8_parts(column)
     for a, b in spans(offsets, BLOCK_BYTES):
-        value, _, _, ptr = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
+        text, at = lowered(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+        start, end = word_bounds(text, at)
+        value, ptr = word_keys(text, start, end), np.searchsorted(start, at)
         gram, _, gram_ptr = grams(value, ptr, k)
-        for i in range(b - a):
-            n = int(ptr[i + 1] - ptr[i])
-            if 0 < n < k:
-                whole = value[ptr[i] : ptr[i + 1]].tolist()
-                h = 0x2545F4914F6CDD1D + n
-                for w in whole:
-                    h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-                yield mix(np.array([h], dtype=U64))
-            else:
-                yield np.unique(gram[gram_ptr[i] : gram_ptr[i + 1]])
+        bounds = gram_ptr.tolist()
+        for i, j in zip(bounds, bounds[1:]):
+            gram[i:j].sort()
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        new[gram_ptr[:-1][np.diff(gram_ptr) > 0]] = True
+        held = np.concatenate([[0], np.cumsum(new)])[gram_ptr]
+        gram, n = gram[new], np.diff(ptr)
+        short = np.flatnonzero((n > 0) & (n < k))
+        whole = np.zeros(len(short), U64)
+        for row, i in enumerate(short.tolist()):  # fewer words than a shingle: all of them are one
+            h = 0x2545F4914F6CDD1D + int(n[i])
+            for w in value[ptr[i] : ptr[i + 1]].tolist():
+                h = (h * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
+            whole[row] = h
+        if len(short):
+            gram = np.insert(gram, held[short], mix(whole))
+            held = held + np.concatenate([[0], np.cumsum((n > 0) & (n < k))])
+        yield gram, held
+
+
+def _sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of the rows values[ptr[i]:ptr[i+1]]."""
+    return np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])[ptr])
 
 
 def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
@@ -73,12 +90,14 @@ def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, sets = set(), []
-            for s in shingle_sets(batch.column(0), k):
-                if (mark := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in seen:  # copies count once
-                    seen.add(mark)
-                    sets.append(s)
-            h, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_counts=True)
+            blocks = list(shingle_sets(batch.column(0), k))
+            flat = np.concatenate([s for s, _ in blocks]) if blocks else np.zeros(0, U64)
+            size = np.concatenate([np.diff(ptr) for _, ptr in blocks]) if blocks else np.zeros(0, np.int64)
+            first = np.zeros(len(size), bool)
+            if len(size):  # copies count once
+                marks = np.concatenate([_sums(s, ptr) for s, ptr in blocks]) + size.astype(U64)
+                first[np.unique(marks, return_index=True)[1]] = True
+            h, c = np.unique(flat[np.repeat(first, size)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[c >= LOCAL].view(np.int64)), pa.array(c[c >= LOCAL])], names=["h", "c"])
 
     counts = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
@@ -94,24 +113,31 @@ def prefixes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            n, k1, k2, g, parts = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
-                m = len(s)
+            n, k1, k2, g, kept, parts = [], [], [], [], [], []
+            for s, ptr in shingle_sets(batch.column(1), k):
+                m, row = np.diff(ptr), np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
                 n.append(m)
-                a, b = set_keys(s)
-                k1.append(a)
-                k2.append(b)
-                keep = m - -(-percent * m // 100) + 1 if m else 0
-                if len(often) and m:
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    late = often[at] == s
-                    s = np.concatenate([s[~late], s[late]])
-                parts.append(s[:keep])
-                g.append(int(mix(np.array([(int(mix(s[:keep] * U64(3)).sum(dtype=U64)) ^ m * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], U64))[0]))
-            at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            signed = [pa.array(np.array(x, dtype=U64).view(np.int64)) for x in (k1, k2, g)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *signed, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "n", "k1", "k2", "g", "prefix"])
+                for to, keys in zip((k1, k2), set_keys(s, ptr)):
+                    to.append(keys)
+                keep = np.where(m > 0, m + (-percent * m) // 100 + 1, 0)
+                place = np.arange(len(s)) - ptr[row]
+                if len(often) and len(s):
+                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                    before = np.concatenate([[0], np.cumsum(late)])  # of the late ones
+                    nth = before[:-1] - before[ptr[:-1]][row]
+                    place = np.where(late, (m - np.diff(before[ptr]))[row] + nth, place - nth)
+                to = np.concatenate([[0], np.cumsum(keep)])
+                ours = place < keep[row]
+                prefix = np.zeros(to[-1], U64)
+                prefix[(to[:-1][row] + place)[ours]] = s[ours]
+                g.append(mix(_sums(mix(prefix * U64(3)), to) ^ m.astype(U64) * U64(0x9E3779B97F4A7C15)))
+                kept.append(keep)
+                parts.append(prefix)
+            joined = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+            at = np.concatenate([[0], np.cumsum(joined(kept, np.int64))]).astype(np.int32)
+            flat = joined(parts, U64).view(np.int64)
+            signed = [pa.array(joined(x, U64).view(np.int64)) for x in (k1, k2, g)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined(n, np.int64)), *signed, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "n", "k1", "k2", "g", "prefix"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, g long, prefix array<bigint>")
@@ -144,32 +170,32 @@ def _group_pairs(left: DataFrame, right: DataFrame, condition: Column, percent:
 
 
 def _first_rows(rows: DataFrame) -> HashArrays:
-    """The smallest id of every group: one row that stands for it."""
-    out = HashArrays.named(rows, "groups", {"id": "int64"})
+    """The smallest row number of every group: one row that stands for it."""
+    out = HashArrays.named(rows, "groups", {"row": "int64"})
 
-    def least(key: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
+    def least(key: np.ndarray, row: np.ndarray):
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        return key[first], ids[first]
+        return key[first], row[first]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, ids = least(np.asarray(batch.column(0), np.int64).view(U64), np.asarray(batch.column(1), np.int64))
-            yield pack(key, [ids], out.n_shards)
+            key, row = least(np.asarray(batch.column(0), np.int64).view(U64), np.asarray(batch.column(1), np.int64))
+            yield pack(key, [row], out.n_shards)
 
     def merge(table: pa.Table):
-        key, ids = least(*unpack(table, [U64, np.int64]))
-        return key, {"id": ids}
+        key, row = least(*unpack(table, [U64, np.int64]))
+        return key, {"row": row}
 
-    out.fill(rows.select("g", F.col("id").cast("long")).mapInArrow(send, packed_schema(2)), merge)
+    out.fill(rows.select("g", "row").mapInArrow(send, packed_schema(2)), merge)
     return out
 
 
 def _standing(batch: pa.RecordBatch, groups: HashArrays) -> pa.RecordBatch:
-    """The rows (g, id, ...) of a batch that stand for their group."""
+    """The rows (g, row, ...) of a batch that stand for their group."""
     _, got = groups.lookup(np.asarray(batch.column(0), np.int64).view(U64))
-    return batch.filter(pa.array(got["id"] == np.asarray(batch.column(1), np.int64)))
+    return batch.filter(pa.array(got["row"] == np.asarray(batch.column(1), np.int64)))
 
 
 def _postings(rows: DataFrame) -> tuple[DataFrame, str]:
@@ -178,7 +204,7 @@ def _postings(rows: DataFrame) -> tuple[DataFrame, str]:
     nth numbers the recurring shingles of a group from 0 in prefix order.
     """
     groups = _first_rows(rows)
-    wide = rows.select("g", F.col("id").cast("long").alias("id"), "n", "prefix")
+    wide = rows.select("g", "row", "n", "prefix")
     recurring = HashArrays.named(rows, "prefix-shingles", {})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +215,7 @@ def _postings(rows: DataFrame) -> tuple[DataFrame, str]:
 
     def merge(table: pa.Table):
         key, count = unpack(table, [U64, np.uint8])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, count = key[order], count[order].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         return (key[start][np.add.reduceat(count, start) > 1] if len(start) else key), {}
@@ -209,7 +235,7 @@ def _postings(rows: DataFrame) -> tuple[DataFrame, str]:
             at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(pos[hit]), pa.array(flat[hit]), pa.array(nth[hit])], names=["g", "n", "pos", "t", "nth"])
 
-    out = staged_at(wide.mapInArrow(post, "g long, n long, pos long, t long, nth long").distinct(), "postings")
+    out = staged_at(wide.mapInArrow(post, "g long, n long, pos long, t long, nth long"), "postings")
     discard(rows.sparkSession, recurring.base, groups.base)
     return out
 
@@ -224,7 +250,7 @@ def _spread(posts: DataFrame, label: DataFrame) -> tuple[DataFrame, str]:
     split = HashArrays.named(posts, "spread-shingles", {"lo": "int64"})
 
     def fold(key, lo, hi):
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, lo, hi = key[order], lo[order], hi[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         return (key[start], np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start)) if len(start) else (key, lo, hi)
@@ -265,9 +291,9 @@ def _spread(posts: DataFrame, label: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
-def set_keys(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set of shingles."""
-    return (int(s.sum(dtype=U64)), int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64))) if len(s) else (0, 0)
+def set_keys(s: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every set of shingles s[ptr[i]:ptr[i+1]]."""
+    return _sums(s, ptr), _sums(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), ptr)
 
 
 def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, str]:
@@ -293,10 +319,10 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame,
             if not len(at):
                 continue
             sets = list(shingle_sets(batch.column(2).take(pa.array(at)), k))
-            size = np.array([len(s) for s in sets])
-            put_array(name := f"{base}/{uuid.uuid4().hex}", np.concatenate(sets))
-            keys12 = np.array([set_keys(s) for s in sets], U64).view(np.int64)
-            cols = [pa.array(keys12[:, 0]), pa.array(keys12[:, 1]), pa.array([name] * len(at)), pa.array(np.cumsum(size) - size), pa.array(size)]
+            size = np.concatenate([np.diff(ptr) for _, ptr in sets])
+            put_array(name := f"{base}/{uuid.uuid4().hex}", np.concatenate([s for s, _ in sets]))
+            k1, k2 = (np.concatenate(x).view(np.int64) for x in zip(*(set_keys(s, ptr) for s, ptr in sets)))
+            cols = [pa.array(k1), pa.array(k2), pa.array([name] * len(at)), pa.array(np.cumsum(size) - size), pa.array(size)]
             yield pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "file", "start", "size"])
 
     index = docs.select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(store, "k1 long, k2 long, file string, start long, size long")
@@ -333,6 +359,7 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, perce
 
     side = lambda x: sets.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "start", "size")])
     placed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("file", "start", "size")])
+    placed = spread(placed, "a", "b")  # few bytes a pair and two whole sets to read, so tasks of adaptive size would hold too many
     out = staged(placed.mapInArrow(overlap, "a long, b long"), "links")
     discard(docs.sparkSession, folder)
     return out
@@ -341,7 +368,7 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, perce
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, links, components): documents with size and set key, the verified links between numbers of distinct sets that closed the components, and the components."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held, prefixes_at = staged_at(prefixes(df, id_col, text_col, k, percent), "prefixes")
+    held, prefixes_at = staged_at(prefixes(df, id_col, text_col, k, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
     real = held.where("n > 0 and id is not null")
     members = staged(real.groupBy("k1", "k2", "n", "g").agg(F.min("id").alias("rep")).withColumn("sid", F.xxhash64("k1", "k2", "n")), "members")
     posts, posts_at = _postings(real)

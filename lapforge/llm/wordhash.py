@@ -20,6 +20,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LONG = 64  # bytes of a word that are hashed eight at a time
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -96,17 +98,16 @@ def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return (total[end] - total[start]) * _Powers.down[start]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-    """Word table of consecutive rows.
+def lowered(data: np.ndarray) -> np.ndarray:
+    """LOWER of every byte."""
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
-    Returns (hash, start, end, row_ptr): a 64-bit hash and the byte span of every
-    word, and for each row the index of its first word (length rows + 1).
-    """
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) byte places of the words of consecutive rows."""
     n = len(data)
-    if lower:
-        data = LOWER[data]
     inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = ~SPACE[data]
+    inside[:n] = (data != 0x20) & (data - np.uint8(9) > 4)  # the complement of SPACE
     first = inside[:n].copy()
     first[1:] &= ~inside[: n - 1]
     cut = offsets[(offsets > 0) & (offsets < n)]
@@ -114,12 +115,52 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     last = inside[:n].copy()
     last[: n - 1] &= ~inside[1:n]
     last[cut - 1] = inside[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    """Word table of consecutive rows.
+
+    Returns (hash, start, end, row_ptr): a 64-bit hash and the byte span of every
+    word, and for each row the index of its first word (length rows + 1).
+    """
+    if lower:
+        data = lowered(data)
+    start, end = word_bounds(data, offsets)
     value = span_hash(prefix_hash(data), start, end)
     value = mix(value ^ ((end - start).astype(U64) * U64(_GOLDEN)))
     return value, start, end, np.searchsorted(start, offsets)
 
 
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at [start, end), other ones than those of ``words``: eight bytes of a word at a time."""
+    size = end - start
+    n = len(data)
+    eights = np.zeros((n >> 3) + 3, U64)
+    eights.view(np.uint8)[:n] = data
+    value = size.astype(U64) * U64(_GOLDEN)
+    at, left, which = start, size, None
+    for _ in range(_LONG // 8):
+        place, shift = at >> 3, ((at & 7) << 3).astype(U64)
+        # the eight bytes from ``at`` on; a shift by 64 is one by 1 and one by 63
+        eight = (eights[place] >> shift) | ((eights[place + 1] << U64(1)) << (U64(63) - shift))
+        eight &= _FIRST_BYTES[np.minimum(left, 8)]
+        if which is None:
+            value = mix(value ^ eight)
+        else:
+            value[which] = mix(value[which] ^ eight)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return value
+        which = more if which is None else which[more]
+        at, left = at[more] + 8, left[more] - 8
+    # what is left of long words, by running sums over their bytes alone
+    stop = np.cumsum(left)
+    rest = data[np.repeat(at - (stop - left), left) + np.arange(stop[-1])]
+    value[which] = mix(value[which] ^ mix(span_hash(prefix_hash(rest), stop - left, stop)))
+    return value
+
+
 def grams(value: np.ndarray, row_ptr: np.ndarray, k: int):
     """Hashes of all runs of ``k`` words inside one row: (hash, first word, row_ptr of the runs)."""
     counts = np.diff(row_ptr)
@@ -127,7 +168,9 @@ def grams(value: np.ndarray, row_ptr: np.ndarray, k: int):
     ptr = np.concatenate([[0], np.cumsum(runs)])
     row = np.repeat(np.arange(len(counts)), runs)
     first = np.arange(ptr[-1]) - ptr[row] + row_ptr[row]
-    out = np.zeros(ptr[-1], dtype=U64)
+    # every run, those across rows too, and then those inside a row
+    out = np.zeros(max(len(value) - (k - 1), 0), dtype=U64)
     for i in range(k):
-        out = out * U64(_BASE) + value[first + i]
-    return mix(out), first, ptr
+        out *= U64(_BASE)
+        out += value[i : i + len(out)]
+    return mix(out[first]), first, ptr

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -621,6 +622,36 @@ def test_ngram_join_keeps_no_prefixes_or_postings(spark, docs):
     assert not left
 
 
+def test_shingle_sets_of_odd_words():
+    odd = ["a", "Z", "é", "x\x00", "x\x00\x00", "abcdefgh", "abcdefghi", "q" * 64, "q" * 65, "q" * 400, "q" * 399 + "r"]
+    texts = [None, "", " \t", "a b", "A  B\n", *[" ".join(odd[i:] + odd[:i]) for i in range(len(odd))], *odd, " ".join(odd * 3)]
+    wanted = []
+    for t in texts:
+        w = words((t or "").translate(LOWER))
+        wanted.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    got = [s[ptr[i] : ptr[i + 1]].tolist() for s, ptr in ngram_join.shingle_sets(pa.array(texts), 5) for i in range(len(ptr) - 1)]
+    assert [len(s) for s in got] == [len(s) for s in wanted] and all(s == sorted(set(s)) for s in got)
+    assert all(len(set(a) & set(b)) == len(x & y) for a, x in zip(got, wanted) for b, y in zip(got, wanted))
+
+
+def test_ngram_join_spreads_its_pairs_and_shuffles_no_postings(spark, monkeypatch):
+    plans = {}
+
+    def noted(f):
+        def run(df, label):
+            plans[label] = df._jdf.queryExecution().executedPlan().toString()
+            return f(df, label)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "staged", noted(common.staged))
+    monkeypatch.setattr(ngram_join, "staged_at", noted(common.staged_at))
+    rows = [(i, f"{' '.join(f'w{j}' for j in range(60))} v{i % 3} x{i % 3} y{i % 3} z{i % 3}") for i in (1, 1, 2, 3, 3)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+    assert "Exchange" not in plans["postings"] and "REPARTITION_BY_NUM" in plans["links"]
+
+
 def test_ngram_join_of_repeated_ids(spark):
     rng = random.Random(2)
     say = lambda: [rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)]
